@@ -265,7 +265,9 @@ def tidy_metrics(wide: DataFrame, ids: list[str], names: list[str]) -> DataFrame
 
 def markdown_summary(comparison: DataFrame) -> DataFrame:
     """The comparison as Markdown, one line per model with its rank."""
-    num = lambda c: F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("n/a"))
+    num = lambda c: F.when(
+        F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))
+    ).otherwise("n/a")
     line = F.concat(
         F.lit("| "), F.concat_ws(" | ", F.col("model"), num("pr_auc"), num("roc_auc"), num("f1"),
                                  F.when(F.col("is_winner"), "yes").otherwise("no")), F.lit(" |")

@@ -20,9 +20,16 @@ def unpivot_features(df: DataFrame, ids: list[str], features: list[str] | None =
     return doubles.unpivot(ids, names, "feature", "value")
 
 
-def per_feature(df: DataFrame, groups: list[str], stats: dict, features: list[str] | None = None) -> DataFrame:
+def per_feature(
+    df: DataFrame,
+    groups: list[str],
+    stats: dict,
+    features: list[str] | None = None,
+    rounded: tuple[str, ...] = (),
+) -> DataFrame:
     """One row per group and feature. All statistics are taken in one wide aggregation and only
-    its few result rows are turned long, so the input is never multiplied."""
+    its few result rows are turned long, so the input is never multiplied. The ``rounded`` ones
+    get four decimals."""
     cells = [
         F.struct(
             F.lit(f).alias("feature"),
@@ -30,22 +37,16 @@ def per_feature(df: DataFrame, groups: list[str], stats: dict, features: list[st
         )
         for f in (features or FEATURES)
     ]
-    return df.groupBy(*groups).agg(F.array(*cells).alias("_cells")).select(*groups, F.inline("_cells"))
+    wide = df.groupBy(*groups).agg(F.array(*cells).alias("_cells"))
+    long = wide.select(*groups, F.inline("_cells"))
+    return long.withColumns({name: round_exact(F.col(name), 4) for name in rounded})
 
 
 def descriptive_stats(df: DataFrame, groups: list[str]) -> DataFrame:
     """Min, max, mean, median and sample standard deviation per group and feature (4 decimals)."""
     keys = [*groups, "feature"]
-    basic = per_feature(
-        df,
-        groups,
-        {
-            "min": F.min,
-            "max": F.max,
-            "mean": lambda c: round_exact(F.avg(c), 4),
-            "std": lambda c: round_exact(F.stddev_samp(c), 4),
-        },
-    )
+    stats = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
+    basic = per_feature(df, groups, stats, rounded=("mean", "std"))
     long = unpivot_features(df, groups)
     medians = exact_medians(long, keys, "value").withColumn("median", round_exact(F.col("median"), 4))
     return basic.join(medians, keys)
@@ -81,17 +82,8 @@ def standardize(df: DataFrame, scaler: dict[str, tuple[float, float]], suffix: s
 
 def scaled_stats(scaled: DataFrame, groups: list[str], suffix: str = "_z") -> DataFrame:
     """Mean, population deviation, min and max of the scaled columns (4 decimals)."""
-    return per_feature(
-        scaled,
-        groups,
-        {
-            "mean": lambda c: round_exact(F.avg(c), 4),
-            "std": lambda c: round_exact(F.stddev_pop(c), 4),
-            "min": lambda c: round_exact(F.min(c), 4),
-            "max": lambda c: round_exact(F.max(c), 4),
-        },
-        [f"{f}{suffix}" for f in FEATURES],
-    )
+    stats = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    return per_feature(scaled, groups, stats, [f"{f}{suffix}" for f in FEATURES], tuple(stats))
 
 
 def correlation_matrix(train: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -281,7 +283,9 @@ class Tables:
             return self.base(name)
         if name not in ADAPTERS:
             raise AttributeError(name)
-        for t in TABLES:
-            self.base(t).createOrReplaceTempView(t)
         parts = [f"{n} AS ({ADAPTERS[n]})" for n in needed([name])]
+        text = "\n".join(parts)
+        for t in TABLES:
+            if re.search(rf"\b(FROM|JOIN) {t}\b", text):
+                self.base(t).createOrReplaceTempView(t)
         return self.spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}")

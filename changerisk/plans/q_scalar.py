@@ -65,7 +65,7 @@ def p5(t):
 
 @query("p6_churn", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, a + d AS file_churn,
-  round_even(CAST(a + d AS DOUBLE) / greatest(1, l_linenumber), 2) AS avg_lines FROM (
+  (CAST(printf('%.2f', CAST(a + d AS DOUBLE) / greatest(1, l_linenumber)) AS DOUBLE) + 0.0::DOUBLE) AS avg_lines FROM (
   SELECT *, CAST(l_quantity AS BIGINT) AS a, CAST(round(l_discount * 100) AS BIGINT) AS d FROM lineitem) q""")
 def p6(t):
     a = c("l_quantity").cast("bigint")
@@ -155,7 +155,7 @@ WITH b AS (SELECT {SID}, CAST(l_quantity AS BIGINT) AS lines_added, CAST(round(l
   CAST(l_linenumber - 1 AS BIGINT) AS files_changed,
   CASE WHEN l_partkey % 2 = 0 THEN CAST(l_quantity AS BIGINT) END AS given_churn FROM lineitem),
 d AS (SELECT *, coalesce(given_churn, lines_added + lines_deleted) AS code_churn FROM b),
-e AS (SELECT *, round_even(CAST(code_churn AS DOUBLE) / greatest(1, files_changed), 2) AS avg_lines FROM d)
+e AS (SELECT *, (CAST(printf('%.2f', CAST(code_churn AS DOUBLE) / greatest(1, files_changed)) AS DOUBLE) + 0.0::DOUBLE) AS avg_lines FROM d)
 SELECT {SID}, code_churn, avg_lines AS avg_lines_changed_per_file,
   CAST(floor(greatest(avg_lines, CAST(code_churn AS DOUBLE) * 0.7::DOUBLE)) AS BIGINT) AS max_lines_changed_in_single_file,
   greatest(1, files_changed) AS num_source_files_changed, CAST(1 AS BIGINT) AS num_directories_touched,

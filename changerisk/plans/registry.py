@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from changerisk.plans.catalog import ORACLES, QUERIES
 from changerisk.plans import (  # noqa: F401  (importing registers the queries)
-    q_scalar,
+    q_evaluation,
     q_features,
+    q_graph,
+    q_scalar,
 )
+from changerisk.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
