@@ -15,7 +15,7 @@ c = F.col
 TIPS = "SELECT DISTINCT repo, tip FROM (SELECT repo, base AS tip FROM v_prs UNION ALL SELECT repo, head FROM v_prs) q"
 ANC = """SELECT repo, tip, tip AS node FROM tips UNION SELECT a.repo, a.tip, e.parent FROM anc a JOIN v_edges e ON e.repo = a.repo AND e.child = a.node"""
 COMMON = """SELECT p.pr_id, p.repo, a.node FROM v_prs p JOIN anc a ON a.repo = p.repo AND a.tip = p.base JOIN anc b ON b.repo = p.repo AND b.tip = p.head AND b.node = a.node"""
-BEST = """SELECT pr_id, repo, arg_max(node, n.seq) AS merge_base, count(*) AS best_common FROM (
+BEST = """SELECT pr_id, x.repo, arg_max(node, n.seq) AS merge_base, count(*) AS best_common FROM (
  SELECT * FROM common k WHERE NOT EXISTS (SELECT 1 FROM common o JOIN v_edges e ON e.repo = o.repo AND e.child = o.node WHERE o.pr_id = k.pr_id AND e.parent = k.node)) x
  JOIN v_nodes n ON n.repo = x.repo AND n.full_hash = x.node GROUP BY pr_id, x.repo"""
 MB = """SELECT p.*, b.merge_base, b.best_common, CASE WHEN b.merge_base IS NULL THEN 'no_common_ancestor' WHEN p.base = p.head OR b.merge_base = p.head THEN 'empty' ELSE 'ok' END AS status
@@ -105,9 +105,9 @@ def pr_rows(t):
     ).withColumn("commit_hash", F.substring("full_hash", 1, 7))
 
 
-@query("a17_pr_summary", f"""SELECT pr_id, repo, count(*) AS total_commits, CAST(count_if(NOT is_merge_commit AND raw_probability IS NOT NULL) AS BIGINT) AS analyzed_commits,
- CAST(count_if(raw_probability >= 0.35::DOUBLE) AS BIGINT) AS defect_prone_commits, CAST(count_if(raw_probability < 0.35::DOUBLE) AS BIGINT) AS standard_risk_commits, CAST(count_if(is_merge_commit) AS BIGINT) AS merge_commits,
- CAST(count_if(NOT is_merge_commit AND raw_probability IS NULL) AS BIGINT) AS skipped_commits, max(raw_probability) AS max_commit_risk_score, 0.35::DOUBLE AS decision_threshold FROM ({PR_ROWS}) q GROUP BY pr_id, repo""")
+@query("a17_pr_summary", f"""SELECT pr_id, repo, count(*) AS total_commits, count(*) FILTER (WHERE NOT is_merge_commit AND raw_probability IS NOT NULL) AS analyzed_commits,
+ count(*) FILTER (WHERE raw_probability >= 0.35::DOUBLE) AS defect_prone_commits, count(*) FILTER (WHERE raw_probability < 0.35::DOUBLE) AS standard_risk_commits, count(*) FILTER (WHERE is_merge_commit) AS merge_commits,
+ count(*) FILTER (WHERE NOT is_merge_commit AND raw_probability IS NULL) AS skipped_commits, max(raw_probability) AS max_commit_risk_score, 0.35::DOUBLE AS decision_threshold FROM ({PR_ROWS}) q GROUP BY pr_id, repo""")
 def a17(t):
     return pu.pr_summary(pr_rows(t))
 
@@ -186,7 +186,7 @@ def history(t):
 
     w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
     rows = t.lineitem.withColumn("i", F.row_number().over(w).cast("bigint"))
-    grow = F.when(c("i") == 1, 60).otherwise(c("l_linenumber"))
+    grow = F.when(c("i") == 1, 100000).otherwise(c("l_linenumber"))
     return rows.select(
         F.lit("repo").alias("repo"), c("l_partkey").cast("string").alias("lineage"),
         F.concat_ws("-", F.lit("k"), c("l_partkey"), c("i")).alias("full_hash"), c("i").alias("rev_no"),
@@ -199,13 +199,13 @@ def history(t):
 
 @query("g4_line_provenance", """
 WITH RECURSIVE h AS (SELECT CAST(l_partkey AS STRING) AS lineage, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS i, l_partkey, l_suppkey, l_linenumber FROM lineitem),
-r AS (SELECT lineage, i, l_partkey, 1 + l_suppkey % 40 AS s, 1 + l_partkey % 3 AS o, CASE WHEN i = 1 THEN 60 ELSE l_linenumber END AS n FROM h),
-w AS (SELECT lineage, i AS fix, i - 1 AS at, unnest(range(s, s + o)) AS asked, NULL::BIGINT AS cur, NULL::BIGINT AS origin FROM r WHERE i > 1),
-w0 AS (SELECT lineage, fix, at, asked, asked AS cur FROM w),
-walk AS (SELECT lineage, fix, at, asked, cur, NULL::BIGINT AS origin FROM w0
-  UNION ALL SELECT k.lineage, k.fix, k.at - 1, k.asked, CASE WHEN k.cur >= r.s + r.n THEN k.cur - r.n + r.o ELSE k.cur END,
+r AS (SELECT lineage, i, l_partkey, 1 + l_suppkey % 40 AS s, 1 + l_partkey % 3 AS o, CASE WHEN i = 1 THEN 100000 ELSE l_linenumber END AS n FROM h),
+w AS (SELECT lineage, i AS fix, i - 1 AS lvl, unnest(range(s, s + o)) AS asked, NULL::BIGINT AS cur, NULL::BIGINT AS origin FROM r WHERE i > 1),
+w0 AS (SELECT lineage, fix, lvl, asked, asked AS cur FROM w),
+walk AS (SELECT lineage, fix, lvl, asked, cur, NULL::BIGINT AS origin FROM w0
+  UNION ALL SELECT k.lineage, k.fix, k.lvl - 1, k.asked, CASE WHEN k.cur >= r.s + r.n THEN k.cur - r.n + r.o ELSE k.cur END,
     CASE WHEN r.i = 1 THEN 1 WHEN k.cur >= r.s AND k.cur < r.s + r.n THEN r.i END
-  FROM walk k JOIN r ON r.lineage = k.lineage AND r.i = k.at WHERE k.origin IS NULL AND k.at >= 1)
+  FROM walk k JOIN r ON r.lineage = k.lineage AND r.i = k.lvl WHERE k.origin IS NULL AND k.lvl >= 1)
 SELECT concat_ws('-', 'k', lineage, fix) AS full_hash, asked, concat_ws('-', 'k', lineage, origin) AS origin_sha FROM walk WHERE origin IS NOT NULL""")
 def g4(t):
     """Origin of every line a hunk deletes, for all hunks of all files."""
