@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from changerisk.functions.paths import forward_slashes
 from changerisk.functions.text import parse_line_range, strip, strip_code_fence
 from changerisk.operators.ranges import overlap_exists
+from changerisk.session import materialize
 
 KEY = ["repo", "full_hash"]
 # The document contract.
@@ -153,33 +154,34 @@ def parse_reviews(reviews: DataFrame) -> DataFrame:
     clean = strip_code_fence(F.coalesce("raw_text", F.lit("")))
     staged = reviews.withColumn("_clean", clean).withColumn("_v", F.try_parse_json("_clean"))
     reason = review_reject_reason(F.col("raw_text"), F.col("_v"))
-    typed = F.from_json("_clean", REVIEW_TYPE)
+    judged = staged.withColumn("reject_reason", reason).withColumn(
+        "_r", F.when(F.col("reject_reason").isNull(), F.from_json("_clean", REVIEW_TYPE))
+    )
     hash_ = F.coalesce(
-        F.nullif("full_hash", F.lit("")), F.nullif(F.col("review.commit_hash"), F.lit("")), F.lit("unknown")
+        F.nullif("full_hash", F.lit("")), F.nullif(F.col("_r.commit_hash"), F.lit("")), F.lit("unknown")
     )
-    return (
-        staged.withColumn("reject_reason", reason)
-        .withColumn("review", F.when(F.col("reject_reason").isNull(), typed))
-        .withColumn(
-            "review",
-            F.when(
-                F.col("review").isNotNull(),
-                F.col("review")
-                .withField("commit_hash", hash_)
-                .withField("confidence_notes", F.coalesce("review.confidence_notes", F.lit("")))
-                .withField("model_provider", F.coalesce("review.model_provider", F.lit("unknown")))
-                .withField("model_name", F.coalesce("review.model_name", F.lit("unknown"))),
-            ),
-        )
-        .drop("_clean", "_v")
+    review = F.struct(
+        hash_.alias("commit_hash"),
+        *[f"_r.{f}" for f in REQUIRED_KEYS],
+        F.coalesce("_r.confidence_notes", F.lit("")).alias("confidence_notes"),
+        F.coalesce("_r.model_provider", F.lit("unknown")).alias("model_provider"),
+        F.coalesce("_r.model_name", F.lit("unknown")).alias("model_name"),
+    )
+    return judged.withColumn("review", F.when(F.col("_r").isNotNull(), review)).drop(
+        "_clean", "_v", "_r"
     )
 
 
-def risk_factors(accepted: DataFrame) -> DataFrame:
-    """One row per risk factor of the accepted documents."""
-    return accepted.where(F.col("review").isNotNull()).select(
-        *KEY, F.posexplode("review.potential_risk_factors").alias("factor_no", "f")
-    ).select(*KEY, "factor_no", "f.*")
+def risk_factors(parsed: DataFrame) -> DataFrame:
+    """One row per risk factor of the accepted documents.
+
+    The parsed documents are stored first: the rows below are joined several times, and pushing
+    a filter through the contract checks would repeat them.
+    """
+    kept = materialize(parsed.select(*KEY, F.col("review.potential_risk_factors").alias("_f")))
+    return kept.select(*KEY, F.posexplode("_f").alias("factor_no", "f")).select(
+        *KEY, "factor_no", "f.*"
+    )
 
 
 def _suffixes(path: Column) -> Column:
@@ -258,9 +260,12 @@ def verify_evidence(factors: DataFrame, files: DataFrame, compat: bool = False)
     """Add ``file_ord`` of the cited file and ``evidence_verified``; no row is dropped.
 
     Verified means: a file matches, a given line range is valid and overlaps a hunk, and a given
-    snippet is found in that file's diff.
+    snippet is found in that file's diff. The files are stored once, as four joins read them.
     """
-    matched = match_cited_file(factors, files).withColumns(parse_line_range(F.col("line_range")))
+    files = materialize(files.select(*KEY, "file_ord", "old_path", "new_path", "hunks"))
+    matched = materialize(
+        match_cited_file(factors, files).withColumns(parse_line_range(F.col("line_range")))
+    )
     has_range = F.coalesce(strip(F.col("line_range")) != "", F.lit(False))
     snippet = F.coalesce(strip(F.col("evidence_snippet")), F.lit(""))
     matched = matched.withColumns({"_has_range": has_range, "_snippet": snippet})

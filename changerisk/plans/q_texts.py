@@ -8,6 +8,7 @@ from changerisk.operators import context as cx, diffs as df_, events as ev, feat
 from changerisk.plans.adapters import hash_of, with_adapters as wa
 from changerisk.plans.catalog import query
 from changerisk.plans.q_scalar import GEN_RE
+from changerisk.session import materialize
 
 c = F.col
 NL = "chr(10)"
@@ -224,7 +225,9 @@ def factors(t):
 
 @query("j7_cited_file", wa(["v_diffs", "v_reviews"], "SELECT fa.repo, fa.full_hash, fa.factor_no, fa.file_path, m.file_ord FROM factors fa LEFT JOIN matched m USING (repo, full_hash, factor_no)", P_EVID))
 def j7(t):
-    return rv.match_cited_file(factors(t), files(t)).select("repo", "full_hash", "factor_no", "file_path", "file_ord")
+    named = materialize(files(t).select("repo", "full_hash", "file_ord", "old_path", "new_path"))
+    out = rv.match_cited_file(factors(t), named)
+    return out.select("repo", "full_hash", "factor_no", "file_path", "file_ord")
 
 
 @query("j8_line_grounding", wa(["v_diffs"], """SELECT l.repo, l.full_hash, l.file_ord, l.q, l.lo, l.hi, EXISTS (SELECT 1 FROM dlines d WHERE d.repo = l.repo AND d.full_hash = l.full_hash AND d.file_ord = l.file_ord AND (d.old_lineno BETWEEN l.lo AND l.hi OR d.new_lineno BETWEEN l.lo AND l.hi))
