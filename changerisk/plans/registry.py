@@ -7,6 +7,7 @@ from changerisk.plans import (  # noqa: F401  (importing registers the queries)
     q_features,
     q_graph,
     q_scalar,
+    q_streaming,
     q_texts,
 )
 from changerisk.plans.catalog import ORACLES, QUERIES

@@ -58,8 +58,8 @@ def drop_redeliveries(events: DataFrame, delay: str = "1 hour", time_column: str
 
 
 def latest_reports(log: DataFrame) -> DataFrame:
-    """The live report of each pull request in an upsert log."""
-    newest = F.max_by(F.struct("report", "action", "batch_id"), F.struct("batch_id", "received_at"))
+    """The live report of each pull request in an upsert log: the one of its newest event."""
+    newest = F.max_by(F.struct("report", "action", "batch_id"), F.struct("received_at", "batch_id"))
     return log.groupBy(*PR_KEY).agg(newest.alias("_r")).select(*PR_KEY, "_r.*")
 
 
