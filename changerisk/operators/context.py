@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from changerisk.functions.paths import file_priority
 from changerisk.operators.ordered import running_totals
+from changerisk.session import materialize
 
 KEY = ["repo", "full_hash"]
 # Byte budget and the smallest rest worth filling.
@@ -62,7 +63,7 @@ def pack_context(files: DataFrame, budget: int = MAX_BYTES) -> DataFrame:
     cut to what is left if that is more than 20 bytes, and all after it are dropped. Only sizes
     are summed; texts stay where they are.
     """
-    sizes = files.select(*KEY, "file_ord", "priority", "bytes")
+    sizes = materialize(files.select(*KEY, "file_ord", "priority", "bytes"))
     summed = running_totals(sizes, KEY, ["priority", "file_ord"], {"upto": "bytes"})
     before = F.col("upto") - F.col("bytes")
     room = F.lit(budget) - before

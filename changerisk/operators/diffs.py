@@ -25,8 +25,10 @@ def split_diff_files(diffs: DataFrame) -> DataFrame:
     parts = F.filter(
         F.split("diff_text", r"(?md)(?=^diff --git )"), lambda b: F.startswith(b, F.lit("diff --git "))
     )
-    cut = diffs.select(*KEY, F.posexplode(parts).alias("file_ord", "block"))
-    head = F.get(lines_of(F.col("block")), 0)
+    cut = diffs.select(*KEY, F.posexplode_outer(parts).alias("file_ord", "block")).where(
+        F.col("file_ord").isNotNull()
+    )
+    head = _first_line(F.col("block"))
     return cut.withColumns(
         {
             "old_path": F.regexp_extract(head, GIT_HEADER, 1),
@@ -35,6 +37,10 @@ def split_diff_files(diffs: DataFrame) -> DataFrame:
     )
 
 
+def _first_line(text: Column) -> Column:
+    return F.get(lines_of(F.substring_index(text, "\n", 1)), 0)
+
+
 def hunks_of(block: Column, compat: bool = False) -> Column:
     """Array of hunks of a file block, each with its typed lines.
 
@@ -44,10 +50,9 @@ def hunks_of(block: Column, compat: bool = False) -> Column:
     pieces = F.filter(F.split(block, _HUNK_CUT), lambda h: h.rlike(HUNK_HEADER))
 
     def one(h: Column) -> Column:
-        lines = lines_of(h)
-        head = F.get(lines, 0)
+        head = _first_line(h)
         num = lambda g: F.regexp_extract(head, HUNK_HEADER, g).try_cast("bigint")
-        body = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), _is_line)
+        body = F.filter(F.slice(lines_of(h), 2, 2**30), _is_line)
         return F.struct(
             num(1).alias("old_start"),
             F.coalesce(num(2), F.lit(1)).alias("old_lines"),
@@ -58,8 +63,8 @@ def hunks_of(block: Column, compat: bool = False) -> Column:
         )
 
     def _is_line(x: Column) -> Column:
-        kept = x.rlike(r"\A[-+ ]") | (x == "")
-        return kept & ~x.rlike(r"\A(\+\+\+|---)") if compat else kept
+        kept = F.substring(x, 1, 1).isin("+", "-", " ", "")
+        return kept & ~F.substring(x, 1, 3).isin("+++", "---") if compat else kept
 
     def _typed(x: Column) -> Column:
         return F.struct(
@@ -74,7 +79,8 @@ def hunks_of(block: Column, compat: bool = False) -> Column:
 
 def classify_files(files: DataFrame, compat: bool = False) -> DataFrame:
     """Status, rename paths, binary and generated flags, and the hunks of each file."""
-    head = F.slice(lines_of(F.col("block")), 2, HEADER_LINES)
+    top = F.substring_index("block", "\n", HEADER_LINES + 1)
+    head = F.slice(lines_of(top), 2, HEADER_LINES)
     marks = [
         ("new file mode", "ADDED"),
         ("deleted file mode", "DELETED"),
@@ -111,12 +117,9 @@ def classify_files(files: DataFrame, compat: bool = False) -> DataFrame:
         }
     )
     path = F.when(F.col("new_path") == "", F.col("old_path")).otherwise(F.col("new_path"))
-    none = F.filter(hunks_of(F.col("block"), compat), lambda h: F.lit(False))
+    text = F.when(F.col("is_binary"), "").otherwise(F.col("block"))
     return named.withColumns(
-        {
-            "is_generated": is_generated_file(path),
-            "hunks": F.when(F.col("is_binary"), none).otherwise(hunks_of(F.col("block"), compat)),
-        }
+        {"is_generated": is_generated_file(path), "hunks": hunks_of(text, compat)}
     ).drop("_head", "block")
 
 
@@ -165,9 +168,8 @@ def match_numstat(files: DataFrame, numstat: DataFrame | None = None) -> DataFra
 
 def diff_hunks(files: DataFrame) -> DataFrame:
     """One row per hunk."""
-    return files.select(*KEY, "file_ord", F.posexplode("hunks").alias("hunk_ord", "h")).select(
-        *KEY, "file_ord", "hunk_ord", "h.*"
-    )
+    rows = files.select(*KEY, "file_ord", F.posexplode_outer("hunks").alias("hunk_ord", "h"))
+    return rows.where(F.col("hunk_ord").isNotNull()).select(*KEY, "file_ord", "hunk_ord", "h.*")
 
 
 def explode_diff_lines(files: DataFrame) -> DataFrame:
@@ -177,8 +179,8 @@ def explode_diff_lines(files: DataFrame) -> DataFrame:
     """
     rows = diff_hunks(files).select(
         *KEY, "file_ord", "hunk_ord", "old_start", "new_start",
-        F.posexplode("lines").alias("line_ord", "l"),
-    )
+        F.posexplode_outer("lines").alias("line_ord", "l"),
+    ).where(F.col("line_ord").isNotNull())
     upto = (
         Window.partitionBy(*KEY, "file_ord", "hunk_ord")
         .orderBy("line_ord")
