@@ -98,14 +98,14 @@ def temporal_split(
     return placed.withColumn("split", split).drop("position_total")
 
 
-def is_chronological(dataset: DataFrame, slices: int = 64) -> DataFrame:
+def is_chronological(dataset: DataFrame, block_rows: int = 1_000_000) -> DataFrame:
     """Whether time never falls in ``seq`` order, per repository.
 
-    Sorting is not needed across a whole repository: each block of ``seq`` values is checked with
-    ``lag``, and then the blocks' first and last instants are compared.
+    Each block of ``block_rows`` consecutive rows is checked with ``lag``, and then the blocks'
+    first and last instants are compared, so no task sorts a whole repository.
     """
     placed = row_positions(dataset.select("repo", "seq", "full_hash", "ts"), ["repo"], ["seq", "full_hash"])
-    block = F.expr(f"cast((position - 1) * {slices} div position_total as int)")
+    block = F.expr(f"(position - 1) div {block_rows}")
     blocked = placed.withColumn("_b", block)
     inside = Window.partitionBy("repo", "_b").orderBy("position")
     fell = F.coalesce((F.col("ts") < F.lag("ts").over(inside)).cast("int"), F.lit(0))

@@ -106,8 +106,9 @@ SELECT repo, child, parent, parent_ord FROM (
   SELECT repo, child, CASE WHEN o_orderkey % 5 = 0 AND p2 IS NOT NULL THEN p2 ELSE p1 END AS parent,
          0 AS parent_ord FROM v_graph
   UNION ALL
-  SELECT repo, child, CASE WHEN o_orderkey % 5 = 0 THEN p1 ELSE p3 END AS parent, 1 AS parent_ord
-  FROM v_graph WHERE o_orderkey % 3 = 0 AND p3 IS NOT NULL) e
+  SELECT repo, child, CASE WHEN o_orderkey % 3 = 0 AND p3 IS NOT NULL
+      THEN CASE WHEN o_orderkey % 5 = 0 THEN p1 ELSE p3 END END AS parent, 1 AS parent_ord
+  FROM v_graph) e
 WHERE parent IS NOT NULL"""
 ADAPTERS["v_graph"] = f"""
 SELECT concat('c', CAST(o_custkey AS STRING)) AS repo, o_orderkey, {hash_of('o_orderkey')} AS child,
@@ -276,7 +277,14 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table; if it has fewer files than there are cores, its rows are spread over them.
+
+        A small file with one row group is read by one task, and all parsing would follow it.
+        Tables of many files are read as they are.
+        """
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

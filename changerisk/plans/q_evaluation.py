@@ -225,11 +225,10 @@ def s8(t):
     return ev.markdown_summary(_comparison(t))
 
 
-@query("u3_hash_sets", wa(["v_commits"], """SELECT 'both' AS part, count(*) AS n FROM (SELECT full_hash FROM v_commits WHERE seq % 3 <> 0 INTERSECT SELECT full_hash FROM v_commits WHERE seq % 4 <> 0) a
- UNION ALL SELECT 'left_only', count(*) FROM (SELECT full_hash FROM v_commits WHERE seq % 3 <> 0 EXCEPT SELECT full_hash FROM v_commits WHERE seq % 4 <> 0) b"""))
+@query("u3_hash_sets", wa(["v_commits", "v_hunks"], """SELECT 'both' AS part, count(*) AS n FROM (SELECT full_hash FROM v_commits INTERSECT SELECT full_hash FROM v_hunks) a
+ UNION ALL SELECT 'left_only', count(*) FROM (SELECT full_hash FROM v_commits EXCEPT SELECT full_hash FROM v_hunks) b"""))
 def u3(t):
-    a = t.v_commits.where(c("seq") % 3 != 0).select("full_hash")
-    b = t.v_commits.where(c("seq") % 4 != 0).select("full_hash")
+    a, b = t.v_commits.select("full_hash"), t.v_hunks.select("full_hash").distinct()
     count = lambda d, n: d.agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n")
     return count(a.intersect(b), "both").unionByName(count(a.exceptAll(b), "left_only"))
 

@@ -231,10 +231,9 @@ def j1(t):
 
 @query("j2_join_coverage", wa(V_ALL, """SELECT CAST(count_if(l.full_hash IS NULL) AS BIGINT) AS features_only, CAST(count_if(f.full_hash IS NULL) AS BIGINT) AS labels_only,
  CAST(count_if(f.full_hash IS NOT NULL AND l.full_hash IS NOT NULL) AS BIGINT) AS matched
- FROM (SELECT * FROM feat WHERE n_parents <= 1) f FULL JOIN (SELECT * FROM labels WHERE seq % 11 <> 0) l ON f.repo = l.repo AND f.full_hash = l.full_hash""", {**P_FEAT, **P_LABEL}))
+ FROM (SELECT * FROM feat WHERE n_parents <= 1) f FULL JOIN labels l ON f.repo = l.repo AND f.full_hash = l.full_hash""", {**P_FEAT, **P_LABEL}))
 def j2(t):
-    kept = labels(t).where(c("seq") % 11 != 0)
-    return ds.join_coverage(features(t).where(c("n_parents") <= 1), kept)
+    return ds.join_coverage(features(t).where(c("n_parents") <= 1), labels(t))
 
 
 @query("a5_quality_report", wa(V_ALL, f"""SELECT count(*) AS total_rows, {", ".join(f"CAST(count_if({f} IS NULL) AS BIGINT) AS null_{f}" for f in FEATURES)},

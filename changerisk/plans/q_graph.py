@@ -150,12 +150,12 @@ def p26_rows(t):
 @query("n10_pr_reports", f"""SELECT pr_id, repo, concat('<!-- changerisk-report -->', chr(10), '## Change risk report', chr(10), '`', substr(md5(concat('b', CAST(pr_id AS STRING))), 1, 8), '` → `', substr(md5(concat('h', CAST(pr_id AS STRING))), 1, 8), '`', chr(10),
  '### Commit scores (threshold 0.35)', chr(10), '| Commit | Author | Risk score | Level | Details |', chr(10), '| :--- | :--- | :--- | :--- | :--- |', chr(10),
  string_agg(concat('| `', commit, '` | ', author, ' | ', risk_score, ' | ', risk_badge, ' | ', status, ' |'), chr(10) ORDER BY seq, full_hash), chr(10),
- '### Code review', chr(10), '*No review available.*', chr(10), '> Scores rank commits; they are not calibrated probabilities.') AS report FROM ({DISPLAY}) d GROUP BY pr_id, repo HAVING count(*) <= 1""")
+ '### Code review', chr(10), '*No review available.*', chr(10), '> Scores rank commits; they are not calibrated probabilities.') AS report FROM ({DISPLAY}) d GROUP BY pr_id, repo""")
 def n10(t):
     key = c("pr_id").cast("string")
     prs = t.lineitem.select(c("l_orderkey").alias("pr_id"), F.concat(F.lit("c"), c("l_suppkey").cast("string")).alias("repo")).distinct()
     prs = prs.withColumns({"base": F.md5(F.concat(F.lit("b"), key)), "head": F.md5(F.concat(F.lit("h"), key))})
-    return pu.render_reports(prs, pr_rows(t), max_commits=1)
+    return pu.render_reports(prs, pr_rows(t))
 
 
 # --- provenance ------------------------------------------------------------------------------

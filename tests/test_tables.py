@@ -118,7 +118,7 @@ def test_temporal_split_sizes_and_report(spark):
 def test_chronology(spark):
     rows = [("a", i, f"h{i}", i) for i in range(50)] + [("b", i, f"h{i}", 0 if i == 30 else i) for i in range(50)]
     df = spark.createDataFrame(rows, "repo string, seq long, full_hash string, ts long")
-    got = {r.repo: (r.falls, r.is_chronological) for r in ds.is_chronological(df, slices=7).collect()}
+    got = {r.repo: (r.falls, r.is_chronological) for r in ds.is_chronological(df, block_rows=7).collect()}
     assert got == {"a": (0, True), "b": (1, False)}
 
 
