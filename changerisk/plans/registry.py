@@ -6,6 +6,7 @@ from changerisk.plans import (  # noqa: F401  (importing registers the queries)
     q_evaluation,
     q_features,
     q_graph,
+    q_io,
     q_scalar,
     q_streaming,
     q_texts,

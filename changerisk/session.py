@@ -54,6 +54,3 @@ def work_folder(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
 
-
-def slice_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -39,7 +39,7 @@ def test_registry_is_complete():
     assert set(oracles) <= set(names)
     ids = {n.split("_")[0] for n in names}
     for family, last, missing in (("p", 29, set()), ("f", 8, set()), ("j", 12, set()), ("a", 20, set()), ("w", 11, {8, 9}),
-                                  ("u", 5, set()), ("g", 6, set()), ("n", 10, set()), ("m", 15, set()), ("st", 5, set())):
+                                  ("u", 5, set()), ("g", 6, set()), ("n", 10, set()), ("m", 15, set()), ("st", 5, set()), ("s", 10, set())):
         want = {f"{family}{i}" for i in range(1, last + 1) if i not in missing}
         assert want <= ids, (family, sorted(want - ids))
 
