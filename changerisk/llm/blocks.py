@@ -104,9 +104,8 @@ _powers = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
-        n = max(n, _SLICE + 1)
         for name, base in (("up", _STEP), ("down", pow(_STEP, -1, 1 << 64))):
-            run = np.full(n, base, _U)
+            run = np.full(max(n, _SLICE + 1), base, _U)
             run[0] = 1
             _powers[name] = np.multiply.accumulate(run)
     return _powers["up"][:n], _powers["down"][:n]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from changerisk.llm.decontamination import contamination
 from changerisk.llm.mixing import mix_sources
 from changerisk.llm.shared import table
 
@@ -72,3 +73,33 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """The mix of all documents, 150 % of their words, sources weighing 5, 2, 1 in turn."""
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Words of the texts and items of the decontamination and near-duplicate operators.
+WORDS_SQL = r"""REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+#: Needs ``docs`` and the benchmark; leaves ``texts`` (rid, w) and ``hits`` (rid, p, k, item_id).
+LEAKS_SQL = f"""
+texts AS (SELECT *, ROW_NUMBER() OVER () AS rid, {WORDS_SQL} AS w FROM docs),
+items AS (SELECT item_id, w, LEAST(10, LEN(w)) AS k FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE LEN(w) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, k, ARRAY_TO_STRING(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT *, UNNEST(RANGE(1, LEN(w) - k + 2)) AS p FROM items)),
+text_windows AS (
+  SELECT rid, p, k, ARRAY_TO_STRING(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT rid, w, k, UNNEST(RANGE(1, LEN(w) - k + 2)) AS p FROM texts, (SELECT DISTINCT k FROM items) WHERE LEN(w) >= k)),
+hits AS (SELECT t.rid, t.p, t.k, i.item_id FROM text_windows t JOIN item_windows i ON t.k = i.k AND t.g = i.g)
+"""
+
+OP7_SQL = f"""WITH docs AS (SELECT doc_id, text FROM documents), {LEAKS_SQL},
+hit_words AS (SELECT rid, COUNT(DISTINCT q) AS n FROM (SELECT rid, UNNEST(RANGE(p, p + k)) AS q FROM hits) GROUP BY rid),
+hit_items AS (SELECT rid, COUNT(*) AS n, STRING_AGG(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM hits) GROUP BY rid)
+SELECT doc_id, LEN(w)::BIGINT AS n_words, COALESCE(h.n, 0)::BIGINT AS n_hit, COALESCE(i.n, 0)::BIGINT AS n_items,
+  SHA256(COALESCE(i.ids, '')) AS items_sha256, COALESCE(h.n, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit_words h USING (rid) LEFT JOIN hit_items i USING (rid)"""
+
+
+@_query("op7_decontaminate", OP7_SQL)
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document inside benchmark passages of ten words, and the items hit."""
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
