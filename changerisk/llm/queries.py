@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from changerisk.llm.decontamination import contamination
 from changerisk.llm.mixing import mix_sources
+from changerisk.llm.neardup import classes
 from changerisk.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,33 @@ FROM texts LEFT JOIN hit_words h USING (rid) LEFT JOIN hit_items i USING (rid)""
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document inside benchmark passages of ten words, and the items hit."""
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+#: Needs ``docs`` (doc_id, text); leaves ``labelled`` (doc_id, class_id).
+NEAR_SQL = f"""
+worded AS (SELECT doc_id, {WORDS_SQL} AS w FROM docs),
+runs AS (
+  SELECT doc_id, ARRAY_TO_STRING(w[p:p + 4], ' ') AS g, COUNT(*) AS n
+  FROM (SELECT doc_id, w, UNNEST(RANGE(1, GREATEST(LEN(w) - 4, 1) + 1)) AS p FROM worded WHERE LEN(w) > 0) GROUP BY ALL),
+weights AS (SELECT doc_id, SUM(n) AS n FROM runs GROUP BY doc_id),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM runs x JOIN runs y ON x.g = y.g AND x.doc_id <> y.doc_id
+  JOIN weights v ON v.doc_id = x.doc_id JOIN weights u ON u.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, v.n, u.n
+  HAVING SUM(LEAST(x.n, y.n)) >= 0.8 * (v.n + u.n - SUM(LEAST(x.n, y.n)))),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM docs
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+labelled AS (SELECT a AS doc_id, MIN(b) AS class_id FROM reached GROUP BY a)
+"""
+
+OP6_SQL = f"""WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents), {NEAR_SQL}
+SELECT doc_id, class_id FROM labelled"""
+
+
+@_query("op6_near_duplicates", OP6_SQL)
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of each document: links are similarities of 0.8 of runs of five words."""
+    return classes(table(spark, folder, "documents")).select("doc_id", "class_id")
