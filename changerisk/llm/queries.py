@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from changerisk.llm.decontamination import contamination
+from changerisk.llm.language import identify
 from changerisk.llm.mixing import mix_sources
 from changerisk.llm.neardup import classes
-from changerisk.llm.shared import table
+from changerisk.llm.shared import ship_code, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,12 @@ ORACLES: dict[str, str] = {}
 
 def _query(name: str, oracle: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_code(spark)
+            return fn(spark, folder)
+
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -134,3 +140,9 @@ SELECT doc_id, class_id FROM labelled"""
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Class of each document: links are similarities of 0.8 of runs of five words."""
     return classes(table(spark, folder, "documents")).select("doc_id", "class_id")
+
+
+@_query("op4_language")
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of each document, by profiles of those not held out."""
+    return identify(table(spark, folder, "documents"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from changerisk.session import work_folder
@@ -11,6 +16,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        staging = tempfile.mkdtemp(prefix="spark-")  # Spark reads the archive as long as it runs
+        atexit.register(shutil.rmtree, staging, ignore_errors=True)
+        shutil.copytree(root / "changerisk", Path(staging, "code", "changerisk"), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{staging}/changerisk", "zip", f"{staging}/code"))
+        _shipped.add(sc.applicationId)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
