@@ -10,7 +10,9 @@ from changerisk.llm.decontamination import contamination
 from changerisk.llm.language import identify
 from changerisk.llm.mixing import mix_sources
 from changerisk.llm.neardup import classes
+from changerisk.llm.quality import resample
 from changerisk.llm.shared import ship_code, table
+from changerisk.llm.toxicity import assess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +148,15 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of each document, by profiles of those not held out."""
     return identify(table(spark, folder, "documents"))
+
+
+@_query("op3_quality")
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents sampled by importance for texts labelled good, as many as the labels' share of good ones."""
+    return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of each document, learned from the labels of those not held out."""
+    return assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
