@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from changerisk.llm.decontamination import contamination
+from changerisk.llm.fingerprints import compare_with_edits
 from changerisk.llm.language import identify
 from changerisk.llm.mixing import mix_sources
 from changerisk.llm.neardup import classes
@@ -160,3 +161,9 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of each document, learned from the labels of those not held out."""
     return assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of each document, and its likeness to an edited text and to the next document."""
+    return compare_with_edits(table(spark, folder, "documents"))
