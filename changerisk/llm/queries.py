@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from changerisk.llm.chat import render
 from changerisk.llm.decontamination import contamination
 from changerisk.llm.fingerprints import compare_with_edits
 from changerisk.llm.language import identify
@@ -167,3 +168,27 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of each document, and its likeness to an edited text and to the next document."""
     return compare_with_edits(table(spark, folder, "documents"))
+
+
+OP9_SQL = r"""WITH RECURSIVE
+turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM turns),
+prefixes AS (
+  SELECT conv_id, place, MD5(COALESCE(role, '') || '|' || (text IS NULL)::VARCHAR || (role IS NULL)::VARCHAR || COALESCE(text, '')) AS h
+  FROM placed WHERE place = 1
+  UNION ALL
+  SELECT p.conv_id, p.place, MD5(x.h || COALESCE(role, '') || '|' || (text IS NULL)::VARCHAR || (role IS NULL)::VARCHAR || COALESCE(text, ''))
+  FROM prefixes x JOIN placed p ON p.conv_id IS NOT DISTINCT FROM x.conv_id AND p.place = x.place + 1),
+sized AS (SELECT *, MAX(place) OVER (PARTITION BY conv_id) AS n FROM prefixes),
+wholes AS (SELECT MIN(conv_id) AS conv_id, n, h, COUNT(*) AS n_equal FROM sized WHERE place = n GROUP BY n, h),
+kept AS (SELECT * FROM wholes w WHERE NOT EXISTS (SELECT 1 FROM sized s WHERE s.place < s.n AND s.place = w.n AND s.h = w.h))
+SELECT k.conv_id, k.n::BIGINT AS n_turns, k.n_equal, ((place - 1) // 256)::BIGINT AS part,
+  STRING_AGG('<|' || COALESCE(role, 'unknown') || '|>' || CHR(10) || COALESCE(text, '') || '<|end|>' || CHR(10), '' ORDER BY place) AS rendered
+FROM kept k JOIN placed p ON k.conv_id IS NOT DISTINCT FROM p.conv_id
+GROUP BY k.conv_id, k.n, k.n_equal, (place - 1) // 256"""
+
+
+@_query("op9_chat", OP9_SQL)
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest of all logged conversations, in chat markup."""
+    return render(table(spark, folder, "conversations"))
