@@ -10,6 +10,7 @@ from changerisk.llm.chat import render
 from changerisk.llm.decontamination import contamination
 from changerisk.llm.fingerprints import compare_with_edits
 from changerisk.llm.language import identify
+from changerisk.llm.lm import score_held_out
 from changerisk.llm.mixing import mix_sources
 from changerisk.llm.neardup import classes
 from changerisk.llm.quality import resample
@@ -192,3 +193,9 @@ GROUP BY k.conv_id, k.n, k.n_equal, (place - 1) // 256"""
 def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
     """The longest of all logged conversations, in chat markup."""
     return render(table(spark, folder, "conversations"))
+
+
+@_query("op10_lm_score")
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of each document under a recurrent model of those not held out."""
+    return score_held_out(table(spark, folder, "documents"))
