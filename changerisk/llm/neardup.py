@@ -1,4 +1,4 @@
-"""Near-duplicate classes: DartMinHash signatures, banded joins with leaders, exact checks.
+"""Near-duplicate classes: DartMinHash signatures, banded joins, exact checks.
 
 A document is a weighted set: runs of five words (a text of fewer words is one run), each weighing
 as often as it occurs. DartMinHash throws darts into the region of each element, a unit of weight
@@ -7,9 +7,11 @@ and a coordinate keeps its earliest dart; two documents agree in a coordinate wi
 of their weighted Jaccard similarity.
 
 Rows with the same text are merged first. Documents that agree in a band of coordinates share a
-bucket; each is compared, on its whole set, with one leader of the bucket only. Those that turn out
-unlike the leader are dealt to further leaders until none is left, so a bucket of n documents gives
-n comparisons a round and never its pairs. Links are joined to classes by passing on the least id.
+bucket; of buckets with the same texts one is worked on. The texts of a bucket are compared on their
+whole sets until links connect them or none is left to try; only links that connect are passed on,
+never a bucket's pairs. A large bucket is dealt into parts of bounded size with some texts in common;
+what then still stands apart from the bucket's largest class is compared with all of the bucket.
+Links are joined to classes by passing on the least id.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ SIMILARITY = 0.8
 #: Bands of ROWS coordinates: documents of similarity 0.8 miss each other in all with p < 0.0001.
 BANDS, ROWS = 24, 5
 
-#: Orders by which buckets choose their leaders.
-ORDERS = 2
+#: Texts compared in one task; of a larger bucket, about LEADERS texts are in each part.
+CHUNK, LEADERS = 256, 16
 
 _U = np.uint64
 #: Elements are compared by so many bytes of their hashes.
@@ -115,18 +117,6 @@ def _compact(parts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]
         yield pd.DataFrame({"same": part["same"], "cells": sets})
 
 
-def _compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        found = []
-        for a, b in zip(part["cells_a"], part["cells_b"], strict=True):
-            a, b = np.frombuffer(a, _CELL), np.frombuffer(b, _CELL)
-            small, large = (a, b) if len(a) <= len(b) else (b, a)
-            at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
-            both = int((large[at] == small).sum()) if len(large) else 0
-            found.append(both / max(len(a) + len(b) - both, 1))
-        yield pd.DataFrame({"a": part["a"], "b": part["b"], "similarity": found})
-
-
 def _same() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
@@ -144,34 +134,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", size: int = SHINGLE, simila
     signed = stored(base.mapInPandas(lambda p: _signed(p, size, bands, rows), f"id {docs.schema[id_col].dataType.simpleString()}, same binary, bands array<long>"))
     worded = signed.where(F.size("bands") > 0)
     texts = stored(worded.groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
-    buckets = texts.select("same", F.explode("bands").alias("bucket"))
-    waiting = _shared(buckets)
-    links = None
-    sets = None
-    while True:
-        # Few orders of texts, so that the buckets of a family mostly agree in their leaders and a
-        # pair is compared once; more than one, so that a text unlike one leader meets another.
-        order = F.xxhash64("same", F.pmod("bucket", F.lit(ORDERS)))
-        lead = waiting.groupBy("bucket").agg(F.min(F.struct(order, "same")).getField("same").alias("b"))
-        pairs = stored(waiting.join(lead, "bucket").where("same != b").select("bucket", F.col("same").alias("a"), "b"))
-        if pairs.isEmpty():
-            break
-        if sets is None:
-            # All that may ever be compared shares a bucket now.
-            needed = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi").select("same", "id")
-            chosen = base.alias("d").join(needed.alias("n"), F.col("d.same").eqNullSafe(F.col("n.same")) & F.col("d.id").eqNullSafe(F.col("n.id"))).select("d.same", "d.text")
-            sets = stored(chosen.mapInPandas(lambda p: _compact(p, size), "same binary, cells binary").dropDuplicates(["same"]))
-        distinct = pairs.select("a", "b").distinct()
-        if links is not None:
-            distinct = distinct.join(links, ["a", "b"], "left_anti")
-        left = sets.select(F.col("same").alias("a"), F.col("cells").alias("cells_a"))
-        right = sets.select(F.col("same").alias("b"), F.col("cells").alias("cells_b"))
-        found = distinct.join(left, "a").join(right, "b").mapInPandas(_compared, "a binary, b binary, similarity double")
-        found = stored(found.where(F.col("similarity") >= F.lit(similarity)).select("a", "b"))
-        links = found if links is None else stored(links.unionByName(found))
-        waiting = stored(_shared(pairs.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("same"), "bucket")))
-    labelled = _components(texts.select("same", "id", "copies"), links)
-    s, c = signed.alias("s"), labelled.alias("c")
+    buckets = stored(_distinct_buckets(texts.select("same", F.explode("bands").alias("bucket"))))
+    # All that is ever compared shares a bucket.
+    needed = texts.join(buckets.select("same").distinct(), "same", "left_semi").select("same", "id")
+    chosen = base.alias("d").join(needed.alias("n"), F.col("d.same").eqNullSafe(F.col("n.same")) & F.col("d.id").eqNullSafe(F.col("n.id"))).select("d.same", "d.text")
+    sets = stored(chosen.mapInPandas(lambda p: _compact(p, size), "same binary, cells binary").dropDuplicates(["same"]))
+    links = stored(_linked(_dealt(buckets), sets, similarity))
+    labels = _components(texts.select("same", "id", "copies"), links)
+    large = buckets.where(F.col("n") > CHUNK)
+    if not large.isEmpty():
+        more = stored(_linked(_odd_ones(large, labels), sets, similarity))
+        if not more.isEmpty():
+            labels = _components(texts.select("same", "id", "copies"), stored(links.unionByName(more)))
+    s, c = signed.alias("s"), labels.alias("c")
     return s.join(c, (F.size("s.bands") > 0) & (F.col("s.same") == F.col("c.same")), "left").select(
         F.col("s.id").alias(id_col),
         F.when(F.col("c.same").isNull(), F.col("s.id")).otherwise(F.col("c.label")).alias("class_id"),
@@ -179,16 +154,87 @@ def classes(docs: DataFrame, id_col: str = "doc_id", size: int = SHINGLE, simila
     )
 
 
-def _shared(buckets: DataFrame) -> DataFrame:
-    """Rows of buckets that hold two texts at least."""
-    many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return buckets.join(many, "bucket", "left_semi")
+def _distinct_buckets(rows: DataFrame) -> DataFrame:
+    """bucket, same, n: buckets of two texts at least, one of those with the same texts."""
+    each = rows.groupBy("bucket").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("same", F.lit(s))).alias(f"x{s}") for s in (1, 2)])
+    kept = each.where("n > 1").groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    return rows.join(kept, "bucket")
+
 
+def _dealt(buckets: DataFrame) -> DataFrame:
+    """bucket, part, same, old: the groups to compare. Large buckets are dealt into parts.
 
-def _components(texts: DataFrame, links: DataFrame | None) -> DataFrame:
-    """same, label (least id reached over links), linked."""
-    if links is None:
-        return texts.select("same", F.col("id").alias("label"), (F.col("copies") > 1).alias("linked"))
+    About LEADERS texts of a large bucket are put into each of its parts, so that what is linked to
+    any of them meets across parts.
+    """
+    parts = F.ceil(F.col("n") / CHUNK)
+    draw = F.xxhash64("same", "bucket")
+    rows = buckets.withColumn("parts", parts).withColumn("draw", draw)
+    leads = (F.col("parts") > 1) & (F.pmod(F.shiftright("draw", 20), F.col("n")) < LEADERS)
+    own = F.pmod("draw", F.col("parts"))
+    return rows.select("bucket", F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))).alias("part"), "same", F.lit(None).cast("string").alias("known"))
+
+
+def _odd_ones(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups that compare each text of a large bucket that is outside its largest class with all others.
+
+    What is in one class needs no comparison, so this leaves no pair of the bucket out.
+    """
+    held = stored(large.join(labels.select("same", F.coalesce("root", "same").alias("root")), "same"))
+    sizes = held.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).getField("root").alias("main"), F.sum("k").alias("all"), F.max("k").alias("k"))
+    main = main.where("all > k").withColumn("odds", F.ceil((F.col("all") - F.col("k")) / CHUNK)).withColumn("parts", F.ceil(F.col("all") / CHUNK))
+    rows = held.join(main, "bucket").withColumn("draw", F.xxhash64("same", "bucket"))
+    known = F.hex("root").alias("known")
+    odd = rows.where("root != main").select("bucket", F.pmod("draw", F.col("odds")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), "same", known, "parts")
+    every = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("odds") - 1)).alias("i"), F.pmod("draw", F.col("parts")).alias("j"), "same", known, "parts")
+    return odd.unionByName(every).select("bucket", (F.col("i") * F.col("parts") + F.col("j")).alias("part"), "same", "known").distinct()
+
+
+def _linked(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect all texts of each group that links connect."""
+
+    def connect(part: pd.DataFrame) -> pd.DataFrame:
+        cells = [np.frombuffer(c, _CELL) for c in part["cells"]]
+        names, known = part["same"].tolist(), part["known"].tolist()
+        root = list(range(len(names)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        met: dict[str, int] = {}
+        for i, k in enumerate(known):
+            if k is not None:
+                root[top(i)] = top(met.setdefault(k, i))
+        found = []
+        order = sorted(range(len(names)), key=lambda i: (len(cells[i]), names[i]))
+        for at, i in enumerate(order):
+            # Nearest sizes first; sizes too far apart cannot be similar.
+            for j in reversed(order[:at]):
+                if len(cells[j]) < similarity * len(cells[i]):
+                    break
+                if top(i) != top(j) and _similarity(cells[i], cells[j]) >= similarity:
+                    root[top(i)] = top(j)
+                    found.append((names[i], names[j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return groups.join(sets, "same").groupBy("bucket", "part").applyInPandas(connect, "a binary, b binary").distinct()
+
+
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(large):
+        return 0.0
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _components(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """same, label (least id reached over links), linked, root (a text of the class; null if it is alone)."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
     ends = both.select(F.col("a").alias("same")).distinct()
     label = stored(texts.join(ends, "same", "left_semi").select("same", F.struct(F.col("id").isNull().alias("none"), "id", "same").alias("label")))
@@ -201,9 +247,9 @@ def _components(texts: DataFrame, links: DataFrame | None) -> DataFrame:
         label = new.select("same", "label")
         if new.where("was != label").isEmpty():
             break
-    done = label.select("same", F.col("label.id").alias("label"))
+    done = label.select("same", F.col("label.id").alias("label"), F.col("label.same").alias("root"))
     t = texts.alias("t").join(done.alias("l"), "same", "left")
-    return t.select("same", F.when(F.col("l.label").isNull(), F.col("t.id")).otherwise(F.col("l.label")).alias("label"), (F.col("l.label").isNotNull() | (F.col("t.copies") > 1)).alias("linked"))
+    return t.select("same", F.when(F.col("l.root").isNull(), F.col("t.id")).otherwise(F.col("l.label")).alias("label"), (F.col("l.root").isNotNull() | (F.col("t.copies") > 1)).alias("linked"), "l.root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
