@@ -60,10 +60,14 @@ def hashed_sample(df: DataFrame, groups: list[str], bound: int, *identity: Colum
     Group sizes are counted first, then each row compares its hash with its group's rate; no
     group is sorted or gathered. The size is binomial around ``bound``.
     """
-    # Other names than the rows' own, so that extra columns cannot clash.
+    drawn = hash_fraction(*identity)
+    if not groups:
+        return df.where(drawn * F.lit(float(df.count())) < F.lit(float(bound)))
+    # Other names than the rows' own, so that extra columns cannot clash. Stored, so that Spark knows
+    # how small the table is before it plans to move rows for it.
     renamed = {g: f"_group_{i}" for i, g in enumerate(groups)}
-    sizes = df.groupBy(*[F.col(g).alias(n) for g, n in renamed.items()]).agg(F.count("*").alias("_rows"))
+    sizes = stored(df.groupBy(*[F.col(g).alias(n) for g, n in renamed.items()]).agg(F.count("*").alias("_rows")))
     match = F.lit(True)
     for g, n in renamed.items():
         match = match & df[g].eqNullSafe(F.col(n))
-    return df.join(sizes, match).where(hash_fraction(*identity) * F.col("_rows") < F.lit(float(bound))).select(*[df[c] for c in df.columns])
+    return df.join(sizes, match).where(drawn * F.col("_rows") < F.lit(float(bound))).select(*[df[c] for c in df.columns])
