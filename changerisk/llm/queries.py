@@ -15,6 +15,7 @@ from changerisk.llm.mixing import mix_sources
 from changerisk.llm.neardup import classes
 from changerisk.llm.quality import resample
 from changerisk.llm.shared import ship_code, table
+from changerisk.llm.tokens import count_tokens
 from changerisk.llm.toxicity import assess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +200,9 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of each document under a recurrent model of those not held out."""
     return score_held_out(table(spark, folder, "documents"))
+
+
+@_query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each document, counted in flat token files."""
+    return count_tokens(table(spark, folder, "documents"))
