@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from changerisk.llm.blocks import ALNUM, cut, hashes, words
+from changerisk.llm.shared import set_aside
 
 #: Words of a window.
 WINDOW = 10
@@ -253,6 +254,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     word after them; a document of which more than ``coverage`` of the words are hit is dropped.
     Texts without hits stay as they are.
     """
+    docs, back = set_aside(docs)
     fields = docs.schema
     marked = mark(docs, benchmark, window)
     kept = marked.where(_hit_count() <= F.col("hit_words") * F.lit(coverage))
@@ -266,7 +268,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     clean = kept.where(F.size("hit_spans") == 0).select(*fields.names)
     hit = kept.where(F.size("hit_spans") > 0).mapInPandas(step, fields)
-    return clean.unionByName(hit)
+    return back(clean.unionByName(hit))
 
 
 def without(text: str, spans: list[int]) -> str:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from changerisk.llm.blocks import cut
-from changerisk.llm.shared import hashed_sample, remainder
+from changerisk.llm.shared import hashed_sample, remainder, set_aside
 
 #: Places of a profile, and of a document's list.
 PLACES = 300
@@ -185,5 +185,6 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> DataFrame:
     """``docs`` without those of no language: ``und``, or nothing in common with any profile."""
+    docs, back = set_aside(docs)
     judged = predict(docs, learn(docs.where(remainder("doc_id", 3) != 1), sample))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("lang_score") > least)).select(*docs.columns)
+    return back(judged.where((F.col("lang_pred") != "und") & (F.col("lang_score") > least)))

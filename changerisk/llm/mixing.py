@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from changerisk.llm.shared import stored
+from changerisk.llm.shared import set_aside, stored
 
 #: Keys have so many bits; each histogram resolves STEP of them.
 BITS, STEP = 48, 12
@@ -122,3 +122,11 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: t
         copies.alias("copies"),
         (copies * F.col("s.weight")).alias("taken"),
     )
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with copies: how often. A column of that name gives way."""
+    docs = docs.drop("copies")
+    plain, _ = set_aside(docs)
+    taken = mix_sources(plain, tuple(plain.columns)).where("copies > 0")
+    return taken.select(*plain.columns, "copies").toDF(*docs.columns, "copies")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changerisk.llm.blocks import ALNUM, cut, hashes, mix, occurrences, unit, windows, words
-from changerisk.llm.shared import stored
+from changerisk.llm.shared import set_aside, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -257,6 +257,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 
     The rows are numbered in a stored copy first, so that rows with equal or null ids are told apart.
     """
+    docs, back = set_aside(docs, (id_col, "text"))
     numbered = stored(docs.select("*", F.monotonically_increasing_id().alias("_row")))
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
     found = classes(numbered, "_row", **how)
@@ -265,4 +266,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     first = found.where("linked").join(narrow, "_row").groupBy("class_id").agg(F.min("_order").alias("o"))
     stays = first.select(F.col("o._row").alias("_row"))
     goes = found.where("linked").select("_row").join(stays, "_row", "left_anti")
-    return numbered.join(stored(goes), "_row", "left_anti").select(*docs.columns)
+    return back(numbered.join(stored(goes), "_row", "left_anti"))

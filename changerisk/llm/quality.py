@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from changerisk.llm.blocks import SOLID, cut, hashes, mix, words
 from changerisk.llm.mixing import BITS, budget_cuts
-from changerisk.llm.shared import hash_fraction, hashed_sample, stored
+from changerisk.llm.shared import hash_fraction, hashed_sample, set_aside, stored
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 16
@@ -164,7 +164,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, sam
 
 def keep_selected(docs: DataFrame, labels: DataFrame, share: float | None = None, sample: int = TARGET_SAMPLE) -> DataFrame:
     """The selected rows of ``docs``."""
-    scored = importance(docs.select("*"), labels, sample)
+    docs, back = set_aside(docs)
     noise = gumbel_noise(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    noisy = stored(scored.select("*", noise.alias("noise")))
-    return gumbel_cut(noisy, good_share(labels) if share is None else share).where("selected").select(*docs.columns)
+    noisy = stored(importance(docs, labels, sample).select("*", noise.alias("noise")))
+    return back(gumbel_cut(noisy, good_share(labels) if share is None else share).where("selected"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,6 +17,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "lang", "source")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all other columns renamed, so that none clashes with a working column; and the way back."""
+    names = [c if c in used else f"_extra_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
+
+
 _shipped: set[str] = set()
 
 
