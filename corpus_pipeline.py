@@ -4,9 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changerisk.llm.shared import stored, table
+from changerisk.llm.decontamination import decontaminate
+from changerisk.llm.language import keep_identified
+from changerisk.llm.mixing import mixed_rows
+from changerisk.llm.neardup import keep_one
+from changerisk.llm.quality import keep_selected
+from changerisk.llm.shared import ship_code, stored, table
 
-STAGES: list = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which some language is recognised."""
+    ship_code(spark)
+    return keep_identified(docs)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled by importance for good text."""
+    ship_code(spark)
+    return keep_selected(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    ship_code(spark)
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark passages; documents that are mostly such passages go."""
+    ship_code(spark)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix of sources takes, with how often."""
+    ship_code(spark)
+    return mixed_rows(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: The language and quality stages are models that SQL cannot express.
 ORACLE_SQL = None
 
 
