@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from changerisk.llm.decontamination import decontaminate
 from changerisk.llm.language import keep_identified
@@ -31,9 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without benchmark passages; documents that are mostly such passages go."""
+    """Texts without benchmark passages, and n_chars of what is left; documents that are mostly such passages go."""
     ship_code(spark)
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    clean = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
