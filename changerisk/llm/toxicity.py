@@ -22,8 +22,8 @@ from changerisk.llm.blocks import ALNUM, Words, cut, hashes, mix, words
 from changerisk.llm.shared import hashed_sample, remainder
 
 #: About so many labelled documents of each class are learned from, and so many windows of each.
-SAMPLE = 4_000
-SAMPLE_WINDOWS = 2048
+SAMPLE = 2_000
+SAMPLE_WINDOWS = 1024
 #: Words of a window, sizes of n-grams in bytes, buckets of n-grams, size of an embedding.
 WINDOW = 2
 GRAMS = (3, 4, 5, 6)
@@ -117,15 +117,14 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, epochs: int = E
     if not len(w.start) or toxic.all() or not toxic.any():
         return Model(value, 0.0, weights)
     _, which, back = np.unique(hashes(w), return_index=True, return_inverse=True)
-    who, bucket = grams(w, which)
-    gram_end = np.cumsum(np.bincount(who, minlength=len(which)))
-    order = np.argsort(who, kind="stable")
-    bucket = bucket[order].astype(np.int32)
-    gram_count = np.diff(np.concatenate(([0], gram_end)))
+    bucket, gram_count = _listed(w, which)
+    gram_end = np.cumsum(gram_count)
     number, doc = window_of(w)
+    word_doc = doc[number].astype(np.int32)
     win_count = np.bincount(number)
     win_start = np.concatenate(([0], np.cumsum(win_count)))
-    who = who[order]
+    back = back.astype(np.int32)
+    del w, which, number
 
     held = rng.random(len(texts)) < 0.2
     table = (rng.standard_normal((BUCKETS, DIM)) / DIM).astype(np.float32)
@@ -136,12 +135,14 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, epochs: int = E
 
     def logits() -> np.ndarray:
         v = table @ (out[:, 1] - out[:, 0])
-        score = (np.bincount(who, v[bucket], minlength=len(which)) / np.maximum(gram_count, 1))[back]
-        return np.bincount(number, score) / win_count + (bias[1] - bias[0])
+        # A zero at the end, for words without n-grams there.
+        sums = np.add.reduceat(np.append(v[bucket], np.float32(0)), gram_end - gram_count)
+        score = np.where(gram_count > 0, sums / np.maximum(gram_count, 1), 0).astype(np.float32)[back]
+        return np.add.reduceat(score, win_start[:-1]) / win_count + (bias[1] - bias[0])
 
     learn = ~held
     # Start where n-grams stand in more toxic documents than chance allows, or in fewer.
-    table[:, 0] = _contrast(*_presence(doc[number], back, gram_count, gram_end, bucket), toxic, learn) * START
+    table[:, 0] = _contrast(word_doc, back, gram_count, gram_end, bucket, toxic, learn) * START
     out[0] = (-0.5, 0.5)
     many = 2
     for _ in range(epochs):
@@ -188,23 +189,28 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, epochs: int = E
     return Model((table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), weights)
 
 
-def _presence(word_doc: np.ndarray, word: np.ndarray, gram_count: np.ndarray, gram_end: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket), once each, of the n-grams that a document holds."""
-    pairs = np.unique(word_doc.astype(np.int64) << 32 | word)
-    doc, word = pairs >> 32, pairs & 0xFFFFFFFF
-    n = gram_count[word]
-    pairs = np.unique(np.repeat(doc, n) << 32 | bucket[_spread((gram_end - gram_count)[word], n)])
-    return pairs >> 32, pairs & 0xFFFFFFFF
+def _listed(w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of some words, word by word, and how many each has; some words at a time."""
+    buckets, counts = [], []
+    for lo in range(0, len(which), 1 << 15):
+        part = which[lo : lo + (1 << 15)]
+        who, bucket = grams(w, part)
+        buckets.append(bucket[np.argsort(who, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(who, minlength=len(part)))
+    return np.concatenate(buckets), np.concatenate(counts)
 
 
-def _contrast(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, learn: np.ndarray) -> np.ndarray:
+def _contrast(word_doc: np.ndarray, word: np.ndarray, gram_count: np.ndarray, gram_end: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, learn: np.ndarray) -> np.ndarray:
     """Standard errors by which toxic documents hold an n-gram more often than clean ones, less 3."""
-    on = learn[doc]
+    held = {True: np.zeros(BUCKETS, np.int64), False: np.zeros(BUCKETS, np.int64)}
+    ends = np.searchsorted(word_doc, np.arange(len(toxic) + 1))
+    for d in np.flatnonzero(learn):
+        own = np.unique(word[ends[d] : ends[d + 1]])
+        own = np.unique(bucket[_spread((gram_end - gram_count)[own], gram_count[own])])
+        held[bool(toxic[d])][own] += 1
     a, b = max((toxic & learn).sum(), 1), max((~toxic & learn).sum(), 1)
-    in_a = np.bincount(bucket[on & toxic[doc]], minlength=BUCKETS)
-    in_b = np.bincount(bucket[on & ~toxic[doc]], minlength=BUCKETS)
-    p = (in_a + in_b) / (a + b)
-    z = (in_a / a - in_b / b) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / a + 1 / b))
+    p = (held[True] + held[False]) / (a + b)
+    z = (held[True] / a - held[False] / b) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / a + 1 / b))
     return np.sign(z) * np.maximum(np.abs(z) - 3, 0)
 
 
