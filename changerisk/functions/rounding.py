@@ -10,7 +10,8 @@ def round_exact(value: Column, digits: int) -> Column:
 
     ``round`` and ``bround`` judge ties on the printed decimal, so 0.265 counts as a tie although
     the double lies above it. Here the product with 10**digits is split (Dekker) into a rounded
-    product and its exact error, and the error decides what looks like a tie.
+    product and its exact error, and the error decides what looks like a tie. From 2**53 /
+    10**digits on, doubles are no closer together than the decimals, and a value stays itself.
     """
     scale = float(10**digits)
     v = value.cast("double")
@@ -22,7 +23,7 @@ def round_exact(value: Column, digits: int) -> Column:
     side = (p - low - F.lit(0.5)) + err
     odd = (F.abs(low) % 2) == 1
     whole = F.when(side > 0, low + 1).when(side < 0, low).when(odd, low + 1).otherwise(low)
-    usable = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e11))
+    usable = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float(2**53) / scale))
     return F.when(usable, whole / F.lit(scale)).otherwise(v)
 
 

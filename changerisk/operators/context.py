@@ -9,7 +9,7 @@ from changerisk.operators.ordered import running_totals
 from changerisk.session import materialize
 
 KEY = ["repo", "full_hash"]
-# Byte budget and the smallest rest worth filling.
+# A usual byte budget (callers name theirs) and the smallest rest worth filling.
 MAX_BYTES = 50_000
 SMALLEST_CUT = 20
 CUT_NOTE = "\n[TRUNCATED: File diff cut off due to context size limit]"
@@ -56,7 +56,7 @@ def cut_utf8(text: Column, size: Column) -> Column:
     return out
 
 
-def pack_context(files: DataFrame, budget: int = MAX_BYTES) -> DataFrame:
+def pack_context(files: DataFrame, budget: int) -> DataFrame:
     """Decide for each file whether it is included, cut or dropped.
 
     Files go by (priority, order in the diff) while their bytes fit; the first that does not is
@@ -105,7 +105,7 @@ def inventory_line() -> Column:
 
 
 def build_review_context(
-    commits: DataFrame, files: DataFrame, scores: DataFrame | None = None, budget: int = MAX_BYTES
+    commits: DataFrame, files: DataFrame, budget: int, scores: DataFrame | None = None
 ) -> DataFrame:
     """Text per commit: metadata, score, complete file list and the packed diff.
 

@@ -58,6 +58,7 @@ def quality_report(dataset: DataFrame, time_column: str = "ts") -> DataFrame:
         positives.alias("label_1_count"),
         F.count_if(F.col(TARGET) == 0).alias("label_0_count"),
         round_exact(positives * 100.0 / total, 2).alias("percentage_label_1"),
+        F.count_if(F.col(time_column).isNull()).alias("null_timestamps"),
         F.min(time_column).alias("min_timestamp"),
         F.max(time_column).alias("max_timestamp"),
     ).withColumns(
@@ -83,10 +84,12 @@ def temporal_split(
 ) -> DataFrame:
     """Chronological split per repository; sizes are half-even shares of the row count.
 
-    Positions come from :func:`row_positions`, so one repository with most of the rows is still
-    sorted by many tasks.
+    Positions come from :func:`row_positions` over the ordering columns alone, so one repository
+    with most of the rows is still sorted by many tasks and wide rows are moved once. A row without
+    an instant has no place in time: its split is ``undated``, and it counts for no share.
     """
-    placed = row_positions(dataset, ["repo"], list(order))
+    dated = dataset.where(F.col(order[0]).isNotNull())
+    placed = row_positions(dated.select("repo", *order), ["repo"], list(order))
     n = F.col("position_total")
     first = F.bround(n * F.lit(train)).cast("bigint")
     second = first + F.bround(n * F.lit(validation)).cast("bigint")
@@ -95,7 +98,11 @@ def temporal_split(
         .when(F.col("position") <= second, "validation")
         .otherwise("test")
     )
-    return placed.withColumn("split", split).drop("position_total")
+    ranked = placed.select("repo", *order, "position", split.alias("split"))
+    same = [dated[k].eqNullSafe(ranked[k]) for k in ("repo", *order)]
+    found = dated.join(ranked, same).select(*[dated[k] for k in dataset.columns], "position", "split")
+    undated = dataset.where(F.col(order[0]).isNull())
+    return found.unionByName(undated.withColumns({"position": F.lit(None).cast("bigint"), "split": F.lit("undated")}))
 
 
 def is_chronological(dataset: DataFrame, block_rows: int = 1_000_000) -> DataFrame:

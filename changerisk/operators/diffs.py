@@ -15,7 +15,7 @@ KEY = ["repo", "full_hash"]
 # Diff markers.
 GIT_HEADER = r"^diff --git a/(.*?) b/(.*)"
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
-HEADER_LINES = 9
+HEADER_LINES = 9  # of which the original text rules read file marks
 _AT_LINE_START = r"(?<![^\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])"
 _HUNK_CUT = _AT_LINE_START + r"(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
 
@@ -78,9 +78,15 @@ def hunks_of(block: Column, compat: bool = False) -> Column:
 
 
 def classify_files(files: DataFrame, compat: bool = False) -> DataFrame:
-    """Status, rename paths, binary and generated flags, and the hunks of each file."""
-    top = F.substring_index("block", "\n", HEADER_LINES + 1)
-    head = F.slice(lines_of(top), 2, HEADER_LINES)
+    """Status, rename paths, binary and generated flags, and the hunks of each file.
+
+    Marks are read from all lines before the first hunk; ``compat=True`` reads HEADER_LINES lines.
+    A file is generated if its old or its new path is that of a generated file.
+    """
+    if compat:
+        head = F.slice(lines_of(F.substring_index("block", "\n", HEADER_LINES + 1)), 2, HEADER_LINES)
+    else:
+        head = F.slice(lines_of(F.get(F.split("block", _HUNK_CUT, 2), 0)), 2, 2**30)
     marks = [
         ("new file mode", "ADDED"),
         ("deleted file mode", "DELETED"),
@@ -116,10 +122,10 @@ def classify_files(files: DataFrame, compat: bool = False) -> DataFrame:
             "is_binary": binary,
         }
     )
-    path = F.when(F.col("new_path") == "", F.col("old_path")).otherwise(F.col("new_path"))
+    generated = is_generated_file(F.col("old_path")) | is_generated_file(F.col("new_path"))
     text = F.when(F.col("is_binary"), "").otherwise(F.col("block"))
     return named.withColumns(
-        {"is_generated": is_generated_file(path), "hunks": hunks_of(text, compat)}
+        {"is_generated": generated, "hunks": hunks_of(text, compat)}
     ).drop("_head", "block")
 
 

@@ -96,7 +96,7 @@ def evidence_summary(evidence: DataFrame) -> DataFrame:
     """One row per introducing commit.
 
     Rows are first reduced per (introducing commit, fix), which spreads a commit that collects
-    most of the blame; what is left per commit is one short hash per fix.
+    most of the blame; what is left per commit is one hash per fix, told apart in full and shown short.
     """
     rank = F.when(F.col("confidence") == "HIGH", 3).when(F.col("confidence") == "MEDIUM", 2).otherwise(1)
     per_fix = evidence.groupBy("repo", "intro_hash", "fix_hash").agg(
@@ -106,7 +106,7 @@ def evidence_summary(evidence: DataFrame) -> DataFrame:
         F.max("issue_id").alias("issue_id"),
     )
     return per_fix.groupBy("repo", "intro_hash").agg(
-        F.array_sort(F.collect_set(fc.short_hash(F.col("fix_hash")))).alias("fixing_commits"),
+        F.transform(F.array_sort(F.collect_list("fix_hash")), fc.short_hash).alias("fixing_commits"),
         F.array_sort(F.collect_set(F.nullif(F.col("issue_id"), F.lit("")))).alias("fixing_issues"),
         F.max("rank").alias("rank"),
         F.bool_or("is_revert").alias("is_revert"),
@@ -151,7 +151,7 @@ def label_audit(evidence: DataFrame, labels: DataFrame) -> DataFrame:
             F.lit(column).alias("section"), "name", "n"
         )
 
-    links = evidence.select("repo", "intro_hash", fc.short_hash(F.col("fix_hash")).alias("fix")).distinct()
+    links = evidence.select("repo", "intro_hash", "fix_hash").distinct()
     per_commit = links.groupBy("repo", "intro_hash").agg(F.count("*").alias("fixes"))
     linkage = per_commit.agg(
         F.coalesce(F.sum("fixes"), F.lit(0)).alias("fix_linkages"),

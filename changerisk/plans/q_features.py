@@ -41,7 +41,7 @@ EVIDENCE = """SELECT o.repo, o.origin_sha AS intro_hash, o.full_hash AS fix_hash
   CASE WHEN has_issue_id AND has_fix_keyword THEN 3 ELSE 2 END AS rnk, o.path, o.old_count AS traced_lines
 FROM origins o JOIN signals s ON s.repo = o.repo AND s.full_hash = o.full_hash
 WHERE (has_fix_keyword OR has_issue_id) AND NOT is_cosmetic"""
-SUMMARY = """SELECT repo, intro_hash, array_to_string(list_sort(list_distinct(list(substr(fix_hash, 1, 7)))), ',') AS fixing_commits,
+SUMMARY = """SELECT repo, intro_hash, array_to_string(list_transform(list_sort(list_distinct(list(fix_hash))), lambda x: substr(x, 1, 7)), ',') AS fixing_commits,
   coalesce(array_to_string(list_sort(list_distinct(list(issue_id) FILTER (issue_id <> ''))), ','), '') AS fixing_issues,
   max(rnk) AS rnk, bool_or(is_revert) AS is_revert, CAST(sum(traced_lines) AS BIGINT) AS traced_lines_count
 FROM evidence GROUP BY repo, intro_hash"""
@@ -239,7 +239,7 @@ def j2(t):
 @query("a5_quality_report", wa(V_ALL, f"""SELECT count(*) AS total_rows, {", ".join(f"CAST(count_if({f} IS NULL) AS BIGINT) AS null_{f}" for f in FEATURES)},
  CAST(count_if(code_churn <> lines_added + lines_deleted) AS BIGINT) AS churn_mismatches, CAST(count_if(bug_introduced NOT IN (0, 1)) AS BIGINT) AS invalid_targets,
  CAST(count_if(bug_introduced = 1) AS BIGINT) AS label_1_count, CAST(count_if(bug_introduced = 0) AS BIGINT) AS label_0_count,
- (CAST(printf('%.2f', CAST(count_if(bug_introduced = 1) AS DOUBLE) * 100.0::DOUBLE / count(*)) AS DOUBLE) + 0.0::DOUBLE) AS percentage_label_1, min(ts) AS min_timestamp, max(ts) AS max_timestamp,
+ (CAST(printf('%.2f', CAST(count_if(bug_introduced = 1) AS DOUBLE) * 100.0::DOUBLE / count(*)) AS DOUBLE) + 0.0::DOUBLE) AS percentage_label_1, CAST(count_if(ts IS NULL) AS BIGINT) AS null_timestamps, min(ts) AS min_timestamp, max(ts) AS max_timestamp,
  '' AS leaked_columns, '' AS non_numeric_features FROM dataset""", P_DATA))
 def a5(t):
     return ds.quality_report(dataset(t))

@@ -13,18 +13,22 @@ from changerisk.plans.adapters import with_adapters as wa
 from changerisk.plans.catalog import query
 from changerisk.plans.q_evaluation import BIAS, COEF, P_SCORED, SCALE, V_FEAT
 from changerisk.plans.q_texts import P_EV, SECRET, event_rows
-from changerisk.session import work_folder
+from changerisk.session import materialize, work_folder
 from changerisk.streaming import events as se
 
 c = F.col
 
 
 def _stream(t, files: int = 2):
-    """The events as a stream of ``files`` files, one per micro-batch, and a folder for results."""
+    """The events as a stream of ``files`` micro-batches, and a folder for results.
+
+    Each batch is a folder of as many files as its rows' tasks left.
+    """
     folder = work_folder(t.spark)
     rows = event_rows(t).select("headers", "body", "received_at")
-    rows.repartition(files, "received_at").write.parquet(f"{folder}/events")
-    return se.read_event_stream(t.spark, f"{folder}/events", 1), folder
+    rows.withColumn("batch", F.pmod(F.hash("received_at"), F.lit(files))).write.partitionBy("batch").parquet(f"{folder}/events")
+    written = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/events").select("path").count()
+    return se.read_event_stream(t.spark, f"{folder}/events/batch=*", -(-written // files)), folder
 
 
 def _accepted(t):
@@ -44,7 +48,7 @@ def st2(t):
 
 @query("st3_drop_redeliveries", wa(["v_bodies"], "SELECT DISTINCT delivery_id FROM v_bodies"))
 def st3(t):
-    stream, folder = _stream(t, 1)
+    stream, folder = _stream(t, 8)
     named = stream.select(ev.header(c("headers"), "x-github-delivery").alias("delivery_id"), "received_at")
     se.drop_redeliveries(named).writeStream.format("parquet").option("path", f"{folder}/out").option(
         "checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start().awaitTermination()
@@ -65,7 +69,8 @@ def st4(t):
 def st5(t):
     stream, folder = _stream(t)
     good = ev.accepted(ev.classify_events(stream, SECRET))
-    static = qf.features(t).withColumn("repo", F.lit("own/r1"))
+    # Stored once: each micro-batch reads the table, not the way to it.
+    static = materialize(qf.features(t).withColumn("repo", F.lit("own/r1")))
     scorer = lambda f: md.score_logistic(f, COEF, BIAS, SCALE)
     out = se.score_stream(good, static, scorer).select("head_sha", "owner", "raw_probability")
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(

@@ -1,7 +1,9 @@
-"""Session settings and the one way this package cuts lineage."""
+"""Session settings and the one way this package cuts lineage: Parquet in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def build_session(app: str = "changerisk", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -34,19 +37,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there.
+    """Write ``df`` as Parquet to the shared folder and continue from there.
 
-    Needed where later steps must see one fixed result (range slices, fixpoint rounds); the
-    files survive the loss of executors, unlike a cache or a local checkpoint.
+    Needed where later steps must see one fixed result (range slices, fixpoint rounds). The files
+    survive the loss of executors, and what reads them reads only the columns it needs.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def work_folder(spark: SparkSession) -> str:

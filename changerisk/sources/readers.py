@@ -170,11 +170,37 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(*[F.to_json(s).alias(s) for s in REPORT_SECTIONS])
 
 
+def parse_numstat_export(exports: DataFrame, text: str = "value") -> DataFrame:
+    """full_hash, added, deleted, raw_path from numstat exports, one text per row.
+
+    An export lists each commit by a line with its full hash, followed by its numstat lines. A text
+    is cut at the hash lines inside the row, so each file row knows its commit without a window.
+    """
+    extra = [c for c in exports.columns if c != text]
+    cut = F.split(text, r"(?m)^(?=(?:commit )?[0-9a-f]{40}\s*$)")
+    parts = exports.select(*extra, F.explode(cut).alias("_part"))
+    own = F.regexp_extract("_part", r"\A(?:commit )?([0-9a-f]{40})\s*(?:\n|\z)", 1)
+    lines = parts.select(*extra, own.alias("full_hash"), F.explode(F.split("_part", "\n")).alias("line"))
+    return parse_numstat(lines.where(F.col("full_hash") != ""))
+
+
 def read_commit_facts(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Exported facts as text lines: ``change_log``, ``subject_log`` or ``numstat``."""
+    """Exported facts: ``change_log``, ``subject_log``, ``numstat`` or ``diff``.
+
+    The latter two are read file by file, so an export is to be cut into files of some commits
+    each: ``numstat`` as :func:`parse_numstat_export` has it; ``diff`` with a line of each commit's
+    full hash before its zero-context diff, returned as hunks with their commit.
+    """
+    if kind in ("numstat", "diff"):
+        texts = spark.read.option("wholetext", True).text(path)
+        if kind == "numstat":
+            return parse_numstat_export(texts)
+        parts = texts.select(F.explode(F.split("value", r"(?m)^(?=(?:commit )?[0-9a-f]{40}\s*$)")).alias("diff_text"))
+        own = F.regexp_extract("diff_text", r"\A(?:commit )?([0-9a-f]{40})\s*(?:\n|\z)", 1)
+        return parse_hunk_headers(parts.withColumn("full_hash", own).where(F.col("full_hash") != ""))
     lines = spark.read.text(path)
     if kind == "change_log":
         return parse_change_log(lines)
     if kind == "subject_log":
         return parse_subject_log(lines)
-    return parse_numstat(lines, "value")
+    raise ValueError(f"unknown kind of export: {kind}")

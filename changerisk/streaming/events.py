@@ -24,13 +24,23 @@ def read_event_stream(spark: SparkSession, path: str, files_per_batch: int | Non
     return reader.load(path)
 
 
+#: Work through what is there and stop; pass ``{"processingTime": "10 seconds"}`` to keep running.
+ALL_THERE_IS = {"availableNow": True}
+
+
 def ingest_pr_events(
-    events: DataFrame, accepted_path: str, rejected_path: str, checkpoint: str, secret: str | None = None
+    events: DataFrame,
+    accepted_path: str,
+    rejected_path: str,
+    checkpoint: str,
+    secret: str | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Classify events and write accepted and rejected rows to two tables.
 
     Each micro-batch owns the partition ``batch_id`` of both tables and overwrites it, so a batch
-    that runs twice leaves one copy.
+    that runs twice leaves one copy. ``events`` may come from any source; ``trigger`` holds the
+    arguments of the writer's trigger.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -47,13 +57,19 @@ def ingest_pr_events(
         ev.classify_events(events, secret)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_THERE_IS))
         .start()
     )
 
 
-def drop_redeliveries(events: DataFrame, delay: str = "1 hour", time_column: str = "received_at") -> DataFrame:
-    """Keep the first event of each delivery id within the watermark delay (opt-in)."""
+def drop_redeliveries(events: DataFrame, delay: str | None = None, time_column: str = "received_at") -> DataFrame:
+    """Keep the first event of each delivery id, whenever it comes.
+
+    The ids seen are state that grows with the stream. ``delay`` bounds it by a watermark, at a
+    price: an event that is later than that is dropped even if it is the only one of its id.
+    """
+    if delay is None:
+        return events.dropDuplicates(["delivery_id"])
     return events.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["delivery_id"])
 
 
@@ -91,7 +107,7 @@ def _log_before(spark: SparkSession, log_path: str, batch_id: int) -> DataFrame
     return log.where(F.col("batch_id") < batch_id)
 
 
-def report_stream(events: DataFrame, render, log_path: str, checkpoint: str) -> StreamingQuery:
+def report_stream(events: DataFrame, render, log_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keep the report log up to date from a stream of accepted events.
 
     ``render`` turns a batch of events into rows with a ``report`` column.
@@ -99,7 +115,7 @@ def report_stream(events: DataFrame, render, log_path: str, checkpoint: str) ->
     return (
         events.writeStream.foreachBatch(lambda b, i: upsert_reports(render(b), i, log_path))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_THERE_IS))
         .start()
     )
 

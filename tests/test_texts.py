@@ -119,7 +119,7 @@ def test_cut_keeps_whole_characters(spark):
 def test_context_text(spark):
     commits = spark.createDataFrame([("r", "h0", "A", "2024", "msg")], "repo string, full_hash string, author string, commit_timestamp string, subject string")
     whole = cx.file_text(df_.match_numstat(files(spark, DIFF)))
-    text = cx.build_review_context(commits, whole).first()
+    text = cx.build_review_context(commits, whole, cx.MAX_BYTES).first()
     assert "- i.png (ADDED): +0 -0 [BINARY]" in text.context and not text.is_truncated
     assert text.context.index("+++ src/app.py") < text.context.index("Binary files differ")
     assert "@@" not in text.context and "def run():\n ctx\n-old value" in text.context
