@@ -19,35 +19,35 @@ ROW_TURNS = 256
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
 
+def digest() -> Column:
+    """Of a turn's role and text; their lengths, -1 for a null, keep them apart."""
+    sized = lambda c: (F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(c, F.lit("")))
+    return F.md5(F.concat(*sized("role"), *sized("text")).cast("binary"))
+
+
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, place (from 1), role, text, h1, h2: the rolling hashes up to each turn.
+    """conv_id, turn, digest, place (from 1), h1, h2: the rolling hashes up to each turn.
 
-    Turns are ordered by turn, then role, then text; null turns come first. Rows that repeat a turn
-    with its role and text count once. A conversation of any length is worked on in slices of turn
-    numbers; what the slices before hold is added from a table with a row per slice.
+    Turns are ordered by turn, then by the digest of role and text; null turns come first. Rows that
+    repeat a turn with its role and text count once. Texts stay where they are: only digests are
+    moved. A conversation of any length is worked on in slices of turn numbers; what the slices
+    before hold is added from a table with a row per slice.
     """
-    rows = turns.select("conv_id", "turn", "role", "text").distinct()
     part = F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-(1 << 53)))
-    rows = stored(rows.withColumn("_slice", part))
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    inside = Window.partitionBy("conv_id", "_slice").orderBy(*order)
+    rows = stored(turns.select("conv_id", "turn", digest().alias("digest")).distinct().withColumn("_slice", part))
+    inside = Window.partitionBy("conv_id", "_slice").orderBy(F.col("turn").asc_nulls_first(), "digest")
     before = Window.partitionBy("conv_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("conv_id", "_slice").agg(F.count("*").alias("n"))
     counts = counts.select("conv_id", "_slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     placed = _joined(rows.withColumn("_place", F.row_number().over(inside)), counts)
     placed = placed.withColumn("place", (F.col("_place") + F.col("_before")).cast("long"))
-    hashed = stored(placed.select("conv_id", "_slice", "place", "role", "text", *[_turn_hash(s).alias(f"t{s}") for s in (1, 2)]))
+    turn_hash = lambda seed: F.xxhash64(F.lit(seed), "place", "digest").alias(f"t{seed}")
+    hashed = stored(placed.select("conv_id", "turn", "digest", "_slice", "place", turn_hash(1), turn_hash(2)))
     up = Window.partitionBy("conv_id", "_slice").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     sums = hashed.groupBy("conv_id", "_slice").agg(*[F.bit_xor(f"t{s}").alias(f"x{s}") for s in (1, 2)])
     sums = sums.select("conv_id", "_slice", *[F.coalesce(F.bit_xor(f"x{s}").over(before), F.lit(0).cast("long")).alias(f"b{s}") for s in (1, 2)])
     rolled = _joined(hashed.select("*", *[F.bit_xor(f"t{s}").over(up).alias(f"r{s}") for s in (1, 2)]), sums)
-    return rolled.select("conv_id", "place", "role", "text", *[F.col(f"r{s}").bitwiseXOR(F.col(f"b{s}")).alias(f"h{s}") for s in (1, 2)])
-
-
-def _turn_hash(seed: int) -> Column:
-    # Nulls are told from empty texts.
-    parts = [F.col("place"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    return F.xxhash64(F.lit(seed), *parts)
+    return rolled.select("conv_id", "turn", "digest", "place", *[F.col(f"r{s}").bitwiseXOR(F.col(f"b{s}")).alias(f"h{s}") for s in (1, 2)])
 
 
 def _joined(rows: DataFrame, slices: DataFrame) -> DataFrame:
@@ -81,10 +81,12 @@ def render(turns: DataFrame) -> DataFrame:
     hashed = stored(prefix_hashes(turns))
     kept = stored(maximal(hashed))
     h, k = hashed.alias("h"), kept.alias("k")
-    rows = h.join(k, F.col("h.conv_id").eqNullSafe(F.col("k.conv_id"))).select(
-        "h.conv_id", "k.n_turns", "k.n_equal", F.floor((F.col("h.place") - 1) / ROW_TURNS).alias("part"), "h.place",
-        F.concat(F.lit(OPEN), F.coalesce("h.role", F.lit("unknown")), F.lit(MIDDLE), F.coalesce("h.text", F.lit("")), F.lit(CLOSE)).alias("piece"),
-    )
-    pieces = F.array_sort(F.collect_list(F.struct("place", "piece")))
+    wanted = h.join(k, F.col("h.conv_id").eqNullSafe(F.col("k.conv_id"))).select("h.conv_id", "h.turn", "h.digest", "h.place", "k.n_turns", "k.n_equal")
+    piece = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit(MIDDLE), F.coalesce("text", F.lit("")), F.lit(CLOSE))
+    t, w = turns.select("conv_id", "turn", digest().alias("digest"), piece.alias("piece")).alias("t"), wanted.alias("w")
+    same = F.col("t.conv_id").eqNullSafe(F.col("w.conv_id")) & F.col("t.turn").eqNullSafe(F.col("w.turn")) & (F.col("t.digest") == F.col("w.digest"))
+    rows = t.join(w, same).select("w.conv_id", "w.n_turns", "w.n_equal", F.floor((F.col("w.place") - 1) / ROW_TURNS).alias("part"), "w.place", "t.piece")
+    # Rows that repeat a turn bring the same piece to the same place.
+    pieces = F.array_sort(F.collect_set(F.struct("place", "piece")))
     joined = rows.groupBy("conv_id", "n_turns", "n_equal", "part").agg(pieces.alias("p"))
     return joined.select("conv_id", "n_turns", "n_equal", "part", F.array_join(F.col("p.piece"), "").alias("rendered"))

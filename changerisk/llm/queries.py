@@ -174,7 +174,8 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 OP9_SQL = r"""WITH RECURSIVE
 turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM turns),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+  MD5(COALESCE(LENGTH(role), -1)::VARCHAR || ':' || COALESCE(role, '') || COALESCE(LENGTH(text), -1)::VARCHAR || ':' || COALESCE(text, ''))) AS place FROM turns),
 prefixes AS (
   SELECT conv_id, place, MD5(COALESCE(role, '') || '|' || (text IS NULL)::VARCHAR || (role IS NULL)::VARCHAR || COALESCE(text, '')) AS h
   FROM placed WHERE place = 1
