@@ -11,6 +11,7 @@ from changerisk.functions.rounding import ratio, round_exact
 from changerisk.functions.scoring import error_type
 from changerisk.operators.ordered import exact_medians, running_totals
 from changerisk.schema import PRODUCTION_THRESHOLD, SWEEP_PERCENT
+from changerisk.session import materialize
 
 THRESHOLDS = [pct / 100 for pct in SWEEP_PERCENT]
 # Recall and precision floors of the two operating-point rules.
@@ -68,9 +69,17 @@ def ranking_metrics(scored: DataFrame, groups: list[str], digits: int | None = 4
     Rows are reduced to distinct scores before anything is ordered. A group with one class or one
     score gets 0.5 and its positive rate.
     """
-    counted = scored.groupBy(*groups, "p").agg(
+    return _ranking(_by_score(scored, groups), groups, digits)
+
+
+def _by_score(scored: DataFrame, groups: list[str]) -> DataFrame:
+    """Positives and negatives per distinct score: all that the metrics of a group need."""
+    return scored.groupBy(*groups, "p").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     )
+
+
+def _ranking(counted: DataFrame, groups: list[str], digits: int | None = 4) -> DataFrame:
     ranked = running_totals(counted, groups, ["p"], {"cpos": "pos", "cneg": "neg"})
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     below = (F.col("cneg") - F.col("neg")).cast("double")
@@ -110,11 +119,21 @@ def probability_stats(scored: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def detailed_metrics(scored: DataFrame, groups: list[str], threshold: float) -> DataFrame:
-    """The full metric record of every group at one threshold."""
-    return (
-        confusion(scored, groups, threshold)
-        .join(ranking_metrics(scored, groups), groups)
-        .join(brier_score(scored, groups), groups)
+    """The full metric record of every group at one threshold, from one pass over the scores."""
+    counted = materialize(_by_score(scored, groups))
+    p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
+    total = lambda on, n: F.coalesce(F.sum(F.when(on, n)), F.lit(0).cast("bigint"))
+    at = F.lit(float(threshold))
+    gaps = F.sum(pos * (1 - p) * (1 - p) + neg * p * p) / F.sum(F.when(p.isNotNull(), pos + neg))
+    counts = counted.groupBy(*groups).agg(
+        total(p >= at, pos).alias("tp"), total(p >= at, neg).alias("fp"),
+        total(p < at, neg).alias("tn"), total(p < at, pos).alias("fn"),
+        round_exact(gaps, 4).alias("brier_score"),
+    )
+    metrics = counts.select(*groups, at.alias("threshold"), "tp", "fp", "tn", "fn", "brier_score").withColumns(derived_metrics())
+    ordered = [*groups, "threshold", "tp", "fp", "tn", "fn", *derived_metrics()]
+    return metrics.select(*ordered, "brier_score").join(_ranking(counted, groups), groups).select(
+        *ordered, "roc_auc", "pr_auc", "brier_score"
     )
 
 

@@ -297,10 +297,16 @@ def u5(t):
     return md.explain_features(qf.features(t).withColumn("m", m), ["repo", "full_hash"], "m")
 
 
-@query("n8_result_json")
+@query("n8_result_json", wa(V_FEAT, """SELECT repo, full_hash, full_hash AS hash, CAST(printf('%.4f', p) AS DOUBLE) AS raw_probability, CASE WHEN p < 0.35::DOUBLE THEN 'LOW' WHEN p < 0.6::DOUBLE THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level,
+ CAST(lines_added AS DOUBLE) AS lines_added, 10 AS contributions FROM scored""", P_SCORED))
 def n8(t):
-    """Nested result document per commit as JSON (rows only)."""
-    return md.result_struct(scored(t)).select("repo", "full_hash", "json")
+    """Fields read back from the nested result document of each commit."""
+    field = lambda path: F.get_json_object("json", f"$.{path}")
+    return md.result_struct(scored(t)).select(
+        "repo", "full_hash", field("full_hash").alias("hash"), field("raw_probability").cast("double").alias("raw_probability"),
+        field("risk_level").alias("risk_level"), field("features.lines_added").cast("double").alias("lines_added"),
+        F.json_array_length(field("model_signals.log_odds_contributions")).alias("contributions"),
+    )
 
 
 # --- Spark ML (values depend on the optimiser; rows only) -------------------------------------
@@ -313,39 +319,58 @@ def _scaled(parts):
     return st.standardize(parts, st.scaler_values(parts.where("split = 'train'")))
 
 
+def _checked(metrics):
+    """What any fit must give: the rows and positives of the split, and metrics that fit together."""
+    total = c("tp") + c("fp") + c("tn") + c("fn")
+    inside = lambda x: c(x).between(0, 1)
+    fits = (
+        (F.abs(c("accuracy") - (c("tp") + c("tn")) / total) <= 0.00005)
+        & (F.abs(c("predicted_positive_rate") - (c("tp") + c("fp")) / total) <= 0.00005)
+        & inside("roc_auc") & inside("pr_auc") & inside("brier_score")
+        & (c("roc_auc") > 0.5)
+    )
+    return metrics.select(*[x for x in ("model", "split") if x in metrics.columns], total.alias("rows"), (c("tp") + c("fn")).alias("positives"), fits.alias("metrics_fit"))
+
+
 def _evaluate(model, parts, name):
     rows = md.positive_score(model, parts.where("split <> 'train'"), ["split"])
     out = ev.detailed_metrics(rows, ["split"], 0.35)
-    return out.withColumn("model", F.lit(name))
+    return _checked(out.withColumn("model", F.lit(name)))
+
+
+def _fit_oracle(name):
+    return wa(qf.V_ALL, f"""SELECT '{name}' AS model, split, count(*) AS rows, CAST(sum(bug_introduced) AS BIGINT) AS positives, true AS metrics_fit
+ FROM splits WHERE split <> 'train' GROUP BY split""", qf.P_SPLIT)
 
 
-@query("m1_assemble")
+@query("m1_assemble", wa(V_FEAT, f"SELECT repo, full_hash, 10 AS n, CAST(lines_added AS DOUBLE) AS lines_added, CAST({' + '.join(FEATURES)} AS DOUBLE) AS total FROM feat", qf.P_FEAT))
 def m1(t):
-    """Length and first value of the assembled vector of every commit (rows only)."""
+    """Length, first value and sum of the assembled vector of every commit."""
     from pyspark.ml.functions import vector_to_array
 
     out = md.assemble(qf.features(t))
     v = vector_to_array("features")
-    return out.select("repo", "full_hash", F.size(v).alias("n"), v[0].alias("lines_added"))
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return out.select("repo", "full_hash", F.size(v).alias("n"), v[0].alias("lines_added"), total.alias("total"))
 
 
-@query("m3_logistic")
+@query("m3_logistic", _fit_oracle("logistic"))
 def m3(t):
     parts = _scaled(_ml_splits(t))
     train = parts.where("split = 'train'")
     return _evaluate(md.logistic(train.count()).fit(train), parts, "logistic")
 
 
-@query("m4_forest")
+@query("m4_forest", _fit_oracle("forest"))
 def m4(t):
     parts = _ml_splits(t)
     return _evaluate(md.forest(**md.FOREST_GRID[1]).fit(parts.where("split = 'train'")), parts, "forest")
 
 
-@query("m5_boosted")
+@query("m5_boosted", _fit_oracle("boosted"))
 def m5(t):
     parts = _ml_splits(t)
-    return _evaluate(md.boosted(rounds=20, depth=3, rate=0.1).fit(parts.where("split = 'train'")), parts, "boosted")
+    return _evaluate(md.boosted(**md.BOOSTED_GRID[0]).fit(parts.where("split = 'train'")), parts, "boosted")
 
 
 @query("m7_grid_search")
@@ -354,13 +379,15 @@ def m7(t):
     return md.grid_search(_scaled(_ml_splits(t)), "logistic", md.LOGISTIC_GRID, ["full_hash"])[0]
 
 
-@query("m11_model_weights")
+@query("m11_model_weights", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}', 'coefficient', true)" for i, f in enumerate(FEATURES, start=1)) + ") v(ordinal, feature, kind, finite)")
 def m11(t):
     parts = _scaled(_ml_splits(t))
     train = parts.where("split = 'train'")
-    return md.model_weights(md.logistic(train.count()).fit(train), FEATURES, t.spark)
+    weights = md.model_weights(md.logistic(train.count()).fit(train), FEATURES, t.spark)
+    return weights.select("ordinal", "feature", "kind", (~F.isnan("weight") & (F.abs("weight") < 1e6)).alias("finite"))
 
 
-@query("m14_ablation")
+@query("m14_ablation", wa(qf.V_ALL, """SELECT m.model, count(*) AS rows, CAST(sum(bug_introduced) AS BIGINT) AS positives, true AS metrics_fit
+ FROM splits, (VALUES ('subset'), ('full')) m(model) WHERE split = 'test' GROUP BY m.model""", qf.P_SPLIT))
 def m14(t):
-    return md.ablation(_ml_splits(t), FEATURES[:5], ["full_hash"])
+    return _checked(md.ablation(_ml_splits(t), FEATURES[:5], ["full_hash"]))

@@ -10,23 +10,24 @@ from changerisk.plans.adapters import with_adapters as wa
 from changerisk.plans.catalog import query
 from changerisk.plans.q_evaluation import G
 from changerisk.plans.q_streaming import _stream
-from changerisk.schema import FEATURES
+from changerisk.schema import REPORT_SECTIONS
 from changerisk.session import materialize, work_folder
 from changerisk.sources import readers as rd, writers as wr
 
 c = F.col
 
 
-@query("s6_read_report")
+@query("s6_read_report", wa(["v_scored"], "SELECT section, CAST(items AS INT) AS items FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS section, count(*) AS items FROM (SELECT DISTINCT {keys} FROM v_scored)" for name, keys in zip(REPORT_SECTIONS, ("split", "model, split", "model, split", "model, split"), strict=True)) + ")"))
 def s6(t):
-    """Report document written and read back, one row per section (rows only)."""
+    """Entries of each section of a report document that was written and read back."""
     folder = work_folder(t.spark)
     metrics = materialize(ev.detailed_metrics(t.v_scored, G, 0.35))
     ranked = metrics.select("model", "split", "pr_auc")
     facts = metrics.groupBy("split").agg(F.sum("total_samples").alias("rows"))
     wr.write_text(wr.report_document(facts, ranked, metrics, ranked), f"{folder}/report")
     report = rd.read_report(t.spark, f"{folder}/report")
-    return report.unpivot([], report.columns, "section", "content")
+    return report.unpivot([], report.columns, "section", "content").select("section", F.json_array_length("content").alias("items"))
 
 
 @query("s7_partitioned_dataset", wa(qf.V_ALL, "SELECT repo, split, count(*) AS rows, CAST(sum(code_churn) AS BIGINT) AS churn, CAST(sum(bug_introduced) AS BIGINT) AS positives FROM splits GROUP BY repo, split", qf.P_SPLIT))
@@ -40,14 +41,17 @@ def s7(t):
     )
 
 
-@query("s9_model_store")
+@query("s9_model_store", wa(qf.V_ALL, "SELECT repo, full_hash, bug_introduced AS y, true AS same FROM splits WHERE split = 'test'", qf.P_SPLIT))
 def s9(t):
-    """A stored and reloaded model scores every commit of the test split (rows only)."""
+    """A stored and reloaded model scores every commit of the test split as the fitted one does."""
     folder = work_folder(t.spark)
     parts = materialize(qf.splits(t))
-    fitted = md.forest(trees=10, depth=4).fit(parts.where("split = 'train'"))
+    fitted = md.forest(**md.FOREST_GRID[0]).fit(parts.where("split = 'train'"))
     md.save_model(fitted, f"{folder}/model", production=True)
-    return md.positive_score(md.load_model(f"{folder}/model"), parts.where("split = 'test'"), ["repo", "full_hash", *FEATURES[:1]])
+    test, keys = parts.where("split = 'test'"), ["repo", "full_hash"]
+    again = md.positive_score(md.load_model(f"{folder}/model"), test, keys)
+    first = md.positive_score(fitted, test, keys).select(*keys, c("p").alias("q"))
+    return again.join(first, keys).select(*keys, c("y").cast("int").alias("y"), (c("p") == c("q")).alias("same"))
 
 
 @query("s10_event_source", wa(["v_bodies"], "SELECT delivery_id, event_type, CAST(strlen(body_text) AS BIGINT) AS body_bytes FROM v_bodies"))

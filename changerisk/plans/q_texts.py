@@ -118,10 +118,15 @@ def a20(t):
     return df_.diff_totals(t.v_diffs, counted(t))
 
 
-@query("n4_commit_diff_json")
+@query("n4_commit_diff_json", wa(["v_diffs"], """SELECT d.repo, d.full_hash, count(s.file_ord) AS files, CAST(coalesce(sum(additions), 0) AS BIGINT) AS additions, CAST(CASE WHEN count(s.file_ord) > 0 THEN count(s.file_ord) END AS INT) AS listed
+ FROM v_diffs d LEFT JOIN stat s ON s.repo = d.repo AND s.full_hash = d.full_hash GROUP BY d.repo, d.full_hash""", P_STAT))
 def n4(t):
-    """Nested diff document per commit as JSON (rows only)."""
-    return df_.assemble_commit_diff(t.v_diffs, counted(t)).select("repo", "full_hash", "json")
+    """Fields read back from the nested diff document of each commit."""
+    field = lambda path: F.get_json_object("json", f"$.{path}")
+    return df_.assemble_commit_diff(t.v_diffs, counted(t)).select(
+        "repo", "full_hash", field("files").cast("bigint").alias("files"), field("total_additions").cast("bigint").alias("additions"),
+        F.json_array_length(field("files_changed")).alias("listed"),
+    )
 
 
 # --- contexts --------------------------------------------------------------------------------
