@@ -159,6 +159,43 @@ def n10(t):
     return pu.render_reports(prs, pr_rows(t), max_commits=1)
 
 
+# The whole way from references to a report; bases are named branches, heads short hashes, and some
+# heads name nothing.
+PARENTS = "SELECT repo, child AS full_hash, count(*) AS n FROM v_edges GROUP BY ALL"
+E3_ROWS = """SELECT b.pr_id, b.repo, b.full_hash, b.seq, coalesce(n.n, 0) > 1 AS merge, CASE WHEN coalesce(n.n, 0) <= 1 AND b.seq % 5 <> 1 THEN CAST(b.seq % 100 AS DOUBLE) / 100 END AS p
+ FROM between_ b LEFT JOIN n_parents n ON n.repo = b.repo AND n.full_hash = b.full_hash WHERE b.pr_id % 11 <> 4"""
+E3_LINES = """SELECT pr_id, repo, count(*) AS total, count(p) AS scored, count_if(merge) AS merges, count_if(NOT merge AND p IS NULL) AS skipped, max(p) AS top,
+ string_agg(concat('| `', substr(full_hash, 1, 7), '` | dev | ', CASE WHEN p IS NULL THEN '—' ELSE printf('%.4f', p) END, ' | ',
+  CASE WHEN p >= 0.6::DOUBLE THEN '⚠️ HIGH' WHEN p >= 0.35::DOUBLE THEN '⚠️ MEDIUM' WHEN p IS NOT NULL THEN '✅ LOW' WHEN merge THEN 'ℹ️ MERGE' ELSE '⚠️ SKIPPED' END, ' | ',
+  CASE WHEN p IS NOT NULL THEN 'Analyzed' WHEN merge THEN 'Merge commit skipped' ELSE 'no_prediction' END, ' |'), chr(10) ORDER BY seq, full_hash) AS body FROM e3_rows GROUP BY pr_id, repo"""
+
+
+@query("e3_pr_pipeline", wa(V, """SELECT m.pr_id, m.repo, CASE WHEN m.pr_id % 11 = 4 THEN 'unresolved' ELSE m.status END AS status, CAST(coalesce(total, 0) AS BIGINT) AS total_commits, CAST(coalesce(scored, 0) AS BIGINT) AS analyzed_commits,
+ CAST(coalesce(merges, 0) AS BIGINT) AS merge_commits, CAST(coalesce(skipped, 0) AS BIGINT) AS skipped_commits, top AS max_commit_risk_score, CASE WHEN m.pr_id % 11 <> 4 THEN concat('<!-- changerisk-report -->', chr(10), '## Change risk report', chr(10), '`', substr(base, 1, 8), '` → `', substr(head, 1, 8), '`', chr(10),
+ '### Commit scores (threshold 0.35)', chr(10), CASE WHEN body IS NULL THEN '*No commits introduced.*' ELSE concat('| Commit | Author | Risk score | Level | Details |', chr(10), '| :--- | :--- | :--- | :--- | :--- |', chr(10), body) END, chr(10),
+ '### Code review', chr(10), '*No review available.*', chr(10), '> Scores rank commits; they are not calibrated probabilities.') END AS report FROM mb m LEFT JOIN e3_lines USING (pr_id, repo)""", {**P_BETWEEN, "n_parents": PARENTS, "e3_rows": E3_ROWS, "e3_lines": E3_LINES}))
+def e3(t):
+    """Pull requests from references to reports."""
+    branch = lambda h: F.concat(F.lit("branch-"), F.substring(h, 1, 12))
+    prs = t.v_prs.select(
+        "pr_id", "repo", branch("base").alias("base_ref"),
+        F.when(c("pr_id") % 11 == 4, "no-such-branch").otherwise(F.substring("head", 1, 14)).alias("head_ref"),
+    )
+    parents = t.v_edges.groupBy("repo", c("child").alias("full_hash")).agg(F.collect_list("parent").alias("parents"))
+    commits = t.v_nodes.join(parents, ["repo", "full_hash"], "left").select(
+        "repo", "full_hash", F.lit("dev <d@x>").alias("author"), F.lit("2024").alias("commit_timestamp"), F.lit("m").alias("subject"),
+        F.coalesce("parents", F.array().cast("array<string>")).alias("parents"),
+    )
+    p = (c("seq") % 100).cast("double") / 100
+    preds = t.v_nodes.where(c("seq") % 5 != 1).select(
+        "repo", "full_hash", p.alias("raw_probability"), (p >= 0.35).alias("is_above_threshold"), fs.risk_level(p).alias("risk_level"),
+        F.lit(None).cast("string").alias("skip_reason"),
+    )
+    names = t.v_nodes.select("repo", branch("full_hash").alias("name"), "full_hash")
+    out = pu.analyze(prs, index(t), commits, preds, names)
+    return out.select("pr_id", "repo", "status", "total_commits", "analyzed_commits", "merge_commits", "skipped_commits", "max_commit_risk_score", "report")
+
+
 # --- provenance ------------------------------------------------------------------------------
 def changes(t):
     """File changes with renames: the items of a part, in order, are the life of one file."""
