@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from changerisk.functions import commits as fc
+from changerisk.operators.provenance import file_lineage, fix_origins, number_revisions
 from changerisk.operators.ranges import overlap_join
+from changerisk.session import materialize
 
 KEY = ["repo", "full_hash"]
 
@@ -92,6 +94,31 @@ def trace_fixes(candidates: DataFrame, hunks: DataFrame, blame_runs: DataFrame)
     )
 
 
+def trace_fixes_in_history(candidates: DataFrame, changes: DataFrame, hunks: DataFrame) -> DataFrame:
+    """Evidence rows as of :func:`trace_fixes`, from hunks alone; ``path`` is the file's lineage.
+
+    ``candidates``: :func:`fix_candidates` of one line of history (first parents) with ``seq``;
+    ``changes``: repo, seq, full_hash, status, old_path, path; ``hunks``: repo, full_hash, path and the
+    four hunk numbers. Lines are followed through renames back to the commits that wrote them.
+    """
+    lives = file_lineage(changes).select("repo", "full_hash", "path", "lineage").distinct()
+    order = candidates.select(*KEY, "seq")
+    history = materialize(number_revisions(hunks.join(lives, [*KEY, "path"]).join(order, KEY)))
+    fixes = candidates.where(F.col("is_candidate_fix"))
+    runs = fix_origins(history, fixes).select("repo", "lineage", "full_hash", "old_start", "old_count", "origin_sha").distinct()
+    about = fixes.select(*KEY, "has_fix_keyword", "has_issue_id", "is_revert", "issue_ids")
+    return runs.join(about, KEY).select(
+        "repo",
+        F.col("origin_sha").alias("intro_hash"),
+        F.col("full_hash").alias("fix_hash"),
+        F.array_join("issue_ids", ",").alias("issue_id"),
+        fc.fix_confidence(F.col("has_issue_id"), F.col("has_fix_keyword")).alias("confidence"),
+        F.col("is_revert"),
+        F.col("lineage").alias("path"),
+        F.col("old_count").alias("traced_lines"),
+    )
+
+
 def evidence_summary(evidence: DataFrame) -> DataFrame:
     """One row per introducing commit.
 

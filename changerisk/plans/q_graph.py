@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changerisk.functions import scoring as fs
-from changerisk.operators import graph as gr, provenance as pv, pulls as pu
+from changerisk.operators import graph as gr, labels as lb, provenance as pv, pulls as pu
 from changerisk.plans.adapters import with_adapters as wa
 from changerisk.plans.catalog import query
 
@@ -251,3 +251,32 @@ def g4(t):
     runs = pv.fix_origins(past, past.select("repo", "full_hash"))
     lines = runs.select("full_hash", F.explode(F.sequence("start_line", "end_line")).alias("asked"), "origin_sha")
     return lines
+
+
+# Every third commit of a file is a fix; half of the fixes name an issue.
+E1_WALK = """
+WITH RECURSIVE h AS (SELECT CAST(l_partkey AS STRING) AS lineage, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS i, l_partkey, l_suppkey, l_linenumber FROM lineitem),
+r AS (SELECT lineage, i, l_partkey, 1 + l_suppkey % 40 AS s, 1 + l_partkey % 3 AS o, CASE WHEN i = 1 THEN 100000 ELSE l_linenumber END AS n FROM h),
+walk AS (SELECT lineage, i AS fix, i - 1 AS lvl, s, unnest(range(s, s + o)) AS cur, NULL::BIGINT AS origin FROM r WHERE i > 1 AND i % 3 = 0
+  UNION ALL SELECT k.lineage, k.fix, k.lvl - 1, k.s, CASE WHEN k.cur >= r.s + r.n THEN k.cur - r.n + r.o ELSE k.cur END,
+    CASE WHEN r.i = 1 THEN 1 WHEN k.cur >= r.s AND k.cur < r.s + r.n THEN r.i END
+  FROM walk k JOIN r ON r.lineage = k.lineage AND r.i = k.lvl WHERE k.origin IS NULL AND k.lvl >= 1),
+evidence AS (SELECT DISTINCT w.lineage, w.fix, w.origin, r.o FROM walk w JOIN r ON r.lineage = w.lineage AND r.i = w.fix WHERE w.origin IS NOT NULL),
+summary AS (SELECT lineage, origin, array_to_string(list_transform(list_sort(list(concat_ws('-', 'k', lineage, fix))), lambda x: substr(x, 1, 7)), ',') AS fixing_commits,
+  max(CASE WHEN fix % 2 = 0 THEN 3 ELSE 2 END) AS rnk, CAST(sum(o) AS BIGINT) AS lines FROM evidence GROUP BY lineage, origin)
+SELECT concat_ws('-', 'k', r.lineage, r.i) AS full_hash, CASE WHEN s.rnk IS NULL THEN 0 ELSE 1 END AS bug_introduced,
+ CASE s.rnk WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'NONE' END AS label_confidence, coalesce(fixing_commits, '') AS fixing_commits, coalesce(lines, 0) AS traced_lines_count
+FROM r LEFT JOIN summary s ON s.lineage = r.lineage AND s.origin = r.i"""
+
+
+@query("e1_labels_from_hunks", E1_WALK)
+def e1(t):
+    """Labels of all commits from their changes and hunks alone."""
+    moves = changes(t)
+    i = F.element_at(F.split("full_hash", "-"), -1).cast("int")
+    subject = F.when(i % 3 != 0, "add feature").when(i % 2 == 0, "fix crash, closes GH-7").otherwise("fix overflow in parser")
+    commits = moves.select("repo", "full_hash", "seq", subject.alias("subject"))
+    hunks = history(t).drop("lineage", "rev_no").join(moves.select("repo", "full_hash", "path"), ["repo", "full_hash"])
+    evidence = lb.trace_fixes_in_history(lb.fix_candidates(commits), moves, hunks)
+    out = lb.label_commits(commits, evidence)
+    return out.select("full_hash", "bug_introduced", "label_confidence", F.array_join("fixing_commits", ",").alias("fixing_commits"), "traced_lines_count")
