@@ -333,7 +333,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         known = np.log10(m.count + 0.5)
         for part in parts:
             texts = _texts(part["text"])
-            for lo, hi in cut(texts, 4 << 20):
+            for lo, hi in cut(texts, 2 << 20):
                 h, at, sym, doc, size = m.coded(texts[lo:hi])
                 n = hi - lo
                 inside = at >= 0

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from changerisk.llm.blocks import cut
 from changerisk.llm.shared import stored
 from changerisk.session import work_folder
 
@@ -72,7 +73,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: dict[bytes, int] |
         for part in parts:
             texts = [t if isinstance(t, str) else "" for t in part["text"]]
             heads = _heads(part["doc_id"])
-            yield pd.DataFrame({"value": [h.tobytes() + np.array(coder.encode_ordinary(t), _TYPES[WIDTH]).tobytes() for h, t in zip(heads, texts, strict=True)]})
+            for lo, hi in cut(texts):
+                yield pd.DataFrame({"value": [h.tobytes() + np.array(coder.encode_ordinary(t), _TYPES[WIDTH]).tobytes() for h, t in zip(heads[lo:hi], texts[lo:hi], strict=True)]})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encode, "value binary")
     # The text writer puts its separator after each row and nothing else: that is the flat format.
