@@ -150,19 +150,20 @@ def parse_hunk_headers(diffs: DataFrame, text: str = "diff_text") -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark report from JSON as one row of its four sections (JSON text each).
+    """Benchmark reports from JSON, a row of four sections (JSON text each) per file.
 
-    Not an object, or a section missing, is an error.
+    A file that is no object, or lacks a section, is an error.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     v = F.try_parse_json("value")
     sections = [F.try_variant_get(v, f"$.{s}", "variant").alias(s) for s in REPORT_SECTIONS]
     parsed = text.select(F.schema_of_variant(v).alias("_kind"), *sections)
-    row = parsed.select(
-        F.coalesce(F.startswith("_kind", F.lit("OBJECT")), F.lit(False)).alias("ok"),
-        *[F.col(s).isNull().alias(s) for s in REPORT_SECTIONS],
+    row = parsed.agg(
+        F.count("*").alias("documents"),
+        F.count_if(~F.coalesce(F.startswith("_kind", F.lit("OBJECT")), F.lit(False))).alias("other"),
+        *[F.count_if(F.col(s).isNull()).alias(s) for s in REPORT_SECTIONS],
     ).first()
-    if row is None or not row["ok"]:
+    if not row["documents"] or row["other"]:
         raise ValueError("benchmark report is not a JSON object")
     missing = [s for s in REPORT_SECTIONS if row[s]]
     if missing:
@@ -192,7 +193,7 @@ def read_commit_facts(spark: SparkSession, path: str, kind: str) -> DataFrame:
     full hash before its zero-context diff, returned as hunks with their commit.
     """
     if kind in ("numstat", "diff"):
-        texts = spark.read.option("wholetext", True).text(path)
+        texts = spark.read.text(path, wholetext=True)
         if kind == "numstat":
             return parse_numstat_export(texts)
         parts = texts.select(F.explode(F.split("value", r"(?m)^(?=(?:commit )?[0-9a-f]{40}\s*$)")).alias("diff_text"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -11,8 +10,7 @@ from changerisk.schema import EVENT_SOURCE
 
 PR_KEY = ["owner", "repository", "number"]
 REPORT_LOG = (
-    "owner string, repository string, number bigint, report string, received_at timestamp, "
-    "action string, batch_id int"
+    "owner string, repository string, number bigint, report string, received_at timestamp, batch_id int"
 )
 
 
@@ -74,37 +72,25 @@ def drop_redeliveries(events: DataFrame, delay: str | None = None, time_column:
 
 
 def latest_reports(log: DataFrame) -> DataFrame:
-    """The live report of each pull request in an upsert log: the one of its newest event."""
-    newest = F.max_by(F.struct("report", "action", "batch_id"), F.struct("received_at", "batch_id"))
-    return log.groupBy(*PR_KEY).agg(newest.alias("_r")).select(*PR_KEY, "_r.*")
+    """The live report of each pull request in an upsert log: the one of its newest event.
+
+    ``action`` is ``updated`` if an earlier batch wrote the pull request already.
+    """
+    newest = F.max_by(F.struct("report", "batch_id"), F.struct("received_at", "batch_id"))
+    live = log.groupBy(*PR_KEY).agg(newest.alias("_r"), F.min("batch_id").alias("_first"))
+    action = F.when(F.col("_first") < F.col("_r.batch_id"), "updated").otherwise("created")
+    return live.select(*PR_KEY, F.col("_r.report").alias("report"), action.alias("action"), F.col("_r.batch_id").alias("batch_id"))
 
 
 def upsert_reports(batch: DataFrame, batch_id: int, log_path: str) -> None:
-    """Append one batch to the report log: one row per pull request, created or updated.
+    """Append one batch to the report log: one row per pull request.
 
-    A pull request is updated if an earlier batch wrote it. The batch owns its partition, so
-    running it again writes the same rows. :func:`latest_reports` reads the live state.
+    Nothing that earlier batches wrote is read: what is new and what is an update is told when the
+    log is read. The batch owns its partition, so running it again writes the same rows.
     """
-    spark = batch.sparkSession
     newest = F.max_by(F.struct("report", "received_at"), F.struct("received_at", "delivery_id"))
     latest = batch.groupBy(*PR_KEY).agg(newest.alias("_r")).select(*PR_KEY, "_r.*")
-    earlier = _log_before(spark, log_path, batch_id)
-    if earlier is None:
-        rows = latest.withColumn("action", F.lit("created"))
-    else:
-        seen = earlier.select(*PR_KEY).distinct().withColumn("_seen", F.lit(True))
-        rows = latest.join(seen, PR_KEY, "left").withColumn(
-            "action", F.when(F.col("_seen"), "updated").otherwise("created")
-        ).drop("_seen")
-    rows.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
-
-
-def _log_before(spark: SparkSession, log_path: str, batch_id: int) -> DataFrame | None:
-    try:
-        log = spark.read.schema(REPORT_LOG).parquet(log_path)
-    except AnalysisException:  # nothing written yet
-        return None
-    return log.where(F.col("batch_id") < batch_id)
+    latest.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
 
 def report_stream(events: DataFrame, render, log_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
