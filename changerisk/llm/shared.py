@@ -24,10 +24,19 @@ def set_aside(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "lang"
 
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts that are handed to a task's Python at once.
+BATCH_ROWS = 1_000
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application: they need not have it installed."""
+    """Make ``spark`` ready for these operators.
+
+    Sends this package to the executors, once per application: they need not have it installed. Rows
+    are whole texts, so unless the session says otherwise fewer of them go to a task's Python at once.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[2]
