@@ -60,8 +60,8 @@ def _document_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
     """Which buckets of terms lie in the band, by their share of all documents."""
     counts = stored(docs.select("text").mapInPandas(_document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
-    total = F.broadcast(counts.where("bucket = -1").select(F.col("n").alias("all")))
-    inside = counts.where("bucket >= 0").join(total).where((F.col("n") >= F.col("all") * band[0]) & (F.col("n") <= F.col("all") * band[1]))
+    total = counts.where("bucket = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    inside = counts.where((F.col("bucket") >= 0) & F.col("n").between(total * band[0], total * band[1]))
     out = np.zeros(BUCKETS, bool)
     out[[r.bucket for r in inside.select("bucket").collect()]] = True  # a row per bucket at most
     return out

@@ -145,8 +145,8 @@ def gumbel_cut(scored: DataFrame, share: float) -> DataFrame:
     placed = scored.select("*", place.alias("_place"))
     rows = placed.select(F.lit(None).cast("string").alias("group"), F.col("_place").alias("key"), F.lit(1).cast("long").alias("weight"))
     budget = rows.groupBy("group").agg((F.count("*") * F.lit(float(share))).alias("budget"))
-    cuts = budget_cuts(rows, budget).select("cut")
-    return placed.join(F.broadcast(cuts)).select(*[placed[c] for c in scored.columns], (F.col("_place") <= F.col("cut")).alias("selected"))
+    found = budget_cuts(rows, budget).first()  # one group, one number; none without rows
+    return placed.select(*scored.columns, (F.col("_place") <= F.lit(-1 if found is None else found["cut"])).alias("selected"))
 
 
 def gumbel_noise(*identity) -> Column:
