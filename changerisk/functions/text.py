@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from changerisk.functions.rounding import round_exact
+from changerisk.schema import PRODUCTION_THRESHOLD
 
 # Every break that ends a line of text (CRLF counts once).
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -127,8 +128,11 @@ def message_display(message: Column) -> Column:
     )
 
 
-def badge_columns(level: Column, above: Column) -> dict[str, Column]:
-    """Presentation fields of a risk level and its threshold status."""
+def badge_columns(level: Column, above: Column, threshold: float = PRODUCTION_THRESHOLD) -> dict[str, Column]:
+    """Presentation fields of a risk level and its threshold status.
+
+    Fixed values: the icons, colours and texts.
+    """
     known = F.upper(strip(level))
     norm = F.when(known.isin("HIGH", "MEDIUM", "LOW"), known).otherwise("UNKNOWN")
     hot = F.coalesce(above, F.lit(False))
@@ -146,8 +150,8 @@ def badge_columns(level: Column, above: Column) -> dict[str, Column]:
         "icon": icon,
         "badge_text": F.concat_ws(" ", icon, norm),
         "label": F.when(hot, "Elevated Defect Risk").otherwise("Standard Risk Change"),
-        "threshold_status": F.when(hot, "Above Threshold (>= 0.35)").otherwise(
-            "Below Threshold (< 0.35)"
+        "threshold_status": F.when(hot, f"Above Threshold (>= {threshold:.2f})").otherwise(
+            f"Below Threshold (< {threshold:.2f})"
         ),
     }
 

@@ -142,6 +142,7 @@ def build_review_context(
         ).otherwise("Risk score: not provided")
     inventory = F.when(F.size("_inv") > 0, F.array_join(F.transform("_inv", lambda x: x["line"]), "\n"))
     diff = F.array_join(F.transform("_parts", lambda x: x["part"]), "\n")
+    # The wording of the note, the statistics and the headings.
     note = F.when(
         F.col("is_truncated"),
         F.format_string(

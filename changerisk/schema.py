@@ -51,29 +51,6 @@ FEATURE_TABLE = T.StructType(
     + [T.StructField(TARGET, T.IntegerType())]
 )
 
-_OWNER_REPO = T.StructType(
-    [
-        T.StructField("name", T.StringType()),
-        T.StructField("owner", T.StructType([T.StructField("login", T.StringType())])),
-    ]
-)
-_SIDE = T.StructType(
-    [
-        T.StructField("ref", T.StringType()),
-        T.StructField("sha", T.StringType()),
-        T.StructField("repo", _OWNER_REPO),
-    ]
-)
-PULL_REQUEST = T.StructType(
-    [
-        T.StructField("number", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("html_url", T.StringType()),
-        T.StructField("state", T.StringType()),
-        T.StructField("base", _SIDE),
-        T.StructField("head", _SIDE),
-    ]
-)
 EVENT_SOURCE = T.StructType(
     [
         T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
