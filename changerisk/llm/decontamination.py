@@ -266,9 +266,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                     part.iat[i, part.columns.get_loc("text")] = without(part["text"].iat[i], list(spans))
             yield part[fields.names]
 
-    clean = kept.where(F.size("hit_spans") == 0).select(*fields.names)
-    hit = kept.where(F.size("hit_spans") > 0).mapInPandas(step, fields)
-    return back(clean.unionByName(hit))
+    return back(kept.mapInPandas(step, fields))
 
 
 def without(text: str, spans: list[int]) -> str:
