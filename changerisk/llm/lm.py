@@ -4,8 +4,11 @@ Words of the training part are counted, all of them, by hash. The most frequent
 network; every other word belongs, by its spelling, to one of a few tail classes, which are symbols
 too. The network gives the probability of the next class, and of the word in a class of symbols; in
 a tail class a word has its smoothed share of the counts. So any text has a probability, known words
-or not. The network is trained by truncated backpropagation; texts are scored whole, the state
-running on from window to window.
+or not. The network is trained by truncated backpropagation on every text of the training part:
+a few texts give it a start on the driver, then the texts are dealt by hash into shards, of which
+there are as many as the words need, and each round trains every shard in a task from the last
+parameters and averages what comes back. Texts are scored whole, the state running on from window to
+window.
 
 What is sent to the tasks has a fixed size: the network, and the counts of the HEAD most frequent
 words. Counts of rarer words, and their words in the texts, meet in a join on the word's hash.
@@ -29,9 +32,12 @@ CLASSES, MEMBERS, TAILS = 32, 32, 32
 HIDDEN = 24
 #: Words whose counts are sent to the tasks.
 HEAD = 1 << 18
-#: About so many documents train the network, in windows of STEPS words of STREAMS texts at a time.
+#: About so many documents give the network its start, in windows of STEPS words of STREAMS texts at a time.
 SAMPLE = 1_500
 STEPS, STREAMS, EPOCHS, RATE = 24, 64, 2, 0.01
+#: Then all texts train it: shards of about SHARD symbols, side by side, each text in one of ROUNDS
+#: rounds; after a round the parameters of the shards are averaged, in so many slices.
+SHARD, ROUNDS, ROUND_STREAMS, ROUND_RATE, SLICES = 1 << 21, 4, 256, 0.008, 16
 #: Words per call while scoring.
 _RUN = 48
 
@@ -121,6 +127,12 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(kind, kind="stable")
     ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
@@ -129,14 +141,17 @@ def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield c, order[ends[c] : ends[c + 1]]
 
 
-def train(streams: np.ndarray, start: int, epochs: int = EPOCHS, rate: float = RATE) -> Network:
-    """``streams``: symbols, texts one after the other by row, each closed by ``start``; -1 is no symbol."""
-    net = Network.fresh()
+def train(streams: np.ndarray, start: int, epochs: int = EPOCHS, rate: float = RATE, net: Network | None = None, before_rows: np.ndarray | None = None) -> Network:
+    """``streams``: symbols, texts one after the other by row, each closed by ``start``; -1 is no symbol.
+
+    ``net`` is trained in place if given; ``before_rows``: the symbol before each row, if not ``start``.
+    """
+    net = Network.fresh() if net is None else net
     moments = [[np.zeros_like(p) for p in net.parameters()] for _ in range(2)]
     k, rows, turn = HIDDEN, len(streams), 0
     steps = epochs * -(-streams.shape[1] // STEPS)
     for _ in range(epochs):
-        state, last = np.zeros((rows, k), np.float32), np.full(rows, start)
+        state, last = np.zeros((rows, k), np.float32), np.full(rows, start) if before_rows is None else before_rows
         for lo in range(0, streams.shape[1], STEPS):
             window = streams[:, lo : lo + STEPS]
             kept, states = [], []
@@ -155,14 +170,14 @@ def train(streams: np.ndarray, start: int, epochs: int = EPOCHS, rate: float = R
             dflat = np.zeros_like(flat)
             h, y = flat[real], target[real]
             kind = np.where(y < CLASSES * MEMBERS, y // MEMBERS, y - CLASSES * MEMBERS + CLASSES)
-            p = np.exp(_log_softmax(h @ net.classes + net.class_bias))
+            p = _softmax(h @ net.classes + net.class_bias)
             p[np.arange(len(y)), kind] -= 1
             p /= len(real)
             grads[2] += h.T @ p
             grads[3] += p.sum(axis=0)
             dh = p @ net.classes.T
             for c, at in _by_class(kind):
-                p = np.exp(_log_softmax(h[at] @ net.members[c] + net.member_bias[c]))
+                p = _softmax(h[at] @ net.members[c] + net.member_bias[c])
                 p[np.arange(len(at)), y[at] % MEMBERS] -= 1
                 p /= len(real)
                 grads[4][c] += h[at].T @ p
@@ -170,16 +185,26 @@ def train(streams: np.ndarray, start: int, epochs: int = EPOCHS, rate: float = R
                 dh[at] += p @ net.members[c].T
             dflat[real] = dh
             carried = np.zeros((rows, k), np.float32)
+            # What each step adds to the gates and to the state's part of them.
+            inputs = np.empty((len(flat), 3 * k), np.float32)
+            inner = np.empty_like(inputs)
             for t in range(window.shape[1] - 1, -1, -1):
                 before, symbol, (r, z, n, a) = kept[t]
-                d = dflat[t * rows : (t + 1) * rows] + carried
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (before - n) * z * (1 - z)
-                dr = dn * a * r * (1 - r)
-                da = np.concatenate((dr, dz, dn * r), axis=1)
-                np.add.at(grads[0], symbol, np.concatenate((dr, dz, dn), axis=1))
-                grads[1] += before.T @ da
-                carried = np.where((symbol == start)[:, None], np.float32(0), d * z + da @ net.back.T)
+                here = slice(t * rows, (t + 1) * rows)
+                d, x, da = dflat[here] + carried, inputs[here], inner[here]
+                keep = d * z
+                dn = (d - keep) * (1 - n * n)
+                x[:, :k] = dn * a * r * (1 - r)
+                x[:, k : 2 * k] = keep * (before - n) * (1 - z)
+                x[:, 2 * k :] = dn
+                da[:] = x
+                da[:, 2 * k :] *= r
+                carried = np.where((symbol == start)[:, None], np.float32(0), keep + da @ net.back.T)
+            grads[1] += np.concatenate([x[0] for x in kept]).T @ inner
+            symbols = np.concatenate([x[1] for x in kept])
+            order = np.argsort(symbols, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], np.diff(symbols[order]) > 0)))
+            grads[0][symbols[order[first]]] = np.add.reduceat(inputs[order], first)
             turn += 1
             scale = min(1.0, 1.0 / max(1e-9, float(np.sqrt(sum((g * g).sum() for g in grads)))))
             lr = rate * (1 - 0.9 * turn / steps) * np.sqrt(1 - 0.99**turn) / (1 - 0.9**turn)
@@ -187,7 +212,7 @@ def train(streams: np.ndarray, start: int, epochs: int = EPOCHS, rate: float = R
                 g *= scale
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                q -= lr * m / (np.sqrt(v) + 1e-6)
+                q -= float(lr) * m / (np.sqrt(v) + 1e-6)
     return net
 
 
@@ -264,7 +289,7 @@ def _counts(training: DataFrame) -> DataFrame:
 def learn(training: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame, int]:
     """The model, the counts of all words (h, n, tail), and how many words they are.
 
-    Counts cover all rows; the network is trained on about ``sample`` whole texts.
+    Counts and the network cover all rows; the network's start is of about ``sample`` texts.
     """
     counts = _counts(training)
     # By eighths of powers of two: the lowest count from which on at most HEAD words are left.
@@ -290,11 +315,12 @@ def learn(training: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame,
     for r in rest:
         tails[r.tail] = np.log10(r.n + 0.5 * (r.v + 1))
     model = Model(head.h.to_numpy(np.int64), head.n.to_numpy(np.int64), np.array([symbol.get(h, -1) for h in head.h.tolist()], np.int64), float(np.log10(total + 0.5 * (kinds + 1))), tails)
-    model.network = _trained(training, model, sample)
+    model.network = _start(training, model, sample)
+    _train_on_all(training, model, total)
     return model, counts, total
 
 
-def _trained(training: DataFrame, model: Model, sample: int) -> Network:
+def _start(training: DataFrame, model: Model, sample: int) -> Network:
     sent = training.sparkSession.sparkContext.broadcast(model)
 
     def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -319,6 +345,74 @@ def _trained(training: DataFrame, model: Model, sample: int) -> Network:
     return train(out, model.start)
 
 
+def _train_on_all(training: DataFrame, model: Model, total: int) -> None:
+    """Train the model's network on every text; ``total``: how many symbols they are."""
+    context = training.sparkSession.sparkContext
+    sent = context.broadcast(model)
+    shards = max(1, -(-total // SHARD))
+
+    def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            texts = _texts(part["text"])
+            for lo, hi in cut(texts):
+                _, _, sym, _, size = sent.value.coded(texts[lo:hi])
+                held = np.split(sym.astype(np.int16), np.cumsum(size)[:-1])
+                yield part[["round", "shard", "at"]].iloc[lo:hi].assign(s=[x.tobytes() for x in held])
+
+    # Shards and rounds come from the text's own hash, not from how rows are dealt out.
+    same = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    deal = lambda many, name: F.floor(hash_fraction(F.col("doc_id"), same, F.lit(name)) * many).cast("long")
+    placed = training.select("text", deal(ROUNDS, "round").alias("round"), deal(shards, "shard").alias("shard"), hash_fraction(F.col("doc_id"), same).alias("at"))
+    texts = stored(placed.mapInPandas(coded, "round long, shard long, at double, s binary"))
+    for turn in range(ROUNDS):
+        model.network = _averaged(texts.where(F.col("round") == turn), shards, model.network, model.start, ROUND_RATE * (1 - turn / ROUNDS))
+
+
+def _averaged(texts: DataFrame, shards: int, network: Network, start: int, rate: float) -> Network:
+    """The mean of the networks that the shards of ``texts`` (shard, at, s) make of ``network``, by symbols."""
+    sent = texts.sparkSession.sparkContext.broadcast(network)
+
+    def local(part: pd.DataFrame) -> pd.DataFrame:
+        flat = np.concatenate([np.frombuffer(s, np.int16) for s in part.sort_values(["at", "s"])["s"]])
+        net = Network(*(p.copy() for p in sent.value.parameters()))
+        streams, before = _rows_of(flat, start)
+        train(streams, start, 1, rate, net, before)
+        values = np.concatenate([p.ravel() for p in net.parameters()])
+        return pd.DataFrame({"slice": np.arange(SLICES), "shard": part["shard"].iloc[0], "n": len(flat), "v": [x.tobytes() for x in np.array_split(values, SLICES)]})
+
+    def summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for part in parts:
+            for k, n, v in zip(part["slice"], part["n"], part["v"], strict=True):
+                x = held.setdefault(k, [0, 0.0])
+                x[0] += n
+                x[1] = x[1] + np.frombuffer(v, np.float32) * float(n)
+        yield pd.DataFrame({"slice": list(held), "v": [(x / n).astype(np.float32).tobytes() for n, x in held.values()]})
+
+    # So many partitions as shards: few bytes are much work, which Spark would put into few tasks.
+    each = texts.repartition(shards, "shard").groupBy("shard").applyInPandas(local, "slice long, shard long, n long, v binary")
+    ordered = each.repartition(SLICES, "slice").sortWithinPartitions("slice", "shard")
+    found = sorted(ordered.mapInPandas(summed, "slice long, v binary").collect())
+    if not found:
+        return network
+    values, out, at = np.concatenate([np.frombuffer(r.v, np.float32) for r in found]), [], 0
+    for p in network.parameters():
+        out.append(values[at : at + p.size].reshape(p.shape).copy())
+        at += p.size
+    return Network(*out)
+
+
+def _rows_of(flat: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other, cut into rows of equal length so that none is padded, and the symbol before each row."""
+    # Few symbols stand in fewer rows, so that they still make steps enough.
+    rows = max(1, min(ROUND_STREAMS, len(flat) // (STEPS * 32)))
+    width = -(-len(flat) // rows)
+    out = np.full(rows * width, -1, np.int64)
+    out[: len(flat)] = flat
+    before = np.concatenate(([start], out[width - 1 : -1 : width]))
+    return out.reshape(rows, width), np.where(before >= 0, before, start)
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of each whole text.
 
