@@ -31,8 +31,8 @@ BUCKETS = 1 << 18
 SUBSETS = 16
 #: Rates of a section: next to one term of the document per subset, a half, a quarter.
 RATES = 3
-#: With fewer terms in the band than FEW both kinds of terms are hashed; below half of it, texts are
-#: compared by all their terms.
+#: With fewer distinct terms in the band than FEW both kinds of terms are hashed; if either of two texts
+#: has less than half of it, both are compared by all their terms.
 FEW = 16
 
 _U = np.uint64
@@ -111,25 +111,39 @@ class Fingerprints:
     band: Section
     every: Section
     text: list[str]
+    #: document and hash of each word
+    doc: np.ndarray
+    word: np.ndarray
 
     @staticmethod
     def of(texts: list[str], inside: np.ndarray) -> Fingerprints:
         w = words(texts, ALNUM)
         h = hashes(w)
         on = inside[(h % _U(BUCKETS)).astype(np.int64)]
-        few = np.bincount(w.doc[on], minlength=len(texts)) < FEW * 8
         band = _section(w.doc[on], h[on], len(texts))
-        few &= band.count < FEW
+        few = band.count < FEW
         every = _section(w.doc[few[w.doc]], h[few[w.doc]], len(texts))
         names = [
             (band.text(i, "b") if band.rate[i] >= 0 else "") + (every.text(i, "a") if every.rate[i] >= 0 else "")
             for i in range(len(texts))
         ]
-        return Fingerprints(band, every, names)
+        return Fingerprints(band, every, names, w.doc, h)
+
+    def by_every(self, i: np.ndarray) -> Section:
+        """All terms of at least the documents ``i``: of those with many terms in the band they are hashed only here."""
+        if (self.band.count[i] < FEW).all():
+            return self.every
+        need = np.zeros(len(self.text), bool)
+        need[i] = True
+        return _section(self.doc[need[self.doc]], self.word[need[self.doc]], len(self.text))
 
     def likeness(self, i: np.ndarray, other: Fingerprints, j: np.ndarray) -> np.ndarray:
         by_band = (self.band.count[i] >= FEW // 2) & (other.band.count[j] >= FEW // 2)
-        found = np.where(by_band, self.band.likeness(i, other.band, j), self.every.likeness(i, other.every, j))
+        found = self.band.likeness(i, other.band, j)
+        rest = np.flatnonzero(~by_band)
+        if len(rest):
+            a, b = i[rest], j[rest]
+            found[rest] = self.by_every(a).likeness(a, other.by_every(b), b)
         equal = np.array([self.text[a] == other.text[b] for a, b in zip(i, j, strict=True)], bool)
         return np.where(equal, 1.0, found)
 

@@ -3,6 +3,8 @@
 import numpy as np
 
 from changerisk.llm import lm
+from changerisk.llm.blocks import ALNUM, hashes, words
+from changerisk.llm.fingerprints import BUCKETS, Fingerprints
 
 
 def test_every_training_text_trains_the_network(documents, monkeypatch):
@@ -33,3 +35,18 @@ def test_rows_of_texts_leave_none_out():
     rows, before = lm._rows_of(flat, 0)
     assert rows[rows >= 0].tolist() == flat.tolist()
     assert before.tolist() == [0, *rows[:-1, -1].tolist()]
+
+
+def test_few_band_terms_that_repeat_are_compared_by_all_terms(prose):
+    band = [f"band{i}" for i in range(20)]
+    inside = np.zeros(BUCKETS, bool)
+    inside[(hashes(words(band, ALNUM)) % np.uint64(BUCKETS)).astype(np.int64)] = True
+    one, two = prose(2, seed=3, sizes=(300, 300), syllables=("qua", "xe", "zy", "pf", "gh", "wu", "jo", "vi"))
+    often = " band1 band2" * 100
+    got = Fingerprints.of([one + often, one + often + " odd", two + often, two + " " + " ".join(band)], inside)
+    assert got.band.count.tolist() == [2, 2, 2, 20]
+    assert got.text[0] != got.text[2]  # other texts with the same few band terms
+    near, far, mixed = got.likeness(np.array([0, 0, 2]), got, np.array([1, 2, 3]))
+    assert near > 0.5 > far
+    # One side has many band terms: both are compared by all their terms.
+    assert mixed > 0.3
