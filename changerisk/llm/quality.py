@@ -31,6 +31,8 @@ SMOOTHING = 1.0
 SLACK = 0.01
 #: Importances beyond this many nats, either way, tie.
 _LIMIT = float(1 << 20)
+#: Steps a unit of the square root of log_ratio, for the histogram of labelled rows.
+_PLACES = 64
 
 _U = np.uint64
 _UPPER = np.zeros(256, bool)
@@ -135,6 +137,35 @@ def good_share(labels: DataFrame) -> float:
     return 1.0 if share is None else min(1.0, share + SLACK)
 
 
+def own_share(scored: DataFrame, labels: DataFrame) -> float:
+    """Share of the rows of ``scored`` above the border of log_ratio between its labelled good and bad ones.
+
+    The border has the fewest labelled rows on the wrong side, good and bad weighing the same in all;
+    where several places do, it is the middle of the first run of them. An id with labels of both kinds
+    counts for neither. Without good labels in the input, or without bad ones, all rows are above it.
+    """
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
+    marks = marks.where("low = high").select("doc_id", (F.col("low") == 1).alias("good"))
+    # Places of log_ratio: steps of a signed square root, so that the rows of the histogram have a bound.
+    place = F.round(F.signum("log_ratio") * F.sqrt(F.least(F.abs("log_ratio"), F.lit(_LIMIT))) * _PLACES).cast("long")
+    placed = stored(scored.select("doc_id", place.alias("place")))
+    counts = placed.join(marks, "doc_id").groupBy("place").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
+    found = counts.orderBy("place").collect()
+    place, good, bad = (np.array([r[n] for r in found], np.float64) for n in ("place", "good", "bad"))
+    if not good.sum() or not bad.sum():
+        return 1.0
+    # Wrong if the border is below place i: good ones under it, bad ones from it on.
+    wrong = np.concatenate(([0], np.cumsum(good))) / good.sum() + (bad.sum() - np.concatenate(([0], np.cumsum(bad)))) / bad.sum()
+    i = int(wrong.argmin())
+    if i == 0:
+        border = place[0]
+    elif i == len(place):
+        border = place[-1] + 1
+    else:
+        border = (place[i - 1] + place[i]) / 2
+    return float(placed.agg(F.avg((F.col("place") >= float(border)).cast("double"))).first()[0])
+
+
 def gumbel_cut(scored: DataFrame, share: float) -> DataFrame:
     """``scored`` with ``selected``: the largest ``share`` of all rows by log_ratio + noise.
 
@@ -168,3 +199,11 @@ def keep_selected(docs: DataFrame, labels: DataFrame, share: float | None = None
     noise = gumbel_noise(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     noisy = stored(importance(docs, labels, sample).select("*", noise.alias("noise")))
     return back(gumbel_cut(noisy, good_share(labels) if share is None else share).where("selected"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE) -> DataFrame:
+    """As many rows of ``docs``, sampled by importance, as lie on the good side of its own labelled rows' border."""
+    docs, back = set_aside(docs)
+    noise = gumbel_noise(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    noisy = stored(importance(docs, labels, sample).select("*", noise.alias("noise")))
+    return back(gumbel_cut(noisy, own_share(noisy, labels)).where("selected"))

@@ -8,7 +8,7 @@ from changerisk.llm.decontamination import decontaminate
 from changerisk.llm.language import keep_identified
 from changerisk.llm.mixing import mixed_rows
 from changerisk.llm.neardup import keep_one
-from changerisk.llm.quality import keep_selected
+from changerisk.llm.quality import keep_good
 from changerisk.llm.shared import ship_code, stored, table
 
 
@@ -21,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by importance for good text."""
     ship_code(spark)
-    return keep_selected(docs, table(spark, sf_dir, "labels"))
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

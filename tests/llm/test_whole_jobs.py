@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from changerisk.llm import lm
+from changerisk.llm import lm, quality
 from changerisk.llm.blocks import ALNUM, hashes, words
 from changerisk.llm.fingerprints import BUCKETS, Fingerprints
 
@@ -50,3 +50,15 @@ def test_few_band_terms_that_repeat_are_compared_by_all_terms(prose):
     assert near > 0.5 > far
     # One side has many band terms: both are compared by all their terms.
     assert mixed > 0.3
+
+
+def test_quality_takes_the_good_documents_of_its_own_input(spark, documents, prose):
+    good = list(enumerate(prose(300, seed=5, sizes=(20, 80))))
+    junk = [(1000 + i, " ".join(w.upper() + "!!" for w in t.split())) for i, t in enumerate(prose(60, seed=6, sizes=(20, 80)))]
+    # Most documents that the labels call bad went in an earlier stage, so that the share of good ones is larger here.
+    gone = [(5000 + i, 0, 0) for i in range(300)]
+    labels = spark.createDataFrame([(d, int(d < 1000), 0) for d, _ in good + junk if d % 3] + gone, "doc_id long, quality int, toxic int")
+    df = documents([(d, t, "en", "s") for d, t in good + junk])
+    kept = {r.doc_id for r in quality.keep_good(df, labels).collect()}
+    assert sum(d in kept for d, _ in good) > 0.99 * len(good)
+    assert sum(d in kept for d, _ in junk) < 0.1 * len(junk)
