@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from changerisk.llm.ann import nearest_neighbours
+from changerisk.llm.centroids import CENTROIDS, DIMS, ROUNDS, SCALE, SEED, cluster_vectors
 from changerisk.llm.chat import render
 from changerisk.llm.decontamination import contamination
 from changerisk.llm.fingerprints import compare_with_edits
@@ -15,6 +17,7 @@ from changerisk.llm.mixing import mix_sources
 from changerisk.llm.neardup import classes
 from changerisk.llm.quality import resample
 from changerisk.llm.shared import ship_code, table
+from changerisk.llm.spelling import group_spellings
 from changerisk.llm.tokens import count_tokens
 from changerisk.llm.toxicity import assess
 
@@ -207,3 +210,45 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of each document, counted in flat token files."""
     return count_tokens(table(spark, folder, "documents"))
+
+
+@_query("op11_nearest_neighbours")
+def op11_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth one."""
+    return nearest_neighbours(table(spark, folder, "embeddings"))
+
+
+@_query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, their likely intended forms and the roots of these."""
+    return group_spellings(table(spark, folder, "documents"))
+
+
+def _centroids_sql(k: int = CENTROIDS, rounds: int = ROUNDS) -> str:
+    """Every round as joins of (vector, component) with (centroid, component)."""
+    steps = [
+        f"""kept AS (SELECT ROW_NUMBER() OVER () AS rid, vec_id, embedding AS e FROM embeddings
+  WHERE LEN(embedding) = {DIMS} AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR ISNAN(x) OR ISINF(x))) = 0),
+parts AS (SELECT rid, UNNEST(RANGE(1, {DIMS + 1})) AS p, FLOOR({SCALE} * UNNEST(e)::DOUBLE)::BIGINT AS x FROM kept),
+c0 AS (SELECT c, p, x FROM (
+  SELECT rid, ROW_NUMBER() OVER (ORDER BY SHA256('{SEED}:' || COALESCE(vec_id::VARCHAR, ''))) - 1 AS c FROM kept) JOIN parts USING (rid) WHERE c < {k})"""
+    ]
+    near = """a{r} AS (SELECT rid, MIN(d * 1000 + c) % 1000 AS c, MIN(d * 1000 + c) // 1000 AS d FROM (
+  SELECT v.rid, w.c, SUM((v.x - w.x) * (v.x - w.x))::BIGINT AS d FROM parts v JOIN c{r} w USING (p) GROUP BY v.rid, w.c) GROUP BY rid)"""
+    for r in range(rounds):
+        steps.append(near.format(r=r))
+        steps.append(f"""c{r + 1} AS (SELECT o.c, o.p, COALESCE(m.x, o.x) AS x FROM c{r} o LEFT JOIN (
+  SELECT c, p, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (
+    SELECT a.c, v.p, SUM(v.x)::BIGINT AS s, COUNT(*) AS n FROM parts v JOIN a{r} a USING (rid) GROUP BY a.c, v.p)) m ON m.c = o.c AND m.p = o.p)""")
+    steps.append(near.format(r=rounds))
+    return f"""WITH {", ".join(steps)},
+named AS (SELECT c, SHA256(STRING_AGG(x::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT k.vec_id, a.c::INTEGER AS cluster, a.d::BIGINT AS distance, (SUM(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (SUM(a.d) OVER ())::BIGINT AS inertia, n.centroid_sha256
+FROM a{rounds} a JOIN kept k USING (rid) JOIN named n ON n.c = a.c"""
+
+
+@_query("op13_cluster_centroids", _centroids_sql())
+def op13_cluster_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of the vectors after five rounds of integer k-means around forty centroids."""
+    return cluster_vectors(table(spark, folder, "embeddings"))
