@@ -84,12 +84,13 @@ def temporal_split(
 ) -> DataFrame:
     """Chronological split per repository; sizes are half-even shares of the row count.
 
-    Positions come from :func:`row_positions` over the ordering columns alone, so one repository
-    with most of the rows is still sorted by many tasks and wide rows are moved once. A row without
-    an instant has no place in time: its split is ``undated``, and it counts for no share.
+    Positions come from :func:`row_positions`, so one repository with most of the rows is still
+    sorted by many tasks. The rows themselves are placed, not looked up by their values: rows that
+    repeat each keep a place, and a null repository is a repository. A row without an instant has
+    no place in time: its split is ``undated``, and it counts for no share.
     """
     dated = dataset.where(F.col(order[0]).isNotNull())
-    placed = row_positions(dated.select("repo", *order), ["repo"], list(order))
+    placed = row_positions(dated, ["repo"], list(order))
     n = F.col("position_total")
     first = F.bround(n * F.lit(train)).cast("bigint")
     second = first + F.bround(n * F.lit(validation)).cast("bigint")
@@ -98,9 +99,7 @@ def temporal_split(
         .when(F.col("position") <= second, "validation")
         .otherwise("test")
     )
-    ranked = placed.select("repo", *order, "position", split.alias("split"))
-    same = [dated[k].eqNullSafe(ranked[k]) for k in ("repo", *order)]
-    found = dated.join(ranked, same).select(*[dated[k] for k in dataset.columns], "position", "split")
+    found = placed.select(*dataset.columns, "position", split.alias("split"))
     undated = dataset.where(F.col(order[0]).isNull())
     return found.unionByName(undated.withColumns({"position": F.lit(None).cast("bigint"), "split": F.lit("undated")}))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from changerisk.functions.rounding import ratio, round_exact
 from changerisk.functions.scoring import error_type
-from changerisk.operators.ordered import exact_medians, running_totals
+from changerisk.operators.ordered import exact_medians, join_groups, running_totals
 from changerisk.schema import PRODUCTION_THRESHOLD, SWEEP_PERCENT
 from changerisk.session import materialize
 
@@ -115,7 +115,7 @@ def probability_stats(scored: DataFrame, groups: list[str]) -> DataFrame:
         round_exact(F.avg("p"), 4).alias("mean"),
     )
     medians = exact_medians(scored, groups, "p").withColumn("median", round_exact(F.col("median"), 4))
-    return basic.join(medians, groups)
+    return join_groups(basic, medians, groups, "left")
 
 
 def detailed_metrics(scored: DataFrame, groups: list[str], threshold: float) -> DataFrame:
@@ -132,9 +132,8 @@ def detailed_metrics(scored: DataFrame, groups: list[str], threshold: float) ->
     )
     metrics = counts.select(*groups, at.alias("threshold"), "tp", "fp", "tn", "fn", "brier_score").withColumns(derived_metrics())
     ordered = [*groups, "threshold", "tp", "fp", "tn", "fn", *derived_metrics()]
-    return metrics.select(*ordered, "brier_score").join(_ranking(counted, groups), groups).select(
-        *ordered, "roc_auc", "pr_auc", "brier_score"
-    )
+    joined = join_groups(metrics.select(*ordered, "brier_score"), _ranking(counted, groups), groups)
+    return joined.select(*ordered, "roc_auc", "pr_auc", "brier_score")
 
 
 def operating_points(

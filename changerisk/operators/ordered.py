@@ -48,7 +48,7 @@ def running_totals(
     local = fixed.select(
         "*", *[F.sum(f"_m_{n}").over(inside).alias(f"_r_{n}") for n in measures]
     )
-    joined = local.join(offsets, [*keys, _SLICE])
+    joined = join_groups(local, offsets, [*keys, _SLICE])
     return joined.select(
         *[c for c in df.columns],
         *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in measures],
@@ -56,6 +56,15 @@ def running_totals(
     )
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equality join on columns of the same name in which a null group meets the null group."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return left.join(renamed, match, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def row_positions(df: DataFrame, keys: list[str], order: list[str], out: str = "position") -> DataFrame:
     """1-based position of each row in its group, and the group size as ``<out>_total``."""
     return running_totals(df, keys, order, {out: F.lit(1).cast("bigint")})

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from changerisk.functions.rounding import round_exact
-from changerisk.operators.ordered import exact_medians
+from changerisk.operators.ordered import exact_medians, join_groups
 from changerisk.schema import FEATURES
 
 STRONG = 0.70
@@ -49,7 +49,7 @@ def descriptive_stats(df: DataFrame, groups: list[str]) -> DataFrame:
     basic = per_feature(df, groups, stats, rounded=("mean", "std"))
     long = unpivot_features(df, groups)
     medians = exact_medians(long, keys, "value").withColumn("median", round_exact(F.col("median"), 4))
-    return basic.join(medians, keys)
+    return join_groups(basic, medians, keys, "left")
 
 
 def fit_scaler(train: DataFrame, features: list[str] | None = None) -> DataFrame:

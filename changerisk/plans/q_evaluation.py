@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from changerisk.functions import scoring as fs
 from changerisk.operators import evaluation as ev, models as md, stats as st
+from changerisk.operators.ordered import join_groups
 from changerisk.plans import q_features as qf
 from changerisk.plans.adapters import with_adapters as wa
 from changerisk.plans.catalog import query
@@ -106,6 +107,18 @@ def a15(t):
     return ev.probability_stats(t.v_scored, G)
 
 
+# Scores of no model are a group of their own: one SQL group per name, the null one under another name.
+NAMED = {"named": "SELECT CASE WHEN l_suppkey % 3 = 0 THEN '(none)' ELSE model END AS model, split, y, p FROM v_scored"}
+UNNAMED = "SELECT nullif(q.model, '(none)') AS model, q.* EXCLUDE (model) FROM ({}) q"
+
+
+@query("m8_scores_without_model", wa(["v_scored"], UNNAMED.format(f"SELECT m.*, k.roc_auc, k.pr_auc, b.brier_score, b.median FROM ({conf('model, split', 'named', '0.35::DOUBLE')}) m JOIN ({ranking('model, split', 'named')}) k ON m.model = k.model AND m.split = k.split JOIN (SELECT model, split, (CAST(printf('%.4f', avg((p - y) * (p - y))) AS DOUBLE) + 0.0::DOUBLE) AS brier_score, (CAST(printf('%.4f', median(p)) AS DOUBLE) + 0.0::DOUBLE) AS median FROM named GROUP BY ALL) b ON m.model = b.model AND m.split = b.split"), NAMED))
+def m8_unnamed(t):
+    rows = t.v_scored.withColumn("model", F.when(c("l_suppkey") % 3 != 0, c("model")))
+    medians = ev.probability_stats(rows, G).select(*G, "median")
+    return join_groups(ev.detailed_metrics(rows, G, 0.35).drop("threshold"), medians, G)
+
+
 @query("a16_majority_baseline", wa(["v_scored"], f"""SELECT *, 0.5::DOUBLE AS roc_auc, {DERIVED} FROM (SELECT model, k.majority,
  CAST(count_if(y = 1 AND majority = 1) AS BIGINT) AS tp, CAST(count_if(y = 0 AND majority = 1) AS BIGINT) AS fp, CAST(count_if(y = 0 AND majority = 0) AS BIGINT) AS tn, CAST(count_if(y = 1 AND majority = 0) AS BIGINT) AS fn
  FROM v_scored, (SELECT CASE WHEN count_if(y = 1) > count_if(y = 0) THEN 1 ELSE 0 END AS majority FROM v_scored WHERE split = 'validation') k WHERE split = 'test' GROUP BY ALL) q"""))

@@ -250,6 +250,31 @@ def w1(t):
     return splits(t).select("repo", "full_hash", "position", "split")
 
 
+# Rows that repeat, a null repository and rows without an instant; equal rows are counted, because they are interchangeable.
+REPEATED = """SELECT CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS repo, CASE WHEN l_partkey % 50 <> 7 THEN CAST(l_shipdate AS DATE) END AS ts, l_suppkey % 5 AS seq, CAST(l_linenumber AS VARCHAR) AS full_hash FROM lineitem"""
+
+
+@query("w1_split_repeated_rows", f"""SELECT repo, ts, seq, full_hash, split, count(*) AS rows FROM (
+ SELECT *, CASE WHEN ts IS NULL THEN 'undated' WHEN pos <= a THEN 'train' WHEN pos <= a + b THEN 'validation' ELSE 'test' END AS split FROM (
+  SELECT *, CAST(round_even(n * 0.7::DOUBLE, 0) AS BIGINT) AS a, CAST(round_even(n * 0.15::DOUBLE, 0) AS BIGINT) AS b FROM (
+   SELECT *, row_number() OVER (PARTITION BY repo, ts IS NULL ORDER BY ts, seq, full_hash) AS pos, count(*) OVER (PARTITION BY repo, ts IS NULL) AS n FROM ({REPEATED}) r) q) p) s GROUP BY ALL""")
+def w1_repeated(t):
+    rows = t.lineitem.select(
+        F.when(c("l_returnflag") != "R", c("l_returnflag")).alias("repo"), F.when(c("l_partkey") % 50 != 7, c("l_shipdate").cast("date")).alias("ts"),
+        (c("l_suppkey") % 5).alias("seq"), c("l_linenumber").cast("string").alias("full_hash"),
+    )
+    return ds.temporal_split(rows).groupBy("repo", "ts", "seq", "full_hash", "split").agg(F.count("*").alias("rows"))
+
+
+@query("w3_split_unlabelled_rows", """SELECT y, CASE WHEN pos <= CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT) THEN 'test' ELSE 'train' END AS split, count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM (
+ SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber)), l_orderkey, l_linenumber) AS pos, count(*) OVER (PARTITION BY y) AS n FROM (
+  SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END AS y FROM lineitem) a) b GROUP BY ALL""")
+def w3_unlabelled(t):
+    y = F.when(c("l_returnflag") == "R", 1).when(c("l_returnflag") == "A", 0)
+    out = ds.stratified_split(t.lineitem.select("l_orderkey", "l_linenumber", y.alias("y")), ["l_orderkey", "l_linenumber"], label="y")
+    return out.groupBy("y", "split").agg(F.count("*").alias("rows"), F.sum("l_orderkey").alias("keys"))
+
+
 @query("w2_is_chronological", wa(["v_commits"], """SELECT repo, count(*) AS rows, CAST(count_if(ts < prev) AS BIGINT) AS falls, count_if(ts < prev) = 0 AS is_chronological FROM (
  SELECT *, lag(ts) OVER (PARTITION BY repo ORDER BY seq, full_hash) AS prev FROM (SELECT *, epoch_us(CAST(commit_timestamp AS TIMESTAMPTZ)) AS ts FROM v_commits) a) b GROUP BY repo"""))
 def w2(t):

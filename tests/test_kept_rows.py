@@ -106,3 +106,17 @@ def test_one_pass_metrics_equal_their_parts(spark):
     for part in (ev.confusion(scored, ["model"], 0.35), ev.ranking_metrics(scored, ["model"]), ev.brier_score(scored, ["model"])):
         for r in part.collect():
             assert all(whole[r.model][k] == v for k, v in r.asDict().items())
+
+
+def test_repeated_rows_and_null_groups_stay(spark):
+    rows = [(r, datetime(2024, 1, 1 + i // 2), 1, "h", i % 3) for r in ("a", None) for i in range(10)]
+    data = spark.createDataFrame(rows, "repo string, ts timestamp, seq long, full_hash string, extra int")
+    split = ds.temporal_split(data).collect()
+    assert len(split) == 20 and sorted((str(r.repo), r.position) for r in split) == sorted((g, i + 1) for g in ("a", "None") for i in range(10))
+    labelled = spark.createDataFrame([("r", str(i), (1, 0, None)[i % 3]) for i in range(30)], "repo string, full_hash string, bug_introduced int")
+    held = [r for r in ds.stratified_split(labelled, ["repo", "full_hash"]).collect() if r.split == "test"]
+    assert len(held) == 6 and {r.bug_introduced for r in held} == {0, 1, None}
+    scored = spark.createDataFrame([(m, i % 2, i / 10) for m in ("m", None) for i in range(9)], "model string, y int, p double")
+    for out in (ev.ranking_metrics(scored, ["model"]), ev.probability_stats(scored, ["model"]), ev.detailed_metrics(scored, ["model"], 0.35)):
+        a, b = (r.asDict() for r in out.collect())
+        assert {a.pop("model"), b.pop("model")} == {"m", None} and a == b
