@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from changerisk.llm.blocks import ALNUM, cut, hashes, words
-from changerisk.llm.shared import set_aside
+from changerisk.llm.shared import map_exactly, set_aside
 
 #: Words of a window.
 WINDOW = 10
@@ -192,7 +192,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop: tupl
         schema = T.StructType([f for f in out.schema.fields if f.name not in left])
         sent = docs.sparkSession.sparkContext.broadcast(a)
 
-        def step(parts: Iterator[pd.DataFrame], sent=sent, names_out=schema.names) -> Iterator[pd.DataFrame]:
+        def step(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for part in parts:
                 texts = part["text"].tolist()
                 texts = [t if isinstance(t, str) else None for t in texts]
@@ -211,9 +211,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop: tupl
                             spans[lo + d] = [x for pair in joined(flat) for x in pair]
                             names[lo + d] = sorted({*names[lo + d], *items})
                 part["hit_words"], part["hit_spans"], part["hit_items"] = counts, spans, names
-                yield part[names_out]
+                yield part.drop(columns="text")
 
-        out = out.mapInPandas(step, schema)
+        out = map_exactly(out, step, schema, ["text", "hit_spans", "hit_items"])
     return out
 
 
@@ -264,9 +264,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
             for i, spans in enumerate(part["hit_spans"]):
                 if len(spans):
                     part.iat[i, part.columns.get_loc("text")] = without(part["text"].iat[i], list(spans))
-            yield part[fields.names]
+            yield part[["_at", "text"]]
 
-    return back(kept.mapInPandas(step, fields))
+    return back(map_exactly(kept, step, fields, ["text", "hit_spans"]))
 
 
 def without(text: str, spans: list[int]) -> str:

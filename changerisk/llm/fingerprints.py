@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from changerisk.llm.blocks import ALNUM, cut, hashes, mix, words
-from changerisk.llm.shared import stored
+from changerisk.llm.shared import map_exactly, stored
 
 #: Shares of documents between which a term counts.
 BAND = (0.005, 0.05)
@@ -166,9 +166,9 @@ def fingerprint(docs: DataFrame, inside: np.ndarray) -> DataFrame:
         for part in parts:
             texts = _texts(part["text"])
             found = [x for lo, hi in cut(texts) for x in Fingerprints.of(texts[lo:hi], sent.value).text]
-            yield part.assign(fingerprint=found)
+            yield part[["_at"]].assign(fingerprint=found)
 
-    return docs.mapInPandas(step, docs.select("*", F.lit("").alias("fingerprint")).schema)
+    return map_exactly(docs, step, docs.select("*", F.lit("").alias("fingerprint")).schema, ["text"])
 
 
 def _edited(texts: list[str], following: list[str], inside: np.ndarray) -> dict[str, list]:
@@ -205,9 +205,9 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Dat
     empty table gives an empty result; extra columns are ignored.
     """
     inside = docs.sparkSession.sparkContext.broadcast(lexicon(docs, band))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     kept = docs.select("doc_id", "text", F.xxhash64("text").alias("_same"))
-    ranged = kept.repartitionByRange("doc_id", "_same").sortWithinPartitions("doc_id", "_same", "text").select("doc_id", "text")
+    # Ids pass the tasks as text, so that each stays what it is beside a null.
+    ranged = kept.repartitionByRange("doc_id", "_same").sortWithinPartitions("doc_id", "_same", "text").select(F.col("doc_id").cast("string"), "text")
 
     def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = TaskContext.get().partitionId()
@@ -234,7 +234,7 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Dat
             part = part.reindex(columns=names).astype(object)
             yield part.where(part.notna(), None)
 
-    found = stored(ranged.mapInPandas(whole, f"doc_id {id_type}, edge string, place int, text string, {_RESULT}"))
+    found = stored(ranged.mapInPandas(whole, f"doc_id string, edge string, place int, text string, {_RESULT}"))
     # One row per task: which is the next task that has rows; after the last comes the first.
     first = found.where("edge = 'first'").select("place", F.col("text").alias("following"))
     order = Window.orderBy("place")
@@ -247,4 +247,5 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Dat
             yield pd.DataFrame({"doc_id": part["doc_id"]} | _edited(_texts(part["text"]), _texts(part["following"]), inside.value))
 
     columns = ["doc_id", *(x.split()[0] for x in _RESULT.split(", "))]
-    return found.where("edge is null").select(*columns).unionByName(pairs.mapInPandas(ends, f"doc_id {id_type}, {_RESULT}"))
+    whole_rows = found.where("edge is null").select(*columns).unionByName(pairs.mapInPandas(ends, f"doc_id string, {_RESULT}"))
+    return whole_rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from changerisk.llm.blocks import cut
-from changerisk.llm.shared import hashed_sample, remainder, set_aside
+from changerisk.llm.shared import map_exactly, hashed_sample, remainder, set_aside
 
 #: Places of a profile, and of a document's list.
 PLACES = 300
@@ -170,9 +170,9 @@ def predict(docs: DataFrame, profiles: Profiles, drop: tuple[str, ...] = ()) ->
                 score = np.where(known, 1 - least / np.maximum(runs * model.places, 1), 0.0)
                 langs += [model.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
                 scores += score.clip(0, 1).tolist()
-            yield part[kept].assign(lang_pred=langs, lang_score=scores)
+            yield part[["_at"]].assign(lang_pred=langs, lang_score=scores)
 
-    return docs.mapInPandas(step, docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema)
+    return map_exactly(docs, step, docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema, ["text"])
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

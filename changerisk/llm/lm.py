@@ -21,8 +21,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from changerisk.llm.blocks import SOLID, Words, cut, hashes, mix, words
 from changerisk.llm.shared import hash_fraction, hashed_sample, remainder, stored
@@ -38,8 +39,8 @@ STEPS, STREAMS, EPOCHS, RATE = 24, 64, 2, 0.01
 #: Then all texts train it: shards of about SHARD symbols, side by side, each text in one of ROUNDS
 #: rounds; after a round the parameters of the shards are averaged, in so many slices.
 SHARD, ROUNDS, ROUND_STREAMS, ROUND_RATE, SLICES = 1 << 21, 4, 256, 0.008, 16
-#: Words per call while scoring.
-_RUN = 48
+#: Words per call while scoring, and words that a task holds to run side by side (two bytes each).
+_RUN, HELD = 48, 1 << 22
 
 _U = np.uint64
 #: Stands for the end of a text; also what comes before a text.
@@ -421,12 +422,23 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    id_type = docs.select("doc_id").schema["doc_id"]
+    fields = T.StructType([T.StructField("row", T.LongType()), id_type, *T.StructType.fromDDL("n_tokens long, known long, base double, score double, rare array<long>").fields])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        place, row = TaskContext.get().partitionId(), 0
+        place, row, held, waiting = TaskContext.get().partitionId(), 0, [], 0
         known = np.log10(m.count + 0.5)
-        for part in parts:
-            texts = _texts(part["text"])
+
+        def run_all() -> Iterator[pa.RecordBatch]:
+            """The network runs over all held texts side by side: the longest one is waited for once."""
+            sizes = [x[1] for x in held]
+            run = m.recurrent(np.concatenate([x[0] for x in held]), np.concatenate(sizes)) / np.log(10)
+            for (_, size, ids, rows, seen, base, more, rare), own in zip(held, np.split(run, np.cumsum([len(s) for s in sizes])[:-1]), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(size), pa.array(seen), pa.array(base), pa.array(own + more), rare], fields.names)
+
+        for batch in batches:
+            texts = _texts(batch["text"].to_pylist())
             for lo, hi in cut(texts, 2 << 20):
                 h, at, sym, doc, size = m.coded(texts[lo:hi])
                 n = hi - lo
@@ -434,19 +446,19 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 value = np.where(inside, known[at] if len(known) else 0.0, 0.0)
                 tail = sym >= CLASSES * MEMBERS
                 base = np.bincount(doc, value, minlength=n) - size * m.base
-                score = m.recurrent(sym, size) / np.log(10)
-                score += np.bincount(doc[tail], value[tail] - m.tails[sym[tail] - CLASSES * MEMBERS], minlength=n)
-                ends = np.cumsum(np.bincount(doc[~inside], minlength=n))
-                rare = np.split(h[~inside], ends[:-1])
-                yield pd.DataFrame({
-                    "row": (place << 40) + row + np.arange(n), "doc_id": part["doc_id"].iloc[lo:hi].to_numpy(), "n_tokens": size,
-                    "known": np.bincount(doc[inside], minlength=n), "base": base, "score": score, "rare": rare,
-                })
-                row += n
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {id_type}, n_tokens long, known long, base double, score double, rare array<long>"
-    found = stored(docs.select("doc_id", "text").mapInPandas(step, schema))
+                more = np.bincount(doc[tail], value[tail] - m.tails[sym[tail] - CLASSES * MEMBERS], minlength=n)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(doc[~inside], minlength=n)))).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[~inside]))
+                seen = np.bincount(doc[inside], minlength=n)
+                held.append((sym.astype(np.int16), size, batch["doc_id"].slice(lo, n), (place << 40) + row + np.arange(n), seen, base, more, rare))
+                row, waiting = row + n, waiting + len(sym)
+                if waiting > HELD:
+                    yield from run_all()
+                    held, waiting = [], 0
+        if held:
+            yield from run_all()
+
+    found = stored(docs.select("doc_id", "text").mapInArrow(step, fields))
     unsolved = found.select("row", F.explode("rare").alias("h"))
     n = F.coalesce("n", F.lit(0))
     rare = unsolved.join(counts.select("h", "n"), "h", "left").groupBy("row").agg(F.sum(F.log10(n + 0.5)).alias("more"), F.sum((n > 0).cast("long")).alias("seen"))

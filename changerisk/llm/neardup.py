@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from changerisk.llm.blocks import ALNUM, cut, hashes, mix, occurrences, unit, windows, words
-from changerisk.llm.shared import set_aside, stored
+from changerisk.llm.shared import map_exactly, set_aside, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -100,7 +100,7 @@ def _signed(parts: Iterator[pd.DataFrame], size: int, bands: int, rows: int) ->
             d, cells = elements(texts[lo:hi], size)
             present = np.bincount(d, minlength=hi - lo) > 0
             keys += band_keys(dart_signatures(d, cells, hi - lo, bands * rows), present, bands, rows)
-        yield pd.DataFrame({"id": part["id"], "same": part["same"], "bands": keys})
+        yield part[["_at"]].assign(bands=keys)
 
 
 def _compact(parts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -131,7 +131,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", size: int = SHINGLE, simila
     id unless all are null. Extra columns are ignored. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("id"), _same().alias("same"), "text")
-    signed = stored(base.mapInPandas(lambda p: _signed(p, size, bands, rows), f"id {docs.schema[id_col].dataType.simpleString()}, same binary, bands array<long>"))
+    fields = base.select("id", "same", F.array().cast("array<long>").alias("bands")).schema
+    signed = stored(map_exactly(base, lambda p: _signed(p, size, bands, rows), fields, ["text"]))
     worded = signed.where(F.size("bands") > 0)
     texts = stored(worded.groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
     buckets = stored(_distinct_buckets(texts.select("same", F.explode("bands").alias("bucket"))))

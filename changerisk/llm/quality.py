@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from changerisk.llm.blocks import SOLID, cut, hashes, mix, words
 from changerisk.llm.mixing import BITS, budget_cuts
-from changerisk.llm.shared import hash_fraction, hashed_sample, set_aside, stored
+from changerisk.llm.shared import map_exactly, hash_fraction, hashed_sample, set_aside, stored
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 16
@@ -126,9 +126,9 @@ def importance(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE,
             for lo, hi in cut(texts):
                 doc, bucket = features(texts[lo:hi])
                 sums += np.bincount(doc, sent.value[bucket], minlength=hi - lo).tolist()
-            yield part[kept].assign(log_ratio=sums)
+            yield part[["_at"]].assign(log_ratio=sums)
 
-    return docs.mapInPandas(step, docs.select(*kept, F.lit(0.0).alias("log_ratio")).schema)
+    return map_exactly(docs, step, docs.select(*kept, F.lit(0.0).alias("log_ratio")).schema, ["text"])
 
 
 def good_share(labels: DataFrame) -> float:

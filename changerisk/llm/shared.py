@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from changerisk.session import work_folder
 
@@ -58,6 +61,37 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    return {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}[kind.simpleString()]
+
+
+def map_exactly(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType, reads: list[str]) -> DataFrame:
+    """``df.mapInPandas`` in which what ``fn`` does not make passes by as it is in Arrow.
+
+    ``fn`` gets the columns it ``reads`` and ``_at``, each row's number in its batch. It returns ``_at`` and
+    the columns it makes, of one batch before it takes the next; all others of ``schema`` are taken from
+    the input. So neither ids beyond 2**53 next to nulls nor columns of other types change.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: list[pa.RecordBatch] = []
+
+        def frames() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                current[:] = [batch]
+                yield batch.select(reads).to_pandas().assign(_at=np.arange(batch.num_rows))
+
+        for part in fn(frames()):
+            at = pa.array(part["_at"].to_numpy())
+            made = lambda f: pa.array(part[f.name].tolist(), _arrow(f.dataType))
+            columns = [made(f) if f.name in part.columns else current[0][f.name].take(at) for f in schema.fields]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """``crc32`` of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

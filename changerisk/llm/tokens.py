@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from changerisk.llm.blocks import cut
@@ -40,11 +41,11 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _heads(ids: pd.Series) -> np.ndarray:
+def _heads(ids: pa.Array) -> np.ndarray:
     """Header of each id; a null id is all zeros."""
     out = np.zeros((len(ids), HEADER), _TYPES[WIDTH])
-    known = ids.notna().to_numpy()
-    value = ids[known].astype("int64").to_numpy().view(np.uint64)
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    value = ids.drop_null().to_numpy().view(np.uint64)
     out[known, 0] = 1
     for k in range(HEADER - 1):
         out[known, 1 + k] = (value >> np.uint64(_BITS * k)) & np.uint64((1 << _BITS) - 1)
@@ -66,17 +67,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: dict[bytes, int] |
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary() if vocabulary is None else vocabulary)
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         coder = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
-        for part in parts:
-            texts = [t if isinstance(t, str) else "" for t in part["text"]]
-            heads = _heads(part["doc_id"])
+        for batch in batches:
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            heads = _heads(batch["doc_id"])
             for lo, hi in cut(texts):
-                yield pd.DataFrame({"value": [h.tobytes() + np.array(coder.encode_ordinary(t), _TYPES[WIDTH]).tobytes() for h, t in zip(heads[lo:hi], texts[lo:hi], strict=True)]})
+                yield pa.RecordBatch.from_pydict({"value": [h.tobytes() + np.array(coder.encode_ordinary(t), _TYPES[WIDTH]).tobytes() for h, t in zip(heads[lo:hi], texts[lo:hi], strict=True)]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encode, "value binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "value binary")
     # The text writer puts its separator after each row and nothing else: that is the flat format.
     end = np.array([END_OF_DOCUMENT], _TYPES[WIDTH]).tobytes().decode("latin-1")
     rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option("encoding", "ISO-8859-1").option("compression", "none").text(path)

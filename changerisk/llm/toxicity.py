@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from changerisk.llm.blocks import ALNUM, Words, cut, hashes, mix, words
-from changerisk.llm.shared import hashed_sample, remainder
+from changerisk.llm.shared import map_exactly, hashed_sample, remainder
 
 #: About so many labelled documents of each class are learned from, and so many windows of each.
 SAMPLE = 2_000
@@ -272,9 +272,9 @@ def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFram
         for part in parts:
             texts = _texts(part["text"])
             found = [x for lo, hi in cut(texts, 1 << 19) for x in sent.value.scores(texts[lo:hi]).tolist()]
-            yield part[kept].assign(toxic_score=found)
+            yield part[["_at"]].assign(toxic_score=found)
 
-    return docs.mapInPandas(step, docs.select(*kept, F.lit(0.0).alias("toxic_score")).schema)
+    return map_exactly(docs, step, docs.select(*kept, F.lit(0.0).alias("toxic_score")).schema, ["text"])
 
 
 def assess(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
