@@ -152,7 +152,7 @@ def train(streams: np.ndarray, start: int, epochs: int = EPOCHS, rate: float = R
     k, rows, turn = HIDDEN, len(streams), 0
     steps = epochs * -(-streams.shape[1] // STEPS)
     for _ in range(epochs):
-        state, last = np.zeros((rows, k), np.float32), np.full(rows, start) if before_rows is None else before_rows
+        state, last = np.zeros((rows, k), np.float32), np.full(rows, start, np.int16) if before_rows is None else before_rows
         for lo in range(0, streams.shape[1], STEPS):
             window = streams[:, lo : lo + STEPS]
             kept, states = [], []
@@ -339,7 +339,7 @@ def _start(training: DataFrame, model: Model, sample: int) -> Network:
         at = int(sizes.argmin())
         streams[at].append(t)
         sizes[at] += len(t)
-    out = np.full((STREAMS, int(sizes.max())), -1, np.int64)
+    out = np.full((STREAMS, int(sizes.max())), -1, np.int16)
     for i, parts in enumerate(streams):
         if parts:
             out[i, : sizes[i]] = np.concatenate(parts)
@@ -408,9 +408,9 @@ def _rows_of(flat: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     # Few symbols stand in fewer rows, so that they still make steps enough.
     rows = max(1, min(ROUND_STREAMS, len(flat) // (STEPS * 32)))
     width = -(-len(flat) // rows)
-    out = np.full(rows * width, -1, np.int64)
+    out = np.full(rows * width, -1, np.int16)  # small integers are sorted by their digits
     out[: len(flat)] = flat
-    before = np.concatenate(([start], out[width - 1 : -1 : width]))
+    before = np.concatenate((np.array([start], np.int16), out[width - 1 : -1 : width]))
     return out.reshape(rows, width), np.where(before >= 0, before, start)
 
 
