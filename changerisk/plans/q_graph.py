@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from changerisk.functions import scoring as fs
-from changerisk.operators import graph as gr, labels as lb, provenance as pv, pulls as pu
+from changerisk.operators import graph as gr, labels as lb, provenance as pv, pulls as pu, renames as rn
 from changerisk.plans.adapters import with_adapters as wa
 from changerisk.plans.catalog import query
 
@@ -218,6 +218,44 @@ def g5(t):
     return pv.file_lineage(changes(t)).select("full_hash", "path", "lineage")
 
 
+# Files that one commit deletes and adds: words are lines; what is added is a part of a deleted file, a changed one, or new.
+CONTENTS = """SELECT concat('d', CAST(doc_id % 3 AS STRING)) AS repo, concat('k', CAST(doc_id % 60 AS STRING)) AS full_hash, concat('old/', CAST(doc_id AS STRING), '.txt') AS path, 'D' AS status,
+  replace(text, ' ', chr(10)) AS content FROM documents WHERE doc_id % 5 < 3 AND length(text) < 4000
+ UNION ALL SELECT concat('d', CAST(doc_id % 3 AS STRING)), concat('k', CAST(doc_id % 60 AS STRING)), concat('new/', CAST(doc_id AS STRING), '.txt'), 'A',
+  CASE doc_id % 4 WHEN 0 THEN replace(text, ' ', chr(10)) WHEN 1 THEN substr(replace(text, ' ', chr(10)), 1, CAST(floor(length(text) * 0.8) AS INT)) WHEN 2 THEN substr(replace(text, ' ', chr(10)), 1, CAST(floor(length(text) * 0.4) AS INT))
+   ELSE replace(replace(text, ' ', chr(10)), 'a', 'aa') END FROM documents WHERE doc_id % 5 > 0 AND length(text) < 4000"""
+PAIRS = """
+lines AS (SELECT repo, full_hash, path, status, l, count(*) AS n, strlen(l) + 1 AS w FROM (SELECT repo, full_hash, path, status, unnest(string_split(content, chr(10))) AS l FROM contents WHERE strlen(content) > 0) q GROUP BY ALL),
+sizes AS (SELECT repo, full_hash, path, status, CAST(sum(n * w) AS BIGINT) AS size FROM lines GROUP BY ALL),
+pairs AS (SELECT o.repo, o.full_hash, o.path AS old_path, a.path, sum(least(o.n, a.n) * o.w) / CAST(greatest(any_value(x.size), any_value(y.size)) AS DOUBLE) AS share
+  FROM lines o JOIN lines a ON o.repo = a.repo AND o.full_hash = a.full_hash AND o.l = a.l AND o.status = 'D' AND a.status = 'A'
+  JOIN sizes x ON x.repo = o.repo AND x.full_hash = o.full_hash AND x.path = o.path AND x.status = 'D' JOIN sizes y ON y.repo = a.repo AND y.full_hash = a.full_hash AND y.path = a.path AND y.status = 'A' GROUP BY o.repo, o.full_hash, o.path, a.path)"""
+
+
+def contents(t):
+    t.documents.createOrReplaceTempView("_contents_documents")
+    return t.spark.sql(CONTENTS.replace("chr(10)", "char(10)").replace("FROM documents", "FROM _contents_documents"))
+
+
+@query("g5_rename_candidates", f"WITH contents AS ({CONTENTS}), {PAIRS} SELECT repo, full_hash, old_path, path, round(share, 9) AS share FROM pairs WHERE share >= 0.5::DOUBLE")
+def g5_candidates(t):
+    """Pairs of deleted and added files that are similar, found without comparing all pairs."""
+    return rn.rename_candidates(contents(t)).withColumn("share", F.round("share", 9))
+
+
+# A deleted file and the added one of its number are each other's best, unless equal texts stand in one commit; so ranks decide among equals.
+@query("g5_detected_renames", f"""WITH contents AS ({CONTENTS}), {PAIRS},
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY repo, full_hash, old_path ORDER BY share DESC, split_part(old_path, '/', 2) <> split_part(path, '/', 2), path) AS a, row_number() OVER (PARTITION BY repo, full_hash, path ORDER BY share DESC, split_part(old_path, '/', 2) <> split_part(path, '/', 2), old_path) AS b FROM pairs WHERE share >= 0.5::DOUBLE)
+ SELECT repo, full_hash, CAST(count(*) AS BIGINT) AS mutual_best, round(sum(share), 6) AS shares FROM ranked WHERE a = 1 AND b = 1 GROUP BY repo, full_hash""")
+def g5_renames(t):
+    """Per commit: renames that are the best of both their files, and their shares."""
+    rows = rn.rename_candidates(contents(t))
+    chosen = rn.detect_renames(contents(t))
+    best = lambda p: F.max("share").over(Window.partitionBy("repo", "full_hash", p))
+    tops = rows.withColumn("_top", (best("old_path") == c("share")) & (best("path") == c("share"))).where("_top").drop("_top", "share")
+    return chosen.join(tops, ["repo", "full_hash", "old_path", "path"]).groupBy("repo", "full_hash").agg(F.count("*").alias("mutual_best"), F.round(F.sum("share"), 6).alias("shares"))
+
+
 def history(t):
     """Hunks of many files: each item of a part replaces lines of that part's file."""
     from pyspark.sql import Window
