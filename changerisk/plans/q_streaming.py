@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from changerisk.operators import events as ev, models as md
 from changerisk.plans import q_features as qf
 from changerisk.plans.adapters import with_adapters as wa
-from changerisk.plans.catalog import query
+from changerisk.plans.catalog import ORACLES, query
 from changerisk.plans.q_evaluation import BIAS, COEF, P_SCORED, SCALE, V_FEAT
 from changerisk.plans.q_texts import P_EV, SECRET, event_rows
 from changerisk.session import materialize, work_folder
-from changerisk.streaming import events as se
+from changerisk.streaming import events as se, keyed as ks
 
 c = F.col
 
@@ -76,3 +76,24 @@ def st5(t):
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(
         availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(f"{folder}/out")
+
+
+@query("st3_ledger", wa(["v_bodies"], "SELECT DISTINCT delivery_id FROM v_bodies"))
+def st3_ledger(t):
+    """First deliveries, told by a ledger beside the stream instead of by the stream's state."""
+    stream, folder = _stream(t, 6)
+    named = stream.select(ev.header(c("headers"), "x-github-delivery").alias("delivery_id"), "received_at")
+    ledger = ks.delivery_ledger(t.spark, f"{folder}/ledger", buckets=4, compact_every=3)
+    ks.redelivery_stream(named, ledger, f"{folder}/out", f"{folder}/ck").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("delivery_id")
+
+
+@query("st4_live_reports", ORACLES["st4_report_upsert"])
+def st4_live(t):
+    """Live reports from snapshots and deltas."""
+    stream, folder = _stream(t, 4)
+    good = ev.accepted(ev.classify_events(stream, SECRET).withColumn("at", c("received_at")))
+    render = lambda b: b.withColumn("report", F.concat(F.lit("report for "), "head_sha"))
+    table = ks.live_reports(t.spark, f"{folder}/live", buckets=4, compact_every=2)
+    ks.live_report_stream(good, render, table, f"{folder}/ck").awaitTermination()
+    return table.read().select("owner", "repository", "number", "report")

@@ -5,11 +5,12 @@ Text exports are read as lines or as one text per commit and parsed by column ex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from changerisk.functions.commits import short_hash, to_utc
 from changerisk.operators.dataset import require_columns
 from changerisk.schema import FEATURES, FEATURE_TABLE, REPORT_SECTIONS
+from changerisk.session import materialize
 
 
 class MissingValues(ValueError):
@@ -140,10 +141,15 @@ def parse_hunk_headers(diffs: DataFrame, text: str = "diff_text") -> DataFrame:
     heads = rows.select(
         *extra, "path",
         F.explode(F.filter(F.split("_part", "\n"), lambda x: F.startswith(x, F.lit("@@ ")))).alias("_h"),
-    ).where((F.col("path") != "") & F.col("_h").rlike(_RANGE))
+    )
+    return _hunk_rows(heads, extra)
+
+
+def _hunk_rows(heads: DataFrame, extra: list[str]) -> DataFrame:
+    """Hunks that delete lines, from header lines ``_h`` with the ``path`` they belong to."""
     num = lambda g: F.regexp_extract("_h", _RANGE, g).try_cast("bigint")
     one = F.lit(1)
-    return heads.select(
+    return heads.where((F.col("path") != "") & F.col("_h").rlike(_RANGE)).select(
         *extra, "path", num(1).alias("old_start"), F.coalesce(num(2), one).alias("old_count"),
         num(3).alias("new_start"), F.coalesce(num(4), one).alias("new_count"),
     ).where("old_count > 0")
@@ -185,20 +191,68 @@ def parse_numstat_export(exports: DataFrame, text: str = "value") -> DataFrame:
     return parse_numstat(lines.where(F.col("full_hash") != ""))
 
 
+_COMMIT_LINE = r"^(?:commit )?([0-9a-f]{40})\s*$"
+
+
+def carried_lines(spark: SparkSession, path: str, marks: dict[str, Column], keep: Column) -> DataFrame:
+    """Lines of the text files under ``path`` for which ``keep`` holds, each with the last value of every
+    mark at or before it in its file.
+
+    ``marks``: name to an expression over ``value`` that is null on lines without such a mark. Files
+    are read in splits like any text, so one file of any size is worked on by many tasks. Within a
+    split the marks are carried by a window over the lines that matter; what a split begins with comes
+    from a scan over one row per split.
+    """
+    found = F.coalesce(keep, F.lit(False))
+    for m in marks.values():
+        found = found | m.isNotNull()
+    read = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_line"))
+    lines = materialize(
+        read.where(found).select("value", F.col("file_path").alias("_file"), F.col("file_block_start").alias("_start"), "_line", *[m.alias(f"_m_{n}") for n, m in marks.items()])
+    )
+    split = ["_file", "_start"]
+    upto = Window.partitionBy(*split).orderBy("_line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = lines.groupBy(*split).agg(*[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), F.col("_line"))).alias(f"_e_{n}") for n in marks])
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*split, *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in marks])
+    carried = lines.select("value", *split, *[F.last(f"_m_{n}", ignorenulls=True).over(upto).alias(f"_c_{n}") for n in marks])
+    return carried.where(F.coalesce(keep, F.lit(False))).join(starts, split).select("value", *[F.coalesce(f"_c_{n}", f"_b_{n}").alias(n) for n in marks])
+
+
+def read_numstat_export(spark: SparkSession, path: str) -> DataFrame:
+    """full_hash, added, deleted, raw_path from numstat exports of any size.
+
+    An export lists each commit by a line with its full hash, followed by its numstat lines. Lines
+    before the first commit of a file are skipped.
+    """
+    own = F.nullif(F.regexp_extract("value", _COMMIT_LINE, 1), F.lit(""))
+    lines = carried_lines(spark, path, {"full_hash": own}, F.contains(F.col("value"), F.lit("\t")))
+    return parse_numstat(lines.where("full_hash is not null").select("full_hash", F.col("value").alias("line")))
+
+
+def read_diff_export(spark: SparkSession, path: str) -> DataFrame:
+    """full_hash, path, old_start, old_count, new_start, new_count from zero-context diff exports of any size.
+
+    A line with a commit's full hash goes before its diff. A commit line ends the file before it, as
+    does ``--- /dev/null``; hunks without a file, and those that delete nothing, are left out.
+    """
+    own = F.nullif(F.regexp_extract("value", _COMMIT_LINE, 1), F.lit(""))
+    gone = own.isNotNull() | F.startswith(F.col("value"), F.lit("--- /dev/null"))
+    named = F.startswith(F.col("value"), F.lit("--- a/"))
+    file = F.when(gone, F.lit("")).when(named, F.trim(F.substring("value", 7, 1 << 30)))
+    rows = carried_lines(spark, path, {"full_hash": own, "path": file}, F.startswith(F.col("value"), F.lit("@@ ")))
+    return _hunk_rows(rows.where("full_hash is not null").withColumnRenamed("value", "_h"), ["full_hash"])
+
+
 def read_commit_facts(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Exported facts: ``change_log``, ``subject_log``, ``numstat`` or ``diff``.
 
-    The latter two are read file by file, so an export is to be cut into files of some commits
-    each: ``numstat`` as :func:`parse_numstat_export` has it; ``diff`` with a line of each commit's
-    full hash before its zero-context diff, returned as hunks with their commit.
+    The latter two are read as :func:`read_numstat_export` and :func:`read_diff_export` have them.
     """
-    if kind in ("numstat", "diff"):
-        texts = spark.read.text(path, wholetext=True)
-        if kind == "numstat":
-            return parse_numstat_export(texts)
-        parts = texts.select(F.explode(F.split("value", r"(?m)^(?=(?:commit )?[0-9a-f]{40}\s*$)")).alias("diff_text"))
-        own = F.regexp_extract("diff_text", r"\A(?:commit )?([0-9a-f]{40})\s*(?:\n|\z)", 1)
-        return parse_hunk_headers(parts.withColumn("full_hash", own).where(F.col("full_hash") != ""))
+    if kind == "numstat":
+        return read_numstat_export(spark, path)
+    if kind == "diff":
+        return read_diff_export(spark, path)
     lines = spark.read.text(path)
     if kind == "change_log":
         return parse_change_log(lines)

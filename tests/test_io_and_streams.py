@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from changerisk.operators import events as ev, models as md
 from changerisk.schema import EVENT_SOURCE, FEATURES, REPORT_SECTIONS
 from changerisk.sources import readers as rd, writers as wr
-from changerisk.streaming import events as se
+from changerisk.streaming import events as se, keyed as ks
 
 SECRET = "s3cret"
 SHA = "a" * 40
@@ -142,3 +142,74 @@ def test_streams_equal_batch_and_upserts_repeat_safely(spark, tmp_path):
         se.upsert_reports(batch(second), 1, log)
     live = {r.number: (r.report, r.action) for r in se.latest_reports(spark.read.schema(se.REPORT_LOG).parquet(log)).collect()}
     assert live == {1: ("r a", "created"), 2: ("r b", "updated"), 3: ("r b", "created")}
+
+
+def parquet_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_ledger_tells_redeliveries_of_any_age(spark, tmp_path):
+    ledger = ks.delivery_ledger(spark, str(tmp_path / "ledger"), buckets=3, compact_every=4)
+    ledger.create()
+    batches = [[(f"d{k}", datetime(2024, 1, 1 + k)), (f"d{k}", datetime(2024, 2, 1)), (None, datetime(2024, 1, 1))] for k in range(11)]
+    batches[10] += [("d0", datetime(2024, 3, 1)), ("d9", datetime(2024, 3, 1))]
+    for k, rows in enumerate(batches):
+        for _ in range(2 if k in (3, 4, 10) else 1):  # some batches run twice, one of them after its snapshot
+            ks.first_deliveries(spark.createDataFrame(rows, "delivery_id string, received_at timestamp"), k, ledger, str(tmp_path / "out"))
+    got = [(r.delivery_id, r.received_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(x for x in got if x[0]) == sorted((f"d{k}", datetime(2024, 1, 1 + k)) for k in range(11))
+    assert sum(x[0] is None for x in got) == 11 and ledger.upto() == 7
+    assert ledger.read().count() == 11 and ledger.read([0]).count() + ledger.read([1, 2]).count() == 11
+
+
+def test_live_reports_survive_replays_and_do_not_grow(spark, tmp_path):
+    table = ks.live_reports(spark, str(tmp_path / "live"), buckets=2, compact_every=3)
+    table.create()
+    table.create()
+    ddl = "owner string, repository string, number long, report string, received_at timestamp, delivery_id string"
+    read = []
+    for k in range(9):
+        rows = [("o", "r", n, f"{k}:{n}", datetime(2024, 1, 1 + k), "x") for n in range(k % 2, 6)] + [("o", None, 1, "late", datetime(2023, 1, 1), "x")]
+        for _ in range(2):
+            table.upsert(spark.createDataFrame(rows, ddl), k)
+        now = table.upto()
+        read.append(parquet_bytes(tmp_path / "live" / "snapshots" / f"upto={now}") + parquet_bytes(tmp_path / "live" / "deltas" / f"after={now}"))
+    live = {(r.repository, r.number): (r.report, r.first_batch, r.last_batch) for r in table.read().collect()}
+    assert live == {("r", n): (f"8:{n}", 0, 8) for n in range(6)} | {(None, 1): ("late", 0, 8)}
+    assert read[8] <= read[2] * 1.2 and read[7] <= read[4] * 1.2
+
+
+def test_stream_with_a_ledger_goes_on_after_a_stop(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    ledger = ks.delivery_ledger(spark, str(tmp_path / "ledger"), buckets=2, compact_every=2)
+    for part in ([1, 2], [2, 3]), ([1, 4], [3, 5, 5]):
+        for ids in part:
+            spark.createDataFrame([(f"d{i}", datetime(2024, 1, i)) for i in ids], "delivery_id string, received_at timestamp").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("delivery_id string, received_at timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+        query = ks.redelivery_stream(stream, ledger, out, str(tmp_path / "ck"))
+        query.awaitTermination()
+        assert all(not p.stateOperators for p in query.recentProgress)
+    assert sorted(r.delivery_id for r in spark.read.parquet(out).collect()) == [f"d{i}" for i in range(1, 6)]
+
+
+def test_exports_are_read_in_splits(spark, tmp_path):
+    shas = [f"{k:040x}" for k in range(60)]
+    stat = ["not\tof\tany"] + [x for k, h in enumerate(shas) for x in (f"commit {h}" if k % 2 else h, "", *[f"{k}\t{i}\tdir/f{i}.py" for i in range(k % 9)])]
+    diff = ["@@ -1 +1 @@"] + [x for k, h in enumerate(shas) for x in (h, "@@ -7 +7 @@ before a file", *[y for i in range(k % 5) for y in (f"--- a/f {i}.py", "+++ b/x", f"@@ -{k + 1},{i} +1 @@", "-gone" * 30, f"@@ -{k + 9} +1 @@")], "--- /dev/null", "@@ -3 +3 @@")]
+    for name, lines in (("stat", stat), ("diff", diff)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "1.txt").write_text("\n".join(lines) + "\n")
+    want_stat = sorted((h, str(k), str(i), f"dir/f{i}.py") for k, h in enumerate(shas) for i in range(k % 9))
+    want_diff = sorted([(h, f"f {i}.py", k + 1, i) for k, h in enumerate(shas) for i in range(1, k % 5)] + [(h, f"f {i}.py", k + 9, 1) for k, h in enumerate(shas) for i in range(k % 5)])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("1024b", size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0" if split != size else "4194304")
+        try:
+            if split != size:
+                assert spark.read.text(str(tmp_path / "diff")).rdd.getNumPartitions() > 10
+            assert sorted(tuple(r) for r in rd.read_numstat_export(spark, str(tmp_path / "stat")).collect()) == want_stat
+            assert sorted((r.full_hash, r.path, r.old_start, r.old_count) for r in rd.read_diff_export(spark, str(tmp_path / "diff")).collect()) == want_diff
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "4194304")
