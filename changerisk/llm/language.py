@@ -21,8 +21,8 @@ from changerisk.llm.shared import map_exactly, hashed_sample, remainder, set_asi
 PLACES = 300
 #: About so many documents of each language are learned from.
 SAMPLE = 2_000
-#: Bits of a letter while learning, and of a letter's number while comparing.
-_CODE, _LETTER = 21, 10
+#: Bits of a letter while learning; while comparing, letters have as many as the profiles' letters need.
+_CODE = 21
 _BLANK = 32
 
 
@@ -90,14 +90,15 @@ class Profiles:
         self.langs = sorted({lang for lang, _, _ in rows})
         split = [[run >> s & (1 << _CODE) - 1 for s in (2 * _CODE, _CODE, 0)] for _, run, _ in rows]
         known = sorted({c for cs in split for c in cs if c and c != _BLANK})
-        # 1: a blank, 2: any letter of no profile. Letters beyond the numbers count as such.
-        self.known = np.array(known[: (1 << _LETTER) - 3], np.int64)
+        # 1: a blank, 2: any letter of no profile.
+        self.known = np.array(known, np.int64)
+        self.bits = (len(known) + 2).bit_length()
         number = self.numbers()
         place: dict[int, dict[str, int]] = {}
         for (lang, _, at), cs in zip(rows, split, strict=True):
             run = 0
             for c in cs:
-                run = run << _LETTER | (int(number[c]) if c else 0)
+                run = run << self.bits | (int(number[c]) if c else 0)
             place.setdefault(run, {}).setdefault(lang, at)
         self.runs = np.array(sorted(place), np.int64)
         self.table = np.array([[place[r].get(x, -1) for x in self.langs] for r in self.runs.tolist()], np.int32).reshape(len(self.runs), len(self.langs))
@@ -110,18 +111,22 @@ class Profiles:
 
     def distances(self, texts: list[str | None], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance of each text from each language, and the runs compared (0: no letter)."""
-        n, places = len(texts), self.places
-        doc, run = _runs(texts, number, _LETTER)
-        key = np.sort(doc << 3 * _LETTER | run)
+        n, places, bits = len(texts), self.places, 3 * self.bits
+        room = 1 << 63 - bits
+        if n > room:  # a document and a run go into one number
+            parts = [self.distances(texts[a : a + room], number) for a in range(0, n, room)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        doc, run = _runs(texts, number, self.bits)
+        key = np.sort(doc << bits | run)
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(new, len(key)))
         key = key[new]
-        doc = key >> 3 * _LETTER
+        doc = key >> bits
         order = np.lexsort((key, -count, doc))
         first = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
         rank = np.arange(len(key)) - first[doc]
         order, rank, doc = order[rank < places], rank[rank < places], doc[rank < places]
-        run = key[order] & (1 << 3 * _LETTER) - 1
+        run = key[order] & (1 << bits) - 1
         total = np.zeros((n, len(self.langs)), np.int64)
         if len(run) and len(self.runs):
             at = np.minimum(np.searchsorted(self.runs, run), len(self.runs) - 1)

@@ -186,3 +186,37 @@ def test_state_runs_on_across_windows():
             last = np.array([s])
             total += model.network.log_probability(state, last)[0]
         assert abs(total - together[i]) < 1e-2 * max(1, sizes[i] / 10)
+
+
+def test_every_letter_of_a_profile_counts():
+    letters = [chr(c) for lo in (0x0430, 0x4E00, 0xAC00) for c in range(lo, lo + 400) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    parts = [letters[i : i + 300] for i in range(0, 1200, 300)][:3]
+    code = lambda r: sum(ord(c) << 21 * (len(r) - 1 - i) for i, c in enumerate(r))
+    model = language.Profiles([(f"l{k}", code(x), i) for k, part in enumerate(parts) for i, x in enumerate(part)])
+    assert len(model.known) == 900
+    other = "".join(chr(c) for c in range(0x0E01, 0x0E0F))
+    far, runs = model.distances([other, "".join(parts[2][:5])] * 3, model.numbers())
+    # Runs of a script that no profile has are as far from all profiles as can be.
+    assert (far[0] == runs[0] * language.PLACES).all()
+    assert far[1].argmin() == 2 and (far[::2] == far[0]).all()
+
+
+def test_distance_is_exact_with_ties_by_code():
+    text = "abba ab ba cab"
+    runs = {}
+    for word in text.split():
+        padded = f" {word} "
+        for size in (1, 2, 3):
+            for i in range(len(padded) - size + 1):
+                r = padded[i : i + size]
+                if r.strip() and " " not in r[1:-1] and r != " ":
+                    runs[r] = runs.get(r, 0) + 1
+    number = lambda c: 1 if c == " " else 3 + "abc".index(c)
+    key = lambda r: sum(number(c) << 8 * (len(r) - 1 - i) for i, c in enumerate(r))
+    order = sorted(runs, key=lambda r: (-runs[r], key(r)))
+    code = lambda r: sum(ord(c) << 21 * (len(r) - 1 - i) for i, c in enumerate(r))
+    profile = ["a", "b", "ab", "c", " a", "ba", "a ", "bb", "abb"]
+    model = language.Profiles([("x", code(r), i) for i, r in enumerate(profile)])
+    far, n = model.distances([text], model.numbers())
+    assert n[0] == len(runs)
+    assert far[0][0] == sum(abs(profile.index(r) - i) if r in profile else language.PLACES for i, r in enumerate(order))
