@@ -184,18 +184,21 @@ def risk_factors(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _suffixes(path: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.length(path)), lambda i: F.substr(path, i)
-    )
+def _endings(rows: DataFrame, path: str, other: DataFrame, of: str, out: str) -> DataFrame:
+    """``rows`` with the endings of ``path`` that are as long as some ``of`` path of the commit in ``other``."""
+    sizes = other.groupBy(*KEY).agg(F.collect_set(F.length(of)).alias("_sizes"))
+    size = F.explode(F.filter("_sizes", lambda n: n <= F.length(path)))
+    sized = rows.join(sizes, KEY).withColumn("_size", size)
+    return sized.withColumn(out, F.substring(F.col(path), F.length(path) - F.col("_size") + 1, F.col("_size"))).drop("_sizes", "_size")
 
 
 def match_cited_file(factors: DataFrame, files: DataFrame) -> DataFrame:
     """First file, in diff order, whose path the citation names exactly or as a suffix.
 
-    The suffix test runs either way. Each side lists the suffixes of its paths and is joined to
-    the other's whole path, so only true matches meet; the work grows with the length of the
-    paths, not with citations times files.
+    The suffix test runs either way. A path gives its endings only of the lengths that the other
+    side's paths of its commit have, and these are joined to the whole paths, so only true matches
+    meet; the rows are files times distinct lengths cited, and citations times distinct lengths of
+    paths.
     """
     target = forward_slashes(F.col("file_path"))
     cited = factors.withColumn("_t", target).where(F.col("_t") != "").select(*KEY, "factor_no", "_t")
@@ -203,14 +206,10 @@ def match_cited_file(factors: DataFrame, files: DataFrame) -> DataFrame:
         *KEY, "file_ord", forward_slashes(F.col("new_path")).alias("_n"),
         forward_slashes(F.col("old_path")).alias("_o"),
     ).join(cited.select(*KEY).distinct(), KEY, "left_semi")
-    named = norm.where(F.col("_n") != "")
+    named = norm.where(F.col("_n") != "").select(*KEY, "file_ord", "_n")
     by_old = cited.join(norm.select(*KEY, "file_ord", F.col("_o").alias("_t")), [*KEY, "_t"])
-    file_ends = cited.join(
-        named.select(*KEY, "file_ord", F.explode(_suffixes(F.col("_n"))).alias("_t")), [*KEY, "_t"]
-    )
-    cited_ends = cited.select(*KEY, "factor_no", F.explode(_suffixes(F.col("_t"))).alias("_n")).join(
-        named.select(*KEY, "file_ord", "_n"), [*KEY, "_n"]
-    )
+    file_ends = cited.join(_endings(named, "_n", cited, "_t", "_t").drop("_n"), [*KEY, "_t"])
+    cited_ends = _endings(cited, "_t", named, "_n", "_n").join(named, [*KEY, "_n"])
     cols = [*KEY, "factor_no", "file_ord"]
     hits = by_old.select(*cols).unionByName(file_ends.select(*cols)).unionByName(cited_ends.select(*cols))
     first = hits.groupBy(*KEY, "factor_no").agg(F.min("file_ord").alias("file_ord"))

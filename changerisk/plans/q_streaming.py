@@ -97,3 +97,15 @@ def st4_live(t):
     table = ks.live_reports(t.spark, f"{folder}/live", buckets=4, compact_every=2)
     ks.live_report_stream(good, render, table, f"{folder}/ck").awaitTermination()
     return table.read().select("owner", "repository", "number", "report")
+
+
+@query("st5_pruned_scoring", ORACLES["st5_stream_scoring"])
+def st5_pruned(t):
+    """Accepted events scored batch by batch, each with the folders of features that it needs."""
+    stream, folder = _stream(t)
+    good = ev.accepted(ev.classify_events(stream, SECRET))
+    se.store_by_prefix(qf.features(t).withColumn("repo", F.lit("own/r1")), f"{folder}/features", 1)
+    scorer = lambda f: md.score_logistic(f, COEF, BIAS, SCALE)
+    columns = ["head_sha", "owner", "raw_probability"]
+    se.score_batches(good, f"{folder}/features", scorer, f"{folder}/out", f"{folder}/ck", columns, 1).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select(*columns)

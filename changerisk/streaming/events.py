@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from changerisk.operators import events as ev
@@ -106,6 +106,45 @@ def report_stream(events: DataFrame, render, log_path: str, checkpoint: str, tri
     )
 
 
+#: Digits of a commit hash by which stored features are dealt into folders.
+PREFIX = 2
+
+
+def store_by_prefix(features: DataFrame, path: str, digits: int = PREFIX) -> None:
+    """Store a feature table (repo, full_hash, ...) in one folder per prefix of the hash."""
+    dealt = features.withColumn("prefix", F.substring("full_hash", 1, digits))
+    dealt.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(path)
+
+
+def features_of(heads: DataFrame, path: str, digits: int = PREFIX) -> DataFrame:
+    """Stored features that commits of ``heads`` (head_sha) may have: only the folders of their prefixes are read."""
+    prefix = F.substring("head_sha", 1, digits)
+    wanted = [r[0] for r in heads.where(F.col("head_sha").isNotNull()).select(prefix).distinct().collect()]  # 16 ** digits at most
+    spark = heads.sparkSession
+    # Prefixes stay text: 00 and 0e1 are no numbers.
+    schema = spark.read.parquet(path).schema
+    fields = [f if f.name != "prefix" else T.StructField("prefix", T.StringType()) for f in schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path).where(F.col("prefix").isin(wanted)).drop("prefix")
+
+
+def score_batches(events: DataFrame, path: str, scorer, out: str, checkpoint: str, columns: list[str], digits: int = PREFIX, trigger: dict | None = None) -> StreamingQuery:
+    """Score accepted events with features stored by :func:`store_by_prefix`, batch by batch.
+
+    A batch reads the folders that its commits fall into, not the whole table, and owns its folder
+    under ``out``. Events without features keep a row; ``columns`` are written.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            scored = score_stream(batch, features_of(batch, path, digits), scorer)
+            scored.select(*columns).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or ALL_THERE_IS)).start()
+
+
 def score_stream(events: DataFrame, features: DataFrame, scorer) -> DataFrame:
     """Join accepted events with the static feature table on the head commit and score them.
 

@@ -213,3 +213,17 @@ def test_exports_are_read_in_splits(spark, tmp_path):
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             spark.conf.set("spark.sql.files.openCostInBytes", "4194304")
+
+
+def test_a_batch_reads_the_folders_it_needs(spark, tmp_path):
+    path = str(tmp_path / "features")
+    hashes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(400)] + ["00" + "1" * 38, "0e" + "1" * 38]
+    se.store_by_prefix(spark.createDataFrame([("o/r", h, float(i)) for i, h in enumerate(hashes)], "repo string, full_hash string, x double"), path)
+    heads = spark.createDataFrame([(h,) for h in (hashes[3], hashes[3], hashes[7], "00" + "1" * 38, "ff" * 20, None)], "head_sha string")
+    found = se.features_of(heads, path)
+    folders = {f.split("prefix=")[1][:2] for f in found.inputFiles()}
+    assert {r.full_hash[:2] for r in found.collect()} == {h[:2] for h in (hashes[3], hashes[7], "00", "ff")} & {h[:2] for h in hashes}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [prefix" in plan and len(folders) > 100
+    got = {(r.head_sha, r.x) for r in se.score_stream(heads.withColumns({"owner": F.lit("o"), "repository": F.lit("r")}), found, lambda f: f).collect()}
+    assert got == {(hashes[3], 3.0), (hashes[7], 7.0), ("00" + "1" * 38, 400.0), ("ff" * 20, None), (None, None)}
