@@ -162,18 +162,25 @@ def _distinct_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(kept, "bucket")
 
 
+#: Bits of a text's place in an order of all texts; the others deal it into a part.
+_RANK_BITS = 40
+
+
+def _rank() -> Column:
+    return F.pmod(F.xxhash64("same"), F.lit(1 << _RANK_BITS))
+
+
 def _dealt(buckets: DataFrame) -> DataFrame:
     """bucket, part, same, old: the groups to compare. Large buckets are dealt into parts.
 
     About LEADERS texts of a large bucket are put into each of its parts, so that what is linked to
-    any of them meets across parts.
+    any of them meets across parts. They are those that come first in an order of all texts, so that
+    buckets with much the same texts have much the same leaders.
     """
-    parts = F.ceil(F.col("n") / CHUNK)
-    draw = F.xxhash64("same", "bucket")
-    rows = buckets.withColumn("parts", parts).withColumn("draw", draw)
-    leads = (F.col("parts") > 1) & (F.pmod(F.shiftright("draw", 20), F.col("n")) < LEADERS)
-    own = F.pmod("draw", F.col("parts"))
-    return rows.select("bucket", F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))).alias("part"), "same", F.lit(None).cast("string").alias("known"))
+    rows = buckets.withColumn("parts", F.ceil(F.col("n") / CHUNK))
+    leads = (F.col("parts") > 1) & (_rank() < F.lit(float(1 << _RANK_BITS)) * LEADERS / F.col("n"))
+    own = F.pmod(F.shiftrightunsigned(F.xxhash64("same"), _RANK_BITS), F.col("parts"))
+    return rows.select("bucket", F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))).alias("part"), "same", F.lit(None).cast("string").alias("known"), _rank().alias("rank"))
 
 
 def _odd_ones(large: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,11 +196,15 @@ def _odd_ones(large: DataFrame, labels: DataFrame) -> DataFrame:
     known = F.hex("root").alias("known")
     odd = rows.where("root != main").select("bucket", F.pmod("draw", F.col("odds")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), "same", known, "parts")
     every = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("odds") - 1)).alias("i"), F.pmod("draw", F.col("parts")).alias("j"), "same", known, "parts")
-    return odd.unionByName(every).select("bucket", (F.col("i") * F.col("parts") + F.col("j")).alias("part"), "same", "known").distinct()
+    return odd.unionByName(every).select("bucket", (F.col("i") * F.col("parts") + F.col("j")).alias("part"), "same", "known", _rank().alias("rank")).distinct()
 
 
 def _linked(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links that connect all texts of each group that links connect."""
+    """a, b: pairs that connect all texts of each group that links connect.
+
+    Each text is paired with the first of what it is linked to in its group, by the order of all
+    texts. Groups that hold much the same texts so give the same pairs, which count once.
+    """
 
     def connect(part: pd.DataFrame) -> pd.DataFrame:
         cells = [np.frombuffer(c, _CELL) for c in part["cells"]]
@@ -219,8 +230,12 @@ def _linked(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                     break
                 if top(i) != top(j) and _similarity(cells[i], cells[j]) >= similarity:
                     root[top(i)] = top(j)
-                    found.append((names[i], names[j]))
-        return pd.DataFrame(found, columns=["a", "b"])
+                    found += [i, j]
+        rank, first = part["rank"].tolist(), {}
+        for i in sorted(set(found), key=lambda i: (rank[i], names[i])):
+            first.setdefault(top(i), i)
+        pairs = [(names[i], names[first[top(i)]]) for i in sorted(set(found)) if first[top(i)] != i]
+        return pd.DataFrame(pairs, columns=["a", "b"])
 
     return groups.join(sets, "same").groupBy("bucket", "part").applyInPandas(connect, "a binary, b binary").distinct()
 
