@@ -1,12 +1,11 @@
 """Unified diff texts as tables of files, hunks and lines.
 
-One row holds the diff text of one commit. Files and hunks are cut inside the row; only numbering
-the lines needs a window, over the lines of one hunk.
+One row holds the diff text of one commit. Files, hunks and numbered lines are cut inside the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from changerisk.functions.paths import is_generated_file
 from changerisk.functions.text import lines_of, strip
@@ -16,6 +15,7 @@ KEY = ["repo", "full_hash"]
 GIT_HEADER = r"^diff --git a/(.*?) b/(.*)"
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
 HEADER_LINES = 9  # of which the original text rules read file marks
+PIECE = 256  # lines of a hunk that are numbered together
 _AT_LINE_START = r"(?<![^\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])"
 _HUNK_CUT = _AT_LINE_START + r"(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
 
@@ -181,33 +181,53 @@ def diff_hunks(files: DataFrame) -> DataFrame:
 def explode_diff_lines(files: DataFrame) -> DataFrame:
     """One row per diff line with its old and new line number.
 
-    The window covers one hunk, which came out of one diff text.
+    The numbers come out of the hunk's own array, so no line is moved: it is cut into pieces of
+    PIECE lines, counts of the pieces are summed up, and a line counts only inside its piece.
     """
-    rows = diff_hunks(files).select(
-        *KEY, "file_ord", "hunk_ord", "old_start", "new_start",
-        F.posexplode_outer("lines").alias("line_ord", "l"),
-    ).where(F.col("line_ord").isNotNull())
-    upto = (
-        Window.partitionBy(*KEY, "file_ord", "hunk_ord")
-        .orderBy("line_ord")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hunks = diff_hunks(files).where(F.size("lines") > 0)
+    number = F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / PIECE).cast("int"))
+    pieces = F.transform(number, lambda i: F.slice("lines", i * PIECE + 1, F.lit(PIECE)))
+    cut = hunks.select(
+        *KEY, "file_ord", "hunk_ord", "old_start", "new_start", "lines",
+        F.transform(pieces, lambda x: F.array_join(F.transform(x, lambda l: l["line_type"]), "")).alias("_kinds"),
     )
+    placed = cut.select(
+        *KEY, "file_ord", "hunk_ord",
+        F.posexplode(
+            F.arrays_zip(
+                pieces.alias("lines"), F.col("_kinds").alias("kinds"),
+                _starts("_kinds", "+", "old_start").alias("old"), _starts("_kinds", "-", "new_start").alias("new"),
+            )
+        ).alias("_piece", "p"),
+    )
+    rows = placed.select(
+        *KEY, "file_ord", "hunk_ord", "_piece", "p.kinds", "p.old", "p.new", F.posexplode("p.lines").alias("_at", "l")
+    )
+    upto = F.substring("kinds", F.lit(1), F.col("_at") + 1)
     kind = F.col("l.line_type")
-    in_old = kind.isin("-", " ")
-    in_new = kind.isin("+", " ")
-    return rows.withColumns(
-        {
-            "_old": F.sum(in_old.cast("bigint")).over(upto),
-            "_new": F.sum(in_new.cast("bigint")).over(upto),
-        }
-    ).select(
-        *KEY, "file_ord", "hunk_ord", "line_ord", kind.alias("line_type"),
-        F.when(in_old, F.col("old_start") + F.col("_old") - 1).alias("old_lineno"),
-        F.when(in_new, F.col("new_start") + F.col("_new") - 1).alias("new_lineno"),
+    return rows.select(
+        *KEY, "file_ord", "hunk_ord", (F.col("_piece") * PIECE + F.col("_at")).alias("line_ord"), kind.alias("line_type"),
+        F.when(kind != "+", F.col("old") + _counted(upto, "+") - 1).alias("old_lineno"),
+        F.when(kind != "-", F.col("new") + _counted(upto, "-") - 1).alias("new_lineno"),
         F.col("l.content").alias("content"),
     )
 
 
+def _counted(kinds: Column, other: str) -> Column:
+    """How many lines are not of the kind that the other side alone has."""
+    return F.length(F.translate(kinds, other, "")).cast("bigint")
+
+
+def _starts(kinds: str, other: str, start: str) -> Column:
+    """The number that the first line of each piece of one side would have."""
+    firsts = F.aggregate(
+        kinds,
+        F.array(F.col(start)),
+        lambda sums, k: F.array_append(sums, F.element_at(sums, -1) + _counted(k, other)),
+    )
+    return F.slice(firsts, 1, F.size(kinds))
+
+
 def diff_totals(commits: DataFrame, files: DataFrame) -> DataFrame:
     """Additions, deletions and file count per commit; a commit without files is empty."""
     sums = files.groupBy(*KEY).agg(

@@ -1,6 +1,7 @@
 """Diffs, contexts, reviews and evidence."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -74,6 +75,25 @@ def test_line_numbers(spark):
     assert compat.where("content like '%counter'").count() == 0
 
 
+def test_line_numbers_of_a_long_hunk(spark):
+    rng = random.Random(3)
+    kinds = [rng.choice("+- ") for _ in range(3 * df_.PIECE + 5)]
+    sizes = (len(kinds), df_.PIECE, 1)
+    text = "diff --git a/long.txt b/long.txt\n--- a/long.txt\n+++ b/long.txt\n" + "".join(
+        f"@@ -{7 * h + 1},9 +{5 * h + 1},9 @@\n" + "".join(f"{k}{i}\n" for i, k in enumerate(kinds[:n])) for h, n in enumerate(sizes)
+    ).rstrip("\n")
+    got = df_.explode_diff_lines(files(spark, text))
+    expected = []
+    for h, n in enumerate(sizes):
+        old, new = 7 * h + 1, 5 * h + 1
+        for i, k in enumerate(kinds[:n]):
+            expected.append((h, i, k, None if k == "+" else old, None if k == "-" else new, str(i)))
+            old, new = old + (k != "+"), new + (k != "-")
+    columns = ("hunk_ord", "line_ord", "line_type", "old_lineno", "new_lineno", "content")
+    assert sorted(tuple(r[x] for x in columns) for r in got.collect()) == expected
+    assert "Exchange" not in got._jdf.queryExecution().toString().split("Physical Plan")[1]
+
+
 def test_numstat_first_match_wins(spark):
     num = spark.createDataFrame(
         [("r", "h0", 0, "{old name => x}.txt", "new.txt", 7, 8, False), ("r", "h0", 1, "new.txt", "new.txt", 1, 1, False),
