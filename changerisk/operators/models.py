@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -19,6 +22,7 @@ from changerisk.functions.rounding import round_exact
 from changerisk.operators import evaluation as ev
 from changerisk.operators.stats import scaler_values, standardize
 from changerisk.schema import FEATURES, PRODUCTION_THRESHOLD, TARGET
+from changerisk.session import materialize
 
 SEED = 42
 # The three search grids.
@@ -37,6 +41,8 @@ BOOSTED_GRID = [
     {"rounds": 200, "depth": 3, "rate": 0.05},
     {"rounds": 200, "depth": 4, "rate": 0.10},
 ]
+GRIDS = {"logistic": LOGISTIC_GRID, "forest": FOREST_GRID, "boosted": BOOSTED_GRID}
+SIDE_BY_SIDE = 4  # fits at a time
 MAX_DEPTH = 30  # the deepest tree Spark ML grows
 PROVENANCE = {
     "model_id": "logistic_regression",
@@ -103,34 +109,71 @@ def positive_score(model: PipelineModel, df: DataFrame, keep: list[str]) -> Data
     )
 
 
+def fit_grid(splits: DataFrame, grids: dict[str, list[dict]], side_by_side: int = SIDE_BY_SIDE) -> dict[str, tuple[str, PipelineModel]]:
+    """Family and model of each configuration, by ``cfg_id``, fitted on train.
+
+    Fits run from several driver threads, so that the small last steps of one fit do not leave
+    the cluster idle; each of them is a Spark job over the stored splits.
+    """
+    train = splits.where(F.col("split") == "train")
+    n_train = train.count()
+    make = {"logistic": lambda **how: logistic(n_train, **how), "forest": forest, "boosted": boosted}
+    names = [(family, f"{family}_cfg_{i}", how) for family, grid in grids.items() for i, how in enumerate(grid, start=1)]
+    work = inheritable_thread_target(splits.sparkSession)(lambda x: make[x[0]](**x[2]).fit(train))
+    with ThreadPool(max(1, min(side_by_side, len(names)))) as pool:
+        fitted = pool.map(work, names, chunksize=1)
+    return {cfg: (family, model) for (family, cfg, _), model in zip(names, fitted, strict=True)}
+
+
+def _judged(splits: DataFrame, fitted: dict[str, tuple[str, PipelineModel]], keep: list[str]) -> DataFrame:
+    """One row per configuration: its best point on validation and its ranking metrics."""
+    rows = splits.where(F.col("split") == "validation")
+    parts = [
+        positive_score(model, rows, keep).select(F.lit(family).alias("family"), F.lit(cfg).alias("cfg_id"), "y", "p")
+        for cfg, (family, model) in fitted.items()
+    ]
+    groups = ["family", "cfg_id"]
+    scored = materialize(reduce(DataFrame.unionByName, parts))
+    points = ev.operating_points(ev.threshold_sweep(scored, groups), groups).where(F.col("point") == "max_f1")
+    return points.join(ev.ranking_metrics(scored, groups), groups)
+
+
 def grid_search(splits: DataFrame, family: str, grid: list[dict], keep: list[str]) -> tuple[DataFrame, dict]:
     """Fit each configuration on train and score validation; all are judged in one aggregation.
 
     Returns the ranked candidates (PR-AUC, ROC-AUC, F1 at the best threshold) and the models by
     ``cfg_id``. The splits are expected to be stored or checkpointed by the caller.
     """
-    train = splits.where(F.col("split") == "train")
-    n_train = train.count()
-    models: dict[str, PipelineModel] = {}
-    scored = None
-    for i, params in enumerate(grid, start=1):
-        cfg = f"{family}_cfg_{i}"
-        if family == "logistic":
-            estimator = logistic(n_train, **params)
-        elif family == "forest":
-            estimator = forest(**params)
-        else:
-            estimator = boosted(**params)
-        models[cfg] = estimator.fit(train)
-        part = positive_score(models[cfg], splits.where(F.col("split") == "validation"), keep)
-        part = part.withColumn("cfg_id", F.lit(cfg))
-        scored = part if scored is None else scored.unionByName(part)
-    points = ev.operating_points(ev.threshold_sweep(scored, ["cfg_id"]), ["cfg_id"]).where(
-        F.col("point") == "max_f1"
-    )
-    ranks = ev.ranking_metrics(scored, ["cfg_id"])
-    candidates = points.join(ranks, "cfg_id").withColumn("family", F.lit(family))
-    return ev.rank_candidates(candidates, ["family"]), models
+    fitted = fit_grid(splits, {family: grid})
+    candidates = _judged(splits, fitted, keep)
+    columns = ["cfg_id", *[c for c in candidates.columns if c not in ("cfg_id", "family")], "family"]
+    return ev.rank_candidates(candidates.select(*columns), ["family"]), {cfg: m for cfg, (_, m) in fitted.items()}
+
+
+def family_search(
+    splits: DataFrame, keep: list[str], grids: dict[str, list[dict]] | None = None, side_by_side: int = SIDE_BY_SIDE
+) -> tuple[DataFrame, DataFrame, PipelineModel]:
+    """Search all families: the ranked configurations, the winner's test metrics, and its model.
+
+    ``splits`` holds the features and their scaled columns, stored by the caller. Configurations
+    are ranked inside their family (candidate_rank) and over all (overall_rank) on validation.
+    The best one keeps the threshold that it had there, and is judged with it once on test; ties
+    go to the family and then the configuration listed first.
+    """
+    grids = GRIDS if grids is None else grids
+    fitted = fit_grid(splits, grids, side_by_side)
+    ranked = ev.rank_candidates(_judged(splits, fitted, keep), ["family"])
+    place = {cfg: i for i, cfg in enumerate(fitted)}
+    listed = F.element_at(F.create_map(*[F.lit(x) for pair in place.items() for x in pair]), F.col("cfg_id"))
+    overall = ev.rank_candidates(
+        ranked.withColumns({"_in_family": F.col("candidate_rank"), "_listed": listed}), [], "_listed"
+    ).withColumnsRenamed({"candidate_rank": "overall_rank"}).withColumnsRenamed({"_in_family": "candidate_rank"})
+    overall = materialize(overall.drop("_listed"))
+    best = overall.where("overall_rank = 1").select("cfg_id", "threshold").first()
+    family, model = fitted[best.cfg_id]
+    test = positive_score(model, splits.where(F.col("split") == "test"), keep)
+    named = test.select(F.lit(family).alias("family"), F.lit(best.cfg_id).alias("cfg_id"), "y", "p")
+    return overall, ev.detailed_metrics(named, ["family", "cfg_id"], best.threshold), model
 
 
 def save_model(model: PipelineModel, path: str, production: bool = False) -> None:

@@ -1,6 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from changerisk.operators import evaluation as ev
+from changerisk.operators import evaluation as ev, models as md
+from changerisk.schema import FEATURES, TARGET
 
 Y1, P1 = [1, 0, 1, 0, 1, 0, 0, 1], [0.9, 0.1, 0.8, 0.2, 0.4, 0.3, 0.1, 0.75]
 Y2, P2 = [1, 0, 1, 0, 1, 0, 1, 0], [0.85, 0.15, 0.75, 0.30, 0.65, 0.20, 0.90, 0.10]
@@ -92,3 +96,36 @@ def test_champion_decision(spark):
 def test_probability_stats_median(spark):
     r = ev.probability_stats(scored(spark, a=(Y1, P1)), ["model"]).first()
     assert (r.min, r.max, r.mean, r.median) == (0.1, 0.9, 0.4438, 0.35)
+
+
+def test_family_search_takes_the_best_of_all_families(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(600):
+        x = [rng.random() for _ in FEATURES]
+        rows.append((f"h{i}", ("train", "validation", "test")[i % 3], int((x[0] > 0.5) != (x[1] > 0.5)), *x))
+    splits = spark.createDataFrame(rows, f"full_hash string, split string, {TARGET} int, " + ", ".join(f"{f} double" for f in FEATURES))
+    splits = splits.select("*", *[F.col(f).alias(f"{f}_z") for f in FEATURES]).cache()
+    grids = {
+        "logistic": [{"C": 0.1}, {"C": 0.1}],
+        "forest": [{"trees": 3, "depth": 1}, {"trees": 10, "depth": 5}],
+        "boosted": [{"rounds": 4, "depth": 3}],
+    }
+    ranked, final, model = md.family_search(splits, ["full_hash"], grids)
+    found = sorted(ranked.collect(), key=lambda r: r.overall_rank)
+    assert [r.overall_rank for r in found] == [1, 2, 3, 4, 5]
+    merits = [(r.pr_auc, r.roc_auc, r.f1) for r in found]
+    assert merits == sorted(merits, reverse=True)
+    # Two targets that no line divides: a tree wins, and equal configurations keep the order of the grid.
+    assert found[0].family != "logistic"
+    equal = [r.cfg_id for r in found if r.family == "logistic"]
+    assert equal == ["logistic_cfg_1", "logistic_cfg_2"]
+    for family in grids:
+        assert [r.candidate_rank for r in found if r.family == family] == list(range(1, len(grids[family]) + 1))
+    # What the winner scores, counted plainly at the threshold of validation.
+    best, got = found[0], final.first()
+    for split, r in (("validation", best), ("test", got)):
+        scores = md.positive_score(model, splits.where(F.col("split") == split), ["full_hash"]).collect()
+        cell = lambda y, up: sum(s.y == y and (s.p >= best.threshold) == up for s in scores)  # noqa: E731, B023
+        assert (r.tp, r.fp, r.tn, r.fn) == (cell(1, True), cell(0, True), cell(0, False), cell(1, False))
+    assert (got.cfg_id, got.threshold) == (best.cfg_id, best.threshold)
