@@ -8,13 +8,23 @@ from changerisk.operators import evaluation as ev, events as es, models as md
 from changerisk.plans import q_features as qf
 from changerisk.plans.adapters import with_adapters as wa
 from changerisk.plans.catalog import query
-from changerisk.plans.q_evaluation import G
+from changerisk.plans.q_evaluation import G, V_FEAT
 from changerisk.plans.q_streaming import _stream
-from changerisk.schema import REPORT_SECTIONS
+from changerisk.schema import FEATURES, REPORT_SECTIONS
 from changerisk.session import materialize, work_folder
 from changerisk.sources import readers as rd, writers as wr
 
 c = F.col
+WHOLE = [f for f in FEATURES if not f.startswith("avg_")]
+
+
+@query("s1_read_features", wa(V_FEAT, "SELECT repo, count(*) AS rows, " + ", ".join(f"CAST(sum({f}) AS BIGINT) AS {f}" for f in WHOLE) + " FROM feat GROUP BY repo", qf.P_FEAT))
+def s1(t):
+    """Sums per repository of a feature table that was written as CSV and read back with its checks."""
+    path = f"{work_folder(t.spark)}/features.csv"
+    qf.features(t).select("repo", "full_hash", *FEATURES).write.option("header", True).csv(path)
+    table = rd.read_features(t.spark, path)
+    return table.groupBy("repo").agg(F.count("*").alias("rows"), *[F.sum(f).cast("bigint").alias(f) for f in WHOLE])
 
 
 @query("s6_read_report", wa(["v_scored"], "SELECT section, CAST(items AS INT) AS items FROM (" + " UNION ALL ".join(
