@@ -252,7 +252,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     Hit spans are cut out of the text, from the first character of their first word to that of the
     word after them; a document of which more than ``coverage`` of the words are hit is dropped.
-    Texts without hits stay as they are.
+    Texts without hits stay as they are, null and empty ones too. Rows that repeat are cut alike, and all
+    columns stay. An empty benchmark changes nothing; an empty table gives an empty one.
     """
     docs, back = set_aside(docs)
     fields = docs.schema

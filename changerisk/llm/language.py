@@ -181,7 +181,12 @@ def predict(docs: DataFrame, profiles: Profiles, drop: tuple[str, ...] = ()) ->
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learned where ``crc32`` of the id modulo 3 is not 1."""
+    """doc_id, held_out, lang_pred, score: learned where ``crc32`` of the id modulo 3 is not 1.
+
+    Each row has a row, and equal texts have equal predictions. Null, empty and letterless texts are ``und``
+    with score 0. Languages at equal distance are decided by code. An empty table gives an empty result.
+    Extra columns are ignored.
+    """
     held = remainder("doc_id", 3) == 1
     profiles = learn(docs.where(~held), sample)
     judged = predict(docs.select("doc_id", "text"), profiles, drop=("text",))
@@ -189,7 +194,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE, least: float = 0.0) -> DataFrame:
-    """``docs`` without those of no language: ``und``, or nothing in common with any profile."""
+    """``docs`` without those of no language: ``und``, or nothing in common with any profile.
+
+    So null, empty and letterless texts go. Rows that repeat stay or go together, and all columns stay. An
+    empty table gives an empty one; where nothing can be learned, no row stays.
+    """
     docs, back = set_aside(docs)
     judged = predict(docs, learn(docs.where(remainder("doc_id", 3) != 1), sample))
     return back(judged.where((F.col("lang_pred") != "und") & (F.col("lang_score") > least)))

@@ -186,7 +186,12 @@ def gumbel_noise(*identity) -> Column:
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, sample: int = TARGET_SAMPLE) -> DataFrame:
-    """doc_id, log_ratio, noise, selected: ``share`` of all documents (that of good labels if None)."""
+    """doc_id, log_ratio, noise, selected: ``share`` of all documents (that of good labels if None).
+
+    Each row has a row. Null and empty texts have ratio 0 and are drawn by their noise alone. Rows that
+    repeat an id with its text have the same noise, and ties at the cut go together. A null id is an id
+    like others, but has no label. An empty table gives an empty result; without labels all are selected.
+    """
     keyed = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
     scored = importance(keyed, labels, sample, drop=("text",))
     noisy = stored(scored.select("doc_id", "log_ratio", gumbel_noise(F.col("doc_id"), F.col("same")).alias("noise")))
@@ -194,7 +199,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, sam
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, share: float | None = None, sample: int = TARGET_SAMPLE) -> DataFrame:
-    """The selected rows of ``docs``."""
+    """The selected rows of ``docs``, with all their columns; nulls, ties and repeats as in ``resample``."""
     docs, back = set_aside(docs)
     noise = gumbel_noise(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     noisy = stored(importance(docs, labels, sample).select("*", noise.alias("noise")))
@@ -202,7 +207,11 @@ def keep_selected(docs: DataFrame, labels: DataFrame, share: float | None = None
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE) -> DataFrame:
-    """As many rows of ``docs``, sampled by importance, as lie on the good side of its own labelled rows' border."""
+    """As many rows of ``docs``, sampled by importance, as lie on the good side of its own labelled rows' border.
+
+    All columns stay. Without good or without bad labels among the ids of ``docs`` all rows are kept, null and
+    empty texts too; otherwise nulls, ties and repeats are as in ``resample``. An empty table gives an empty one.
+    """
     docs, back = set_aside(docs)
     noise = gumbel_noise(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     noisy = stored(importance(docs, labels, sample).select("*", noise.alias("noise")))

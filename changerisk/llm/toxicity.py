@@ -278,7 +278,11 @@ def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFram
 
 
 def assess(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted: learned from labels of rows with ``crc32`` mod 4 not 2."""
+    """doc_id, held_out, score, predicted: learned from labels of rows with ``crc32`` mod 4 not 2.
+
+    Each row has a row, and equal texts have equal scores. Null and empty texts are scored as texts without
+    words. An empty table gives an empty result. Extra columns are ignored.
+    """
     held = remainder("doc_id", 4) == 2
     model = learn(docs.where(~held), labels.where(remainder("doc_id", 4) != 2), sample)
     scored = score(docs.select("doc_id", "text"), model, drop=("text",))
