@@ -1,4 +1,8 @@
-"""The corpus pipeline: what documents become training data, stage by stage."""
+"""The corpus pipeline: what documents become training data, stage by stage.
+
+Every stage takes an empty table and gives an empty one, keeps all columns, takes columns named like
+its own ones, and treats rows that repeat alike, unless it says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -13,25 +17,34 @@ from changerisk.llm.shared import ship_code, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which some language is recognised."""
+    """Documents of which some language is recognised; null, empty and letterless texts go."""
     ship_code(spark)
     return keep_identified(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by importance for good text."""
+    """Documents sampled by importance for good text.
+
+    Null and empty texts have importance 0. Without good or without bad labels among the documents all stay.
+    """
     ship_code(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: the one of the least id, of rows that repeat it any one.
+
+    Texts without words, null ones too, are no copies of each other and all stay.
+    """
     ship_code(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without benchmark passages, and n_chars of what is left; documents that are mostly such passages go."""
+    """Texts without benchmark passages, and n_chars of what is left; documents that are mostly such passages go.
+
+    Null and empty texts stay, and null and empty items match nothing.
+    """
     ship_code(spark)
     clean = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     if "n_chars" not in docs.columns:
@@ -40,7 +53,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix of sources takes, with how often."""
+    """What the mix of sources takes, with how often.
+
+    A null source is a source. Null and blank texts have size 0: they are taken where their key is, for no words.
+    """
     ship_code(spark)
     return mixed_rows(docs)
 
