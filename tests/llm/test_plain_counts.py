@@ -1,4 +1,4 @@
-"""Fingerprints and quality importance against versions that count with sets and dictionaries, a term at a time."""
+"""Fingerprints, quality importance and toxicity scores against versions that count with sets and dictionaries, a term at a time."""
 
 import math
 import re
@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from changerisk.llm import fingerprints as fp, quality
+from changerisk.llm import fingerprints as fp, quality, toxicity as tx
 from changerisk.llm.blocks import ALNUM, SOLID, hashes, mix, words
 
 
@@ -154,3 +154,67 @@ def test_importance_matches_plain_counts(spark, documents, prose):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.log_ratio) for r in found)
     assert [d for d, _ in got] == [d for d, _ in expected]
     assert [x for _, x in got] == pytest.approx([x for _, x in expected], abs=1e-7)
+
+
+# --- toxicity -------------------------------------------------------------------------------------
+def buckets_of(word):
+    """Of the n-grams of a word between its marks, repeats included."""
+    code = [1, *word, 2]
+    out = []
+    for n in tx.GRAMS:
+        for i in range(len(code) - n + 1):
+            run = code[i]
+            for k in range(2, n + 1):
+                run = (mixed(run, k) + code[i + k - 1]) % 2**64
+            out.append(mixed(run, n) % tx.BUCKETS)
+    return out
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def score_of(text, model):
+    found = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+    bags = [[float(model.value[b]) for b in buckets_of(w)] for w in found]
+    means = [sum(b) / len(b) if b else 0.0 for b in bags]
+    logits = []
+    for i in range(0, len(means), tx.WINDOW):
+        window = means[i : i + tx.WINDOW]
+        logits.append(sum(window) / len(window) + model.bias)
+    high = sum(map(sigmoid, logits))
+    top = max(-8.0, min(8.0, max(logits, default=-8.0)))
+    x = (1, top, math.log1p(high), high / max(len(logits), 1), math.log1p(len(logits)) / 4)
+    return sigmoid(sum(a * float(b) for a, b in zip(x, model.weights, strict=True)))
+
+
+def test_toxicity_scores_match_plain_counts(documents, prose):
+    rng = np.random.default_rng(3)
+    model = tx.Model((rng.standard_normal(tx.BUCKETS) * 6).astype(np.float32), -0.4, np.array([-0.3, 0.5, 0.8, -1.1, 0.6]))
+    texts = prose(6, seed=2, sizes=(1, 30)) + ["", None, "?!", "a", "A b C", "É ça Va É", "odd number words", "same same same"]
+    # A long text: its windows all count.
+    texts.append(" ".join(prose(40, seed=7, sizes=(60, 70))))
+    df = documents([(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.toxic_score for r in tx.score(df, model).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(score_of(t, model), abs=1e-9), t
+
+
+def test_toxicity_starts_from_counts_of_documents():
+    texts = ["bad bad worse", "bad day", "good day", "fine day good"] * 9
+    toxic = np.array([True, True, False, False] * 9)
+    learn = np.arange(len(texts)) % 5 > 0
+    w = tx.words(texts, ALNUM)
+    _, which, back = np.unique(hashes(w), return_index=True, return_inverse=True)
+    bucket, count = tx._listed(w, which)
+    got = tx._contrast(w.doc, back, count, np.cumsum(count), bucket, toxic, learn)
+    held = [{b for word in t.encode().split() for b in buckets_of(word)} for t in texts]
+    a, b = int((toxic & learn).sum()), int((~toxic & learn).sum())
+    for gram in set().union(*held):
+        x = sum(gram in h for h, t, on in zip(held, toxic, learn, strict=True) if on and t)
+        y = sum(gram in h for h, t, on in zip(held, toxic, learn, strict=True) if on and not t)
+        p = (x + y) / (a + b)
+        z = (x / a - y / b) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / a + 1 / b))
+        assert got[gram] == pytest.approx(math.copysign(max(abs(z) - 3, 0), z), abs=1e-9)
+    assert (got > 0).any() and (got < 0).any()
