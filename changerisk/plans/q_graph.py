@@ -291,12 +291,12 @@ def g4(t):
     return lines
 
 
-# The items of a part as a history with merges: 2 starts from 1 beside 3, 4 merges both, and so on. Every commit has one hunk to
+# The items of a part as a history with merges: 2 starts from 1 beside 3, 4 merges both, and so on every six commits. Every commit has one hunk to
 # each parent; a fifth of the merges has the file as its side parent has it.
-MERGES = """WITH RECURSIVE h AS (SELECT CAST(l_partkey AS STRING) AS repo, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS i, l_partkey, l_suppkey, l_linenumber FROM lineitem),
-e AS (SELECT repo, i, CASE WHEN i % 3 = 0 THEN i - 2 ELSE i - 1 END AS p, 0 AS ord FROM h WHERE i > 1 UNION ALL SELECT repo, i, i - 2, 1 FROM h WHERE i % 3 = 1 AND i >= 4),
-r AS (SELECT repo, i, 0 AS ord, 1 + l_suppkey % 40 AS s, 1 + l_partkey % 3 AS o, CASE WHEN i = 1 THEN 100000 ELSE l_linenumber END AS n FROM h
-  UNION ALL SELECT repo, i, 1, 1 + l_suppkey % 40 + l_linenumber % 3, 1 + l_partkey % 2, 1 + l_linenumber % 2 FROM h WHERE i % 3 = 1 AND i >= 4 AND l_suppkey % 5 <> 0),"""
+MERGES = """WITH RECURSIVE h AS (SELECT CAST(l_partkey AS STRING) AS repo, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) AS i, l_partkey, l_suppkey, l_linenumber, (l_suppkey + l_orderkey) % 120 AS place FROM lineitem),
+e AS (SELECT repo, i, CASE WHEN i % 6 = 3 THEN i - 2 ELSE i - 1 END AS p, 0 AS ord FROM h WHERE i > 1 UNION ALL SELECT repo, i, i - 2, 1 FROM h WHERE i % 6 = 4),
+r AS (SELECT repo, i, 0 AS ord, CASE WHEN i = 1 THEN 1 ELSE 1 + place END AS s, 1 + l_partkey % 3 AS o, CASE WHEN i = 1 THEN 100000 ELSE l_linenumber END AS n FROM h
+  UNION ALL SELECT repo, i, 1, 1 + place + l_linenumber % 3, 1 + l_partkey % 2, 1 + l_linenumber % 2 FROM h WHERE i % 6 = 4 AND l_suppkey % 5 <> 0),"""
 
 
 def merges(t):
@@ -304,15 +304,15 @@ def merges(t):
     w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
     repo = c("l_partkey").cast("string").alias("repo")
     name = lambda i: F.concat_ws("-", F.lit("k"), c("l_partkey"), i)
-    rows = t.lineitem.select("l_partkey", "l_suppkey", "l_linenumber", F.row_number().over(w).cast("bigint").alias("i"))
+    rows = t.lineitem.select("l_partkey", "l_suppkey", "l_linenumber", "l_orderkey", F.row_number().over(w).cast("bigint").alias("i"))
     commits = rows.select(repo, name(c("i")).alias("full_hash"), c("i").alias("seq"))
-    is_merge = (c("i") % 3 == 1) & (c("i") >= 4)
-    own, side = F.when(c("i") % 3 == 0, c("i") - 2).otherwise(c("i") - 1), c("i") - 2
+    is_merge = c("i") % 6 == 4
+    own, side = F.when(c("i") % 6 == 3, c("i") - 2).otherwise(c("i") - 1), c("i") - 2
     parents = F.when(is_merge, F.array(own, side)).when(c("i") > 1, F.array(own))
     edges = rows.select("l_partkey", "i", F.posexplode(parents).alias("parent_ord", "p")).select(
         repo, name(c("i")).alias("child"), name(c("p")).alias("parent"), "parent_ord"
     )
-    first, at = c("i") == 1, 1 + c("l_suppkey") % 40
+    first, at = c("i") == 1, 1 + (c("l_suppkey") + c("l_orderkey")) % 120
 
     def hunk(ord_, start, old, new):
         cells = {"parent_ord": F.lit(ord_), "old_start": F.when(first, 0).otherwise(start), "old_count": F.when(first, 0).otherwise(old),
@@ -328,7 +328,7 @@ def merges(t):
 @query("g4_merge_provenance", MERGES + """
 walk AS (SELECT repo, i AS asked_at, unnest(range(s, s + o)) AS asked, p AS at_, 0 AS ord, unnest(range(s, s + o)) AS cur, NULL::BIGINT AS origin FROM r JOIN e USING (repo, i, ord) WHERE ord = 0
   UNION ALL SELECT k.repo, k.asked_at, k.asked, CASE WHEN hit THEN k.at_ ELSE coalesce(e.p, k.at_) END, CASE WHEN hit THEN k.ord + 1 ELSE 0 END, CASE WHEN NOT hit AND k.cur >= k.s + k.n THEN k.cur - k.n + k.o ELSE k.cur END,
-    CASE WHEN hit AND (k.ord = 1 OR k.at_ % 3 <> 1 OR k.at_ < 4) THEN k.at_ END
+    CASE WHEN hit AND (k.ord = 1 OR k.at_ % 6 <> 4) THEN k.at_ END
   FROM (SELECT w.*, r.s, r.n, r.o, r.i IS NOT NULL AND w.cur >= r.s AND w.cur < r.s + r.n AS hit FROM walk w LEFT JOIN r ON r.repo = w.repo AND r.i = w.at_ AND r.ord = w.ord WHERE w.origin IS NULL) k
   LEFT JOIN e ON e.repo = k.repo AND e.i = k.at_ AND e.ord = k.ord)
 SELECT concat_ws('-', 'k', repo, asked_at) AS full_hash, CAST(asked AS BIGINT) AS asked, concat_ws('-', 'k', repo, origin) AS origin_sha FROM walk WHERE origin IS NOT NULL""")

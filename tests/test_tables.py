@@ -138,3 +138,30 @@ def test_quality_report_counts_violations(spark):
     df = df.withColumn("lines_added", F.when(F.col("seq") != 3, F.col("lines_added"))).withColumn("label_source", F.lit("x"))
     r = ds.quality_report(df).first()
     assert (r.total_rows, r.null_lines_added, r.churn_mismatches, r.leaked_columns) == (20, 1, 1, "label_source")
+
+
+def test_feature_medians(spark, monkeypatch):
+    """Ties, nulls, a null group, even and odd counts, one group with most of the rows."""
+    import random
+    import statistics
+
+    from changerisk.operators import stats as st
+
+    rng = random.Random(5)
+    groups = ["big"] * 4000 + ["b"] * 7 + ["c"] * 2 + [None] * 40 + ["one", "none"]
+    rows = [(g, None if g == "none" or rng.random() < 0.1 else rng.choice([0.0, 0.0, -1.5, rng.gauss(0, 9), 1e300]), rng.randrange(3)) for g in groups]
+    df = spark.createDataFrame(rows, "g string, x double, y int")
+    want = {}
+    for g in set(groups):
+        for i, f in enumerate("xy", 1):
+            values = [r[i] for r in rows if r[0] == g and r[i] is not None]
+            if values:
+                want[g, f] = statistics.median(values)
+    pick = lambda out: {(r.g, r.feature): r.median for r in out.collect()}
+    assert pick(st.feature_medians(df, ["g"], ["x", "y"])) == want
+    everywhere = {r.feature: r.median for r in st.feature_medians(df, [], ["x", "y"]).collect()}
+    assert everywhere == {f: statistics.median([r[i] for r in rows if r[i] is not None]) for i, f in enumerate("xy", 1)}
+    assert st.feature_medians(df.where("false"), ["g"], ["x", "y"]).count() == 0
+    # Brackets that miss the middle: the values of those groups are ranked whole.
+    monkeypatch.setattr(st, "BRACKET", (0.8, 0.9))
+    assert pick(st.feature_medians(df, ["g"], ["x", "y"])) == want
