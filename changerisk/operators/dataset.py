@@ -17,11 +17,12 @@ def duplicate_keys(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(keys or KEY)).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def join_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Left join on the full hash; only the target is taken, a missing label is 0."""
-    target = labels.select(*KEY, F.col(TARGET).cast("int").alias("_label"))
+def join_labels(features: DataFrame, labels: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Left join on the full hash, or on ``key``; only the target is taken, a missing label is 0."""
+    key = key or KEY
+    target = labels.select(*key, F.col(TARGET).cast("int").alias("_label"))
     return (
-        features.join(target, KEY, "left")
+        features.join(target, key, "left")
         .withColumn(TARGET, F.coalesce("_label", F.lit(0)))
         .drop("_label")
     )
@@ -87,21 +88,22 @@ def temporal_split(
     Positions come from :func:`row_positions`, so one repository with most of the rows is still
     sorted by many tasks. The rows themselves are placed, not looked up by their values: rows that
     repeat each keep a place, and a null repository is a repository. A row without an instant has
-    no place in time: its split is ``undated``, and it counts for no share.
+    no place in time: its split is ``undated``, and it counts for no share. Such rows are a group
+    beside the others, so that ``dataset`` is worked out once.
     """
-    dated = dataset.where(F.col(order[0]).isNotNull())
-    placed = row_positions(dated, ["repo"], list(order))
+    undated = F.col("_undated")
+    marked = dataset.withColumn("_undated", F.col(order[0]).isNull())
+    placed = row_positions(marked, ["repo", "_undated"], list(order))
     n = F.col("position_total")
     first = F.bround(n * F.lit(train)).cast("bigint")
     second = first + F.bround(n * F.lit(validation)).cast("bigint")
     split = (
-        F.when(F.col("position") <= first, "train")
+        F.when(undated, "undated")
+        .when(F.col("position") <= first, "train")
         .when(F.col("position") <= second, "validation")
         .otherwise("test")
     )
-    found = placed.select(*dataset.columns, "position", split.alias("split"))
-    undated = dataset.where(F.col(order[0]).isNull())
-    return found.unionByName(undated.withColumns({"position": F.lit(None).cast("bigint"), "split": F.lit("undated")}))
+    return placed.select(*dataset.columns, F.when(~undated, F.col("position")).alias("position"), split.alias("split"))
 
 
 def is_chronological(dataset: DataFrame, block_rows: int = 1_000_000) -> DataFrame:

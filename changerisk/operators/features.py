@@ -41,30 +41,45 @@ def parse_counts(changes: DataFrame, compat: bool = False) -> DataFrame:
     ).withColumn("file_churn", F.col("added") + F.col("deleted"))
 
 
-def functions_changed(hunks: DataFrame) -> DataFrame:
+def functions_changed(hunks: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Number of hunks per commit, the estimate of functions touched."""
-    return hunks.groupBy(*KEY).agg(F.count("*").alias("functions_changed"))
+    return hunks.groupBy(*(key or KEY)).agg(F.count("*").alias("functions_changed"))
+
+
+def file_facts(files: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """What the features take from each file of :func:`parse_counts`: narrow rows without its path."""
+    path = F.col("path")
+    return files.select(
+        *(key or KEY),
+        fp.directory_of(path).alias("_dir"),
+        "added",
+        "deleted",
+        "file_churn",
+        fp.is_test_file(path).cast("int").alias("_test"),
+        fp.is_source_file(path).cast("int").alias("_source"),
+    )
 
 
-def commit_features(commits: DataFrame, files: DataFrame, hunks: DataFrame | None = None) -> DataFrame:
+def commit_features(
+    commits: DataFrame, files: DataFrame, hunks: DataFrame | None = None, key: list[str] | None = None
+) -> DataFrame:
     """The ten features of every commit; commits without files get zeros.
 
-    ``files`` comes from :func:`parse_counts`. Directories are reduced first, so the distinct
-    count adds no expansion of the file rows and a huge commit is combined on the map side.
+    ``files`` comes from :func:`parse_counts`, or from :func:`file_facts` of it. Directories are
+    reduced first, so the distinct count adds no expansion of the file rows and a huge commit is
+    combined on the map side. ``key``: columns that name a commit in all three tables, if not its hash.
     """
-    per_dir = (
-        files.withColumn("_dir", fp.directory_of(F.col("path")))
-        .groupBy(*KEY, "_dir")
-        .agg(
-            F.sum("added").alias("added"),
-            F.sum("deleted").alias("deleted"),
-            F.count("*").alias("files"),
-            F.max(fp.is_test_file(F.col("path")).cast("int")).alias("test"),
-            F.max("file_churn").alias("biggest"),
-            F.sum(fp.is_source_file(F.col("path")).cast("bigint")).alias("sources"),
-        )
+    key = key or KEY
+    facts = files if "_dir" in files.columns else file_facts(files, key)
+    per_dir = facts.groupBy(*key, "_dir").agg(
+        F.sum("added").alias("added"),
+        F.sum("deleted").alias("deleted"),
+        F.count("*").alias("files"),
+        F.max("_test").alias("test"),
+        F.max("file_churn").alias("biggest"),
+        F.sum("_source").alias("sources"),
     )
-    per_commit = per_dir.groupBy(*KEY).agg(
+    per_commit = per_dir.groupBy(*key).agg(
         F.sum("added").alias("lines_added"),
         F.sum("deleted").alias("lines_deleted"),
         F.sum("files").alias("files_changed"),
@@ -73,11 +88,11 @@ def commit_features(commits: DataFrame, files: DataFrame, hunks: DataFrame | Non
         F.max("biggest").alias("max_lines_changed_in_single_file"),
         F.sum("sources").alias("num_source_files_changed"),
     )
-    joined = commits.join(per_commit, KEY, "left")
+    joined = commits.join(per_commit, key, "left")
     if hunks is None:
         joined = joined.withColumn("functions_changed", F.lit(0).cast("bigint"))
     else:
-        joined = joined.join(functions_changed(hunks), KEY, "left")
+        joined = joined.join(functions_changed(hunks, key), key, "left")
     counted = joined.withColumns(
         {
             f: F.coalesce(F.col(f), F.lit(0)).cast("bigint")

@@ -72,8 +72,14 @@ def commits(t):
     return t.v_commits.withColumn("parents", F.array_repeat(F.lit("p"), c("n_parents")))
 
 
+NUMBER = ["repo", "seq"]
+
+
 def features(t):
-    return ft.commit_features(t.v_commits, ft.parse_counts(t.v_changes), t.v_hunks)
+    """Commits are named by their number; files are cut down to what the features need before they meet them."""
+    files = ft.file_facts(ft.parse_counts(t.v_numstat.select("seq", "raw_path", "added", "deleted")), ["seq"])
+    names = t.v_commits.select(*NUMBER)
+    return ft.commit_features(t.v_commits, files.join(names, "seq"), t.n_hunks.select("seq").join(names, "seq"), NUMBER)
 
 
 def evidence(t):
@@ -84,16 +90,22 @@ def labels(t):
     return lb.label_commits(t.v_commits.select("repo", "full_hash", "seq"), evidence(t))
 
 
+def targets(t):
+    """Target 1 for the commits that :func:`labels` labels, by number."""
+    fixes = lb.fix_candidates(t.v_commits).where("is_candidate_fix").select(*NUMBER)
+    return lb.introducing_commits(t.n_hunks.join(fixes, "seq"), t.n_blame_runs, "seq", "origin")
+
+
 def dataset(t):
     """Features of non-merge commits with their label and instant (microseconds)."""
     kept = features(t).where(c("n_parents") <= 1)
-    joined = ds.join_labels(kept, labels(t))
+    joined = ds.join_labels(kept, targets(t), NUMBER)
     return joined.withColumn("ts", F.unix_micros(fc.to_utc(c("commit_timestamp"))))
 
 
 def splits(t):
-    narrow = dataset(t).select("repo", "commit_hash", "full_hash", "seq", "ts", *FEATURES, "bug_introduced")
-    return ds.temporal_split(narrow)
+    narrow = dataset(t).select("repo", "full_hash", "seq", "ts", *FEATURES, "bug_introduced")
+    return ds.temporal_split(narrow).withColumn("commit_hash", fc.short_hash(c("full_hash")))
 
 
 # --- sources ---------------------------------------------------------------------------------
