@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from changerisk.operators import dataset as ds, features as ft, labels as lb
+from changerisk.operators import dataset as ds, features as ft, labels as lb, provenance as pv
 from changerisk.plans import adapters as ad, q_features as qf
+from changerisk.session import materialize
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -56,3 +57,41 @@ def test_introducing_commits_leave_out_own_lines(spark):
                                  "repo string, rev string, path string, start_line long, end_line long, origin_sha string")
     assert [tuple(r) for r in lb.introducing_commits(hunks, runs).collect()] == [("r", "a", 1)]
     assert lb.introducing_commits(hunks, runs.where(F.lit(False))).isEmpty()
+
+
+def _random_history(spark, revisions, seed):
+    """Hunks of a few files, and for each deleted line of each revision the revision that wrote it."""
+    import random
+
+    rnd, rows, want = random.Random(seed), [], set()
+    for name, n in revisions.items():
+        text = []
+        for rev in range(1, n + 1):
+            cut = [] if rev == 1 else sorted(rnd.sample(range(0, max(len(text) - 4, 1), 5), min(rnd.randint(1, 3), max(len(text) // 5, 1))))
+            out, at = ([(rev, i) for i in range(40)], 0) if rev == 1 else ([], 0)
+            if rev == 1:
+                rows.append((name, rev, 0, 0, 1, 40))
+            for start in cut:
+                old, new = rnd.randint(0, 3), rnd.randint(1, 3)
+                out += text[at:start]
+                gone = text[start : start + old]
+                rows.append((name, rev, start + 1 if gone else start, len(gone), len(out) + 1, new))
+                want |= {(name, rev, start + 1 + i, line[0]) for i, line in enumerate(gone)}
+                out, at = out + [(rev, i) for i in range(new)], start + len(gone)
+            text = out + text[at:] if rev > 1 else out
+    hunks = spark.createDataFrame(rows, "lineage string, rev_no long, old_start long, old_count long, new_start long, new_count long")
+    return hunks.withColumns({"repo": F.lit("r"), "full_hash": F.concat_ws("-", "lineage", "rev_no")}), want
+
+
+@pytest.mark.parametrize("most", [0, 45, 512])
+def test_short_and_long_files_have_the_same_origins(spark, monkeypatch, most):
+    history, want = _random_history(spark, {"a": 33, "b": 9, "c": 1}, most)
+    monkeypatch.setattr(pv, "SHORT_HUNKS", most)
+    stored = []
+    monkeypatch.setattr(pv, "materialize", lambda df: stored.append(1) or materialize(df))
+    runs = pv.fix_origins(history, history.select("repo", "full_hash"))
+    lines = runs.select("lineage", F.split("full_hash", "-")[1].cast("int").alias("fix"), F.explode(F.sequence("start_line", "end_line")).alias("line"),
+                        F.split("origin_sha", "-")[1].cast("int").alias("origin"))
+    got = [tuple(r) for r in lines.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert most < 512 or len(stored) <= 1
