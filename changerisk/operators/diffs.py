@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from changerisk.functions.paths import is_generated_file
 from changerisk.functions.text import lines_of, strip
+from changerisk.session import worked_out
 
 KEY = ["repo", "full_hash"]
 # Diff markers.
@@ -17,7 +18,8 @@ HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
 HEADER_LINES = 9  # of which the original text rules read file marks
 PIECE = 256  # lines of a hunk that are numbered together
 _AT_LINE_START = r"(?<![^\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])"
-_HUNK_CUT = _AT_LINE_START + r"(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
+# The marker is looked for first: what stands before it is asked only where there is one.
+_HUNK_CUT = r"(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)" + _AT_LINE_START
 
 
 def split_diff_files(diffs: DataFrame) -> DataFrame:
@@ -41,13 +43,13 @@ def _first_line(text: Column) -> Column:
     return F.get(lines_of(F.substring_index(text, "\n", 1)), 0)
 
 
-def hunks_of(block: Column, compat: bool = False) -> Column:
-    """Array of hunks of a file block, each with its typed lines.
+def hunks_of(pieces: Column, compat: bool = False) -> Column:
+    """Array of hunks of a file block cut at its hunk headers, each with its typed lines.
 
     A line that starts with ``+++`` or ``---`` inside a hunk is an added or deleted line;
     ``compat=True`` skips it.
     """
-    pieces = F.filter(F.split(block, _HUNK_CUT), lambda h: h.rlike(HUNK_HEADER))
+    headed = F.filter(pieces, lambda h: h.rlike(HUNK_HEADER))
 
     def one(h: Column) -> Column:
         head = _first_line(h)
@@ -73,7 +75,7 @@ def hunks_of(block: Column, compat: bool = False) -> Column:
         )
 
     return F.filter(
-        F.transform(pieces, one), lambda h: (h["old_start"] > 0) | (h["new_start"] > 0)
+        F.transform(headed, one), lambda h: (h["old_start"] > 0) | (h["new_start"] > 0)
     )
 
 
@@ -83,10 +85,11 @@ def classify_files(files: DataFrame, compat: bool = False) -> DataFrame:
     Marks are read from all lines before the first hunk; ``compat=True`` reads HEADER_LINES lines.
     A file is generated if its old or its new path is that of a generated file.
     """
+    files = worked_out(files, _pieces=F.split("block", _HUNK_CUT))
     if compat:
         head = F.slice(lines_of(F.substring_index("block", "\n", HEADER_LINES + 1)), 2, HEADER_LINES)
     else:
-        head = F.slice(lines_of(F.get(F.split("block", _HUNK_CUT, 2), 0)), 2, 2**30)
+        head = F.slice(lines_of(F.get("_pieces", F.lit(0))), 2, 2**30)
     marks = [
         ("new file mode", "ADDED"),
         ("deleted file mode", "DELETED"),
@@ -123,10 +126,11 @@ def classify_files(files: DataFrame, compat: bool = False) -> DataFrame:
         }
     )
     generated = is_generated_file(F.col("old_path")) | is_generated_file(F.col("new_path"))
-    text = F.when(F.col("is_binary"), "").otherwise(F.col("block"))
+    none = F.array().cast("array<string>")
+    pieces = F.when(F.col("is_binary"), none).otherwise(F.col("_pieces"))
     return named.withColumns(
-        {"is_generated": generated, "hunks": hunks_of(text, compat)}
-    ).drop("_head", "block")
+        {"is_generated": generated, "hunks": hunks_of(pieces, compat)}
+    ).drop("_head", "_pieces", "block")
 
 
 def count_lines(kind: str) -> Column:
@@ -228,30 +232,36 @@ def _starts(kinds: str, other: str, start: str) -> Column:
     return F.slice(firsts, 1, F.size(kinds))
 
 
-def diff_totals(commits: DataFrame, files: DataFrame) -> DataFrame:
-    """Additions, deletions and file count per commit; a commit without files is empty."""
+def diff_totals(commits: DataFrame, files: DataFrame, *more: Column) -> DataFrame:
+    """Additions, deletions and file count per commit, and ``more`` aggregates of its files.
+
+    A commit without files is empty.
+    """
     sums = files.groupBy(*KEY).agg(
         F.count("*").alias("files"),
         F.sum("additions").alias("total_additions"),
         F.sum("deletions").alias("total_deletions"),
+        *more,
     )
     zero = F.lit(0).cast("bigint")
     return commits.select(*KEY).join(sums, KEY, "left").select(
         *KEY,
         *[F.coalesce(c, zero).alias(c) for c in ("files", "total_additions", "total_deletions")],
         F.col("files").isNull().alias("is_empty_commit"),
+        *sums.columns[len(KEY) + 3 :],
     )
 
 
 def assemble_commit_diff(commits: DataFrame, files: DataFrame) -> DataFrame:
     """Nested document per commit (files, hunks, lines) and its JSON.
 
-    Everything put together again for a commit was cut from its one diff text.
+    Everything put together again for a commit was cut from its one diff text. Files meet their
+    commit once, for the totals and the list.
     """
     entry = F.struct(
         "file_ord", "old_path", "new_path", "status", "is_binary", "is_generated", "additions",
         "deletions", "hunks",
     )
-    nested = files.groupBy(*KEY).agg(F.array_sort(F.collect_list(entry)).alias("files_changed"))
-    out = diff_totals(commits, files).join(nested, KEY, "left")
+    listed = F.array_sort(F.collect_list(entry)).alias("files_changed")
+    out = diff_totals(commits, files, listed)
     return out.withColumn("json", F.to_json(F.struct(*[c for c in out.columns])))

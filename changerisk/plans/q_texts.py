@@ -122,10 +122,10 @@ def a20(t):
  FROM v_diffs d LEFT JOIN stat s ON s.repo = d.repo AND s.full_hash = d.full_hash GROUP BY d.repo, d.full_hash""", P_STAT))
 def n4(t):
     """Fields read back from the nested diff document of each commit."""
-    field = lambda path: F.get_json_object("json", f"$.{path}")
-    return df_.assemble_commit_diff(t.v_diffs, counted(t)).select(
-        "repo", "full_hash", field("files").cast("bigint").alias("files"), field("total_additions").cast("bigint").alias("additions"),
-        F.json_array_length(field("files_changed")).alias("listed"),
+    fields = F.json_tuple("json", "files", "total_additions", "files_changed").alias("files", "additions", "listed")
+    return df_.assemble_commit_diff(t.v_diffs, counted(t)).select("repo", "full_hash", fields).select(
+        "repo", "full_hash", c("files").cast("bigint").alias("files"), c("additions").cast("bigint").alias("additions"),
+        F.json_array_length("listed").alias("listed"),
     )
 
 

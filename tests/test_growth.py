@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from changerisk.operators import dataset as ds, features as ft, labels as lb, provenance as pv
+from changerisk.operators import context as cx, dataset as ds, diffs as df_, features as ft, labels as lb, provenance as pv, reviews as rv
 from changerisk.plans import adapters as ad, q_features as qf
 from changerisk.session import materialize
 
@@ -95,3 +95,26 @@ def test_short_and_long_files_have_the_same_origins(spark, monkeypatch, most):
     got = [tuple(r) for r in lines.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert most < 512 or len(stored) <= 1
+
+
+DIFF = "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1 +1,2 @@ f\n-x\n+y\r+@@ -3 +3 @@\n+z\x1c@@ -5 +9 @@ g\n+w\u2028@@ -7,2 +8 @@\n-v\ndiff --git a/b b/b\nnew file mode 1\n"
+
+
+def _files(spark):
+    texts = spark.createDataFrame([("r", "h", DIFF), ("r", "i", "")], "repo string, full_hash string, diff_text string")
+    return texts, df_.classify_files(df_.split_diff_files(texts))
+
+
+def cuts(df):
+    """How often a plan cuts texts at their hunk headers."""
+    return plan(df).count("(?=@@ -")
+
+
+def test_commit_document_cuts_its_texts_once(spark):
+    texts, files = _files(spark)
+    nested = df_.assemble_commit_diff(texts, df_.match_numstat(files))
+    assert cuts(nested) == 1
+    rows = {r.full_hash: r for r in nested.collect()}
+    assert (rows["h"]["files"], rows["h"].total_additions, rows["h"].total_deletions, len(rows["h"].files_changed)) == (2, 4, 2, 2)
+    assert [(h.old_start, h.new_start, len(h.lines)) for h in rows["h"].files_changed[0].hunks] == [(1, 1, 4), (5, 9, 1), (7, 8, 1)]
+    assert rows["i"].is_empty_commit and rows["i"].files_changed is None and "files_changed" not in rows["i"].json
