@@ -221,7 +221,8 @@ def hunk_extents(files: DataFrame) -> DataFrame:
     n = lambda kinds: F.size(
         F.filter(F.col("h.lines"), lambda x: x["line_type"].isin(*kinds))
     )
-    rows = files.select(*KEY, "file_ord", F.explode("hunks").alias("h"))
+    # A plain explode would add a filter on the hunks that cuts the text once more.
+    rows = files.select(*KEY, "file_ord", F.explode_outer("hunks").alias("h"))
 
     def side(start: str, count: str, kinds: tuple[str, ...]):
         length = F.greatest(F.col(f"h.{count}"), n(kinds).cast("bigint"))

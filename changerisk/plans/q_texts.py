@@ -242,7 +242,7 @@ def j8(t):
     parts = files(t)
     docs = t.v_diffs.select("repo", "full_hash", "doc_id")
     q = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint")))
-    asked = parts.join(docs, ["repo", "full_hash"]).select("repo", "full_hash", "file_ord", "doc_id", q.alias("q"))
+    asked = df_.split_diff_files(t.v_diffs).join(docs, ["repo", "full_hash"]).select("repo", "full_hash", "file_ord", "doc_id", q.alias("q"))
     lo = 1 + (c("q") * 37 + c("doc_id")) % 520
     asked = asked.select("repo", "full_hash", "file_ord", "q", lo.alias("lo"), (lo + c("doc_id") % 4).alias("hi"))
     from changerisk.operators.ranges import overlap_exists

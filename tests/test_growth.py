@@ -118,3 +118,9 @@ def test_commit_document_cuts_its_texts_once(spark):
     assert (rows["h"]["files"], rows["h"].total_additions, rows["h"].total_deletions, len(rows["h"].files_changed)) == (2, 4, 2, 2)
     assert [(h.old_start, h.new_start, len(h.lines)) for h in rows["h"].files_changed[0].hunks] == [(1, 1, 4), (5, 9, 1), (7, 8, 1)]
     assert rows["i"].is_empty_commit and rows["i"].files_changed is None and "files_changed" not in rows["i"].json
+
+
+def test_line_ranges_cut_their_texts_once(spark):
+    extents = rv.hunk_extents(_files(spark)[1])
+    assert cuts(extents) == 1
+    assert sorted((r.first_line, r.last_line) for r in extents.collect()) == [(1, 1), (1, 3), (5, 5), (7, 8), (8, 8), (9, 9)]
