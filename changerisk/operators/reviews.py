@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from changerisk.functions.paths import forward_slashes
 from changerisk.functions.text import parse_line_range, strip, strip_code_fence
 from changerisk.operators.ranges import overlap_exists
-from changerisk.session import materialize
+from changerisk.session import materialize, worked_out
 
 KEY = ["repo", "full_hash"]
 # The document contract.
@@ -238,7 +238,7 @@ def hunk_extents(files: DataFrame) -> DataFrame:
 def file_contents(files: DataFrame) -> DataFrame:
     """Contents of the diff lines of each file, in order."""
     lines = F.flatten(F.transform("hunks", lambda h: F.transform(h["lines"], lambda x: x["content"])))
-    return files.select(*KEY, "file_ord", lines.alias("contents"))
+    return worked_out(files, contents=lines).select(*KEY, "file_ord", "contents")
 
 
 def snippet_found(snippet: Column, contents: Column, compat: bool = False) -> Column:

@@ -124,3 +124,9 @@ def test_line_ranges_cut_their_texts_once(spark):
     extents = rv.hunk_extents(_files(spark)[1])
     assert cuts(extents) == 1
     assert sorted((r.first_line, r.last_line) for r in extents.collect()) == [(1, 1), (1, 3), (5, 5), (7, 8), (8, 8), (9, 9)]
+
+
+def test_lines_of_files_cut_their_texts_once(spark):
+    texts = rv.file_contents(_files(spark)[1]).where(F.size("contents") > 0)
+    assert cuts(texts) == 1
+    assert [r.contents for r in texts.collect()] == [["x", "y", "@@ -3 +3 @@", "z", "w", "v"]]
