@@ -110,15 +110,18 @@ def build_review_context(
     """Text per commit: metadata, score, complete file list and the packed diff.
 
     ``files`` has text, priority and bytes (:func:`file_text`); what is put together for a commit
-    was cut from its one diff text, and the diff part is at most ``budget`` bytes.
+    was cut from its one diff text, and the diff part is at most ``budget`` bytes. Texts are stored
+    once, as the sizes are packed first.
     """
+    line = inventory_line().alias("line")
+    files = materialize(files.select(*KEY, "file_ord", "priority", "bytes", "additions", "deletions", line, "text"))
     packed = pack_context(files, budget)
     shown = files.join(packed.select(*KEY, "file_ord", "state", "kept_bytes"), [*KEY, "file_ord"])
     part = F.when(F.col("state") == "included", F.col("text")).when(
         F.col("state") == "cut", F.concat(cut_utf8(F.col("text"), F.col("kept_bytes")), F.lit(CUT_NOTE))
     )
     rows = shown.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("file_ord", inventory_line().alias("line")))).alias("_inv"),
+        F.array_sort(F.collect_list(F.struct("file_ord", "line"))).alias("_inv"),
         F.array_sort(
             F.collect_list(
                 F.when(part.isNotNull(), F.struct("priority", "file_ord", part.alias("part")))

@@ -130,3 +130,12 @@ def test_lines_of_files_cut_their_texts_once(spark):
     texts = rv.file_contents(_files(spark)[1]).where(F.size("contents") > 0)
     assert cuts(texts) == 1
     assert [r.contents for r in texts.collect()] == [["x", "y", "@@ -3 +3 @@", "z", "w", "v"]]
+
+
+def test_context_stores_its_texts_once(spark):
+    texts, files = _files(spark)
+    commits = texts.select("repo", "full_hash", *[F.lit("x").alias(x) for x in ("author", "commit_timestamp", "subject")])
+    out = cx.build_review_context(commits, cx.file_text(df_.match_numstat(files)), 2**31 - 1)
+    assert cuts(out) == 0
+    rows = {r.full_hash: r for r in out.collect()}
+    assert "+++ a.py\nf\n-x\n+y\n+@@ -3 +3 @@\n+z\ng\n+w\n\n-v\n" in rows["h"].context and "No files changed." in rows["i"].context
