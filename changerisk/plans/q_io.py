@@ -77,11 +77,12 @@ def s10(t):
 
 
 # One text per order: its hash and its items as numstat lines, or as a zero-context diff.
-def _exported(t, name, line, before=""):
+def _exported(t, name, columns, line, before=""):
     folder = work_folder(t.spark)
     key = c("l_orderkey").cast("string")
-    item = F.struct("l_linenumber", "l_partkey", line.alias("line"))
-    texts = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n").alias("body"))
+    # Items meet as numbers, their lines are written after that.
+    items = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", *columns))).alias("items"))
+    texts = items.select("l_orderkey", F.array_join(F.transform("items", line), "\n").alias("body"))
     own = F.sha1(key)
     wr.write_text(texts.select(F.concat(F.lit(before), own, F.lit("\n"), "body").alias("value")), f"{folder}/{name}")
     return f"{folder}/{name}"
@@ -90,20 +91,21 @@ def _exported(t, name, line, before=""):
 @query("s4_numstat_export", "SELECT sha1(CAST(l_orderkey AS VARCHAR)) AS full_hash, CASE WHEN l_linenumber % 4 = 0 THEN '-' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS added, CASE WHEN l_linenumber % 4 = 0 THEN '-' ELSE CAST(l_linenumber AS VARCHAR) END AS deleted, concat('src/f ', CAST(l_partkey AS VARCHAR), '.py') AS raw_path FROM lineitem")
 def s4_export(t):
     """Numstat exports written as files and read in splits."""
-    binary = c("l_linenumber") % 4 == 0
-    line = F.concat_ws(
-        "\t", F.when(binary, "-").otherwise(c("l_quantity").cast("bigint").cast("string")), F.when(binary, "-").otherwise(c("l_linenumber").cast("string")),
-        F.concat(F.lit("src/f "), c("l_partkey").cast("string"), F.lit(".py")),
-    )
-    return rd.read_numstat_export(t.spark, _exported(t, "numstat", line))
+    def line(x):
+        binary = x["l_linenumber"] % 4 == 0
+        return F.concat_ws(
+            "\t", F.when(binary, "-").otherwise(x["l_quantity"].cast("bigint").cast("string")), F.when(binary, "-").otherwise(x["l_linenumber"].cast("string")),
+            F.concat(F.lit("src/f "), x["l_partkey"].cast("string"), F.lit(".py")),
+        )
+
+    return rd.read_numstat_export(t.spark, _exported(t, "numstat", ["l_quantity"], line))
 
 
 @query("s5_diff_export", "SELECT sha1(CAST(l_orderkey AS VARCHAR)) AS full_hash, concat('f', CAST(l_suppkey AS VARCHAR), '.py') AS path, l_partkey AS old_start, CAST(l_linenumber AS BIGINT) AS old_count, CAST(5 AS BIGINT) AS new_start, CAST(1 AS BIGINT) AS new_count FROM lineitem")
 def s5_export(t):
     """Zero-context diff exports written as files and read in splits."""
-    s = lambda x: c(x).cast("string")
-    line = F.concat(
-        F.lit("diff --git a/x b/x\n--- a/f"), s("l_suppkey"), F.lit(".py\n+++ b/f.py\n@@ -"), s("l_partkey"), F.lit(","), s("l_linenumber"),
-        F.lit(" +5 @@ def x():\n-a\n+b\n@@ -5,0 +6,2 @@\n+c\n--- /dev/null\n+++ b/new.py\n@@ -0,1 +1 @@\n+z"),
+    line = lambda x: F.concat(
+        F.lit("diff --git a/x b/x\n--- a/f"), x["l_suppkey"].cast("string"), F.lit(".py\n+++ b/f.py\n@@ -"), x["l_partkey"].cast("string"), F.lit(","),
+        x["l_linenumber"].cast("string"), F.lit(" +5 @@ def x():\n-a\n+b\n@@ -5,0 +6,2 @@\n+c\n--- /dev/null\n+++ b/new.py\n@@ -0,1 +1 @@\n+z"),
     )
-    return rd.read_diff_export(t.spark, _exported(t, "diff", line, "commit "))
+    return rd.read_diff_export(t.spark, _exported(t, "diff", ["l_suppkey"], line, "commit "))

@@ -5,6 +5,9 @@ Text exports are read as lines or as one text per commit and parsed by column ex
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from changerisk.functions.commits import short_hash, to_utc
@@ -149,10 +152,16 @@ def _hunk_rows(heads: DataFrame, extra: list[str]) -> DataFrame:
     """Hunks that delete lines, from header lines ``_h`` with the ``path`` they belong to."""
     num = lambda g: F.regexp_extract("_h", _RANGE, g).try_cast("bigint")
     one = F.lit(1)
-    return heads.where((F.col("path") != "") & F.col("_h").rlike(_RANGE)).select(
+    return heads.where((F.col("path") != "") & _deletes(F.col("_h"))).select(
         *extra, "path", num(1).alias("old_start"), F.coalesce(num(2), one).alias("old_count"),
         num(3).alias("new_start"), F.coalesce(num(4), one).alias("new_count"),
-    ).where("old_count > 0")
+    )
+
+
+def _deletes(head: Column) -> Column:
+    """Whether a line is the header of a hunk that deletes lines."""
+    count = F.coalesce(F.regexp_extract(head, _RANGE, 2).try_cast("bigint"), F.lit(1))
+    return head.rlike(_RANGE) & (count > 0)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
@@ -198,25 +207,46 @@ def carried_lines(spark: SparkSession, path: str, marks: dict[str, Column], keep
     """Lines of the text files under ``path`` for which ``keep`` holds, each with the last value of every
     mark at or before it in its file.
 
-    ``marks``: name to an expression over ``value`` that is null on lines without such a mark. Files
-    are read in splits like any text, so one file of any size is worked on by many tasks. Within a
-    split the marks are carried by a window over the lines that matter; what a split begins with comes
-    from a scan over one row per split.
+    ``marks``: name to a text over ``value`` that is null on lines without such a mark. Files are read
+    in splits like any text, so one file of any size is worked on by many tasks. Each task carries the
+    marks along its splits, in the order it reads them, and stores the kept lines with what they carry.
+    What a split begins with comes from a scan over one row per split; only lines before a split's
+    first mark meet it.
     """
-    found = F.coalesce(keep, F.lit(False))
+    names, split = list(marks), ["_file", "_start"]
+    keep, found = F.coalesce(keep, F.lit(False)), F.coalesce(keep, F.lit(False))
     for m in marks.values():
         found = found | m.isNotNull()
-    read = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_line"))
-    lines = materialize(
-        read.where(found).select("value", F.col("file_path").alias("_file"), F.col("file_block_start").alias("_start"), "_line", *[m.alias(f"_m_{n}") for n, m in marks.items()])
-    )
-    split = ["_file", "_start"]
-    upto = Window.partitionBy(*split).orderBy("_line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = lines.groupBy(*split).agg(*[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), F.col("_line"))).alias(f"_e_{n}") for n in marks])
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    rows = read.where(found).select(F.when(keep, F.col("value")).alias("value"), *split, *[m.alias(n) for n, m in marks.items()])
+
+    def carry(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, last = None, {}
+        end = lambda: pd.DataFrame([{"value": None, "_file": own[0], "_start": own[1], **last, "_end": True}])
+        for part in parts:
+            new = (part["_file"] != part["_file"].shift()) | (part["_start"] != part["_start"].shift())
+            for _, run in part.groupby(new.cumsum(), sort=False):
+                here = (run["_file"].iat[0], run["_start"].iat[0])
+                if here != own:
+                    if own is not None:
+                        yield end()
+                    own, last = here, dict.fromkeys(names)
+                filled = run.assign(_end=False)
+                for n in names:
+                    filled[n] = run[n].ffill() if last[n] is None else run[n].ffill().fillna(last[n])
+                    last[n] = filled[n].iat[-1] if pd.notna(filled[n].iat[-1]) else None
+                yield filled[filled["value"].notna()]
+        if own is not None:
+            yield end()
+
+    lines = materialize(rows.mapInPandas(carry, f"value string, _file string, _start long, {', '.join(f'{n} string' for n in names)}, _end boolean"))
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(*split, *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in marks])
-    carried = lines.select("value", *split, *[F.last(f"_m_{n}", ignorenulls=True).over(upto).alias(f"_c_{n}") for n in marks])
-    return carried.where(F.coalesce(keep, F.lit(False))).join(starts, split).select("value", *[F.coalesce(f"_c_{n}", f"_b_{n}").alias(n) for n in marks])
+    starts = lines.where("_end").select(*split, *[F.last(n, ignorenulls=True).over(before).alias(f"_b_{n}") for n in names])
+    kept, known = lines.where("not _end"), F.lit(True)
+    for n in names:
+        known = known & F.col(n).isNotNull()
+    early = kept.where(~known).join(starts, split).select("value", *[F.coalesce(n, f"_b_{n}").alias(n) for n in names])
+    return kept.where(known).select("value", *names).unionByName(early)
 
 
 def read_numstat_export(spark: SparkSession, path: str) -> DataFrame:
@@ -240,7 +270,7 @@ def read_diff_export(spark: SparkSession, path: str) -> DataFrame:
     gone = own.isNotNull() | F.startswith(F.col("value"), F.lit("--- /dev/null"))
     named = F.startswith(F.col("value"), F.lit("--- a/"))
     file = F.when(gone, F.lit("")).when(named, F.trim(F.substring("value", 7, 1 << 30)))
-    rows = carried_lines(spark, path, {"full_hash": own, "path": file}, F.startswith(F.col("value"), F.lit("@@ ")))
+    rows = carried_lines(spark, path, {"full_hash": own, "path": file}, F.startswith(F.col("value"), F.lit("@@ ")) & _deletes(F.col("value")))
     return _hunk_rows(rows.where("full_hash is not null").withColumnRenamed("value", "_h"), ["full_hash"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from changerisk.operators import context as cx, dataset as ds, diffs as df_, features as ft, labels as lb, provenance as pv, reviews as rv
 from changerisk.plans import adapters as ad, q_features as qf
 from changerisk.session import materialize
+from changerisk.sources import readers as rd
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -139,3 +140,15 @@ def test_context_stores_its_texts_once(spark):
     assert cuts(out) == 0
     rows = {r.full_hash: r for r in out.collect()}
     assert "+++ a.py\nf\n-x\n+y\n+@@ -3 +3 @@\n+z\ng\n+w\n\n-v\n" in rows["h"].context and "No files changed." in rows["i"].context
+
+
+def test_exports_store_the_lines_asked_for(spark, tmp_path):
+    part = "--- a/f{0}\n+++ b/f\n@@ -{0},2 +5 @@ x\n-a\n@@ -5,0 +6,2 @@\n+c\n--- /dev/null\n@@ -0,0 +1 @@\n@@ -9 +9 @@"
+    lines = [x for k in range(9) for x in (f"commit {k:040x}", *part.format(k).split("\n"))]
+    (tmp_path / "1.txt").write_text("\n".join(lines) + "\n")
+    out = rd.read_diff_export(spark, str(tmp_path))
+    assert plan(out).count("Window") == 1
+    stored = spark.read.parquet(*out.inputFiles())
+    # Two headers a commit delete lines, and the split has a row of its own.
+    assert stored.count() == 2 * 9 + 1
+    assert sorted((r.full_hash, r.path, r.old_start, r.old_count) for r in out.collect()) == [(f"{k:040x}", f"f{k}", k, 2) for k in range(9)]
