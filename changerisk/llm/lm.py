@@ -40,7 +40,11 @@ STEPS, STREAMS, EPOCHS, RATE = 24, 64, 2, 0.01
 #: rounds; after a round the parameters of the shards are averaged, in so many slices.
 SHARD, ROUNDS, ROUND_STREAMS, ROUND_RATE, SLICES = 1 << 21, 4, 256, 0.008, 16
 #: Words per call while scoring, and words that a task holds to run side by side (two bytes each).
-_RUN, HELD = 48, 1 << 22
+_RUN, HELD = 256, 1 << 22
+#: So many texts are stepped, and of about so many words the probabilities taken, at a time: they fit a cache.
+BESIDE, GATHERED = 1024, 1 << 15
+#: Exponentials of logits up to this are summed up without a shift.
+SAFE = 60.0
 
 _U = np.uint64
 #: Stands for the end of a text; also what comes before a text.
@@ -107,30 +111,52 @@ class Network:
         return [self.gates, self.back, self.classes, self.class_bias, self.members, self.member_bias]
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, tuple]:
-        x, a = self.gates[symbol], state @ self.back
+        x, a = self.gates.take(symbol, axis=0), state @ self.back
         k = HIDDEN
-        rz = 1 / (1 + np.exp(-(x[:, : 2 * k] + a[:, : 2 * k])))
+        # In place: 1 / (1 + exp(-x)), tanh, and n + z * (state - n).
+        rz = x[:, : 2 * k] + a[:, : 2 * k]
+        np.exp(np.negative(rz, out=rz), out=rz)
+        rz += 1
+        np.reciprocal(rz, out=rz)
         r, z = rz[:, :k], rz[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * a[:, 2 * k :])
-        return n + z * (state - n), (r, z, n, a[:, 2 * k :])
+        n = r * a[:, 2 * k :]
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = state - n
+        new *= z
+        new += n
+        return new, (r, z, n, a[:, 2 * k :])
 
     def log_probability(self, state: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm; of a tail symbol, that of its class."""
         kind = np.where(target < CLASSES * MEMBERS, target // MEMBERS, target - CLASSES * MEMBERS + CLASSES)
-        out = _log_softmax(state @ self.classes + self.class_bias)[np.arange(len(kind)), kind]
+        out = _log_share(state, self.classes, self.class_bias, kind)
         for c, at in _by_class(kind):
-            out[at] += _log_softmax(state[at] @ self.members[c] + self.member_bias[c])[np.arange(len(at)), target[at] % MEMBERS]
+            out[at] += _log_share(state.take(at, axis=0), self.members[c], self.member_bias[c], target[at] % MEMBERS)
         return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _scores(state: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials can be summed up."""
+    x = state @ weight
+    x += bias
+    # No state is beyond 1, so weights this small need no shift.
+    if not float((np.abs(weight).sum(axis=0) + np.abs(bias)).max()) < SAFE:
+        x -= x.max(axis=1, keepdims=True)
+    return x
+
+
+def _log_share(state: np.ndarray, weight: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of one column of each row."""
+    x = _scores(state, weight, bias)
+    picked = x[np.arange(len(at)), at]
+    return picked - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
+def _softmax(state: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    x = _scores(state, weight, bias)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
@@ -171,17 +197,18 @@ def train(streams: np.ndarray, start: int, epochs: int = EPOCHS, rate: float = R
             dflat = np.zeros_like(flat)
             h, y = flat[real], target[real]
             kind = np.where(y < CLASSES * MEMBERS, y // MEMBERS, y - CLASSES * MEMBERS + CLASSES)
-            p = _softmax(h @ net.classes + net.class_bias)
+            p = _softmax(h, net.classes, net.class_bias)
             p[np.arange(len(y)), kind] -= 1
             p /= len(real)
             grads[2] += h.T @ p
             grads[3] += p.sum(axis=0)
             dh = p @ net.classes.T
             for c, at in _by_class(kind):
-                p = _softmax(h[at] @ net.members[c] + net.member_bias[c])
+                own = h.take(at, axis=0)
+                p = _softmax(own, net.members[c], net.member_bias[c])
                 p[np.arange(len(at)), y[at] % MEMBERS] -= 1
                 p /= len(real)
-                grads[4][c] += h[at].T @ p
+                grads[4][c] += own.T @ p
                 grads[5][c] += p.sum(axis=0)
                 dh[at] += p @ net.members[c].T
             dflat[real] = dh
@@ -252,14 +279,19 @@ class Model:
         return np.where(found, at, -1), np.where(sym >= 0, sym, CLASSES * MEMBERS + tail)
 
     def recurrent(self, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Natural log probability of each text's symbols; texts run side by side, longest first."""
+        """Natural log probability of each text's symbols; texts of like length run side by side, longest first."""
         order = np.argsort(-size, kind="stable")
-        begin = (np.cumsum(size) - size)[order]
-        length = size[order]
-        total = np.zeros(len(size))
-        state, last = np.zeros((len(size), HIDDEN), np.float32), np.full(len(size), self.start)
+        begin, out = np.cumsum(size) - size, np.empty(len(size))
+        for lo in range(0, len(order), BESIDE):
+            at = order[lo : lo + BESIDE]
+            out[at] = self._run(symbols, begin[at], size[at])
+        return out
+
+    def _run(self, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(length))
+        state, last = np.zeros((len(length), HIDDEN), np.float32), np.full(len(length), self.start)
         for lo in range(0, int(length[0]) if len(length) else 0, _RUN):
-            states, targets, whose = [], [], []
+            states, targets, whose, many = [], [], [], 0
             for t in range(lo, min(lo + _RUN, int(length[0]))):
                 live = int(np.searchsorted(-length, -t, "left"))
                 state, last = state[:live], last[:live]
@@ -268,14 +300,13 @@ class Model:
                 states.append(state)
                 targets.append(last)
                 whose.append(np.arange(live))
-                if sum(map(len, states)) > 1 << 16:
+                many += live
+                if many > GATHERED:
                     total += self._gathered(states, targets, whose, len(total))
-                    states, targets, whose = [], [], []
+                    states, targets, whose, many = [], [], [], 0
             if states:
                 total += self._gathered(states, targets, whose, len(total))
-        out = np.empty(len(size))
-        out[order] = total
-        return out
+        return total
 
     def _gathered(self, states, targets, whose, n: int) -> np.ndarray:
         p = self.network.log_probability(np.concatenate(states), np.concatenate(targets))

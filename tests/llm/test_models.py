@@ -220,3 +220,19 @@ def test_distance_is_exact_with_ties_by_code():
     far, n = model.distances([text], model.numbers())
     assert n[0] == len(runs)
     assert far[0][0] == sum(abs(profile.index(r) - i) if r in profile else language.PLACES for i, r in enumerate(order))
+
+
+def test_texts_run_in_groups_and_large_weights_are_shifted(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = lm.Model(np.array([lm.END]), np.array([1]), np.array([0]), 0.0, np.zeros(lm.TAILS))
+    sizes = rng.integers(1, 40, 50)
+    symbols = rng.integers(0, lm.CLASSES * lm.MEMBERS + lm.TAILS, sizes.sum()).astype(np.int16)
+    whole, most = model.recurrent(symbols, sizes), []
+    step = lm.Network.step
+    monkeypatch.setattr(lm.Network, "step", lambda net, state, last: (most.append(len(state)), step(net, state, last))[1])
+    monkeypatch.setattr(lm, "BESIDE", 7)
+    monkeypatch.setattr(lm, "GATHERED", 16)
+    assert np.allclose(model.recurrent(symbols, sizes), whole, rtol=1e-5) and max(most) == 7
+    weight, bias = np.full((lm.HIDDEN, 2), 50, np.float32), np.array([0, 1], np.float32)
+    state = np.ones((3, lm.HIDDEN), np.float32)
+    assert np.allclose(lm._softmax(state, weight, bias), [[1 / (1 + np.e), np.e / (1 + np.e)]] * 3, atol=1e-5)
