@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ CLASSES, MEMBERS, TAILS = 32, 32, 32
 HIDDEN = 24
 #: Words whose counts are sent to the tasks.
 HEAD = 1 << 18
+#: Leading bits of a hash by which it is looked up among them.
+RANGES = 20
 #: About so many documents give the network its start, in windows of STEPS words of STREAMS texts at a time.
 SAMPLE = 1_500
 STEPS, STREAMS, EPOCHS, RATE = 24, 64, 2, 0.01
@@ -45,6 +48,8 @@ _RUN, HELD = 256, 1 << 22
 BESIDE, GATHERED = 1024, 1 << 15
 #: Exponentials of logits up to this are summed up without a shift.
 SAFE = 60.0
+#: So many words have their logits held at a time; words of one class are trained in blocks of so many.
+NEAR, BLOCK = 1 << 10, 64
 
 _U = np.uint64
 #: Stands for the end of a text; also what comes before a text.
@@ -63,8 +68,12 @@ def tail_class(w: Words) -> np.ndarray:
 
 
 def _merge(h: np.ndarray, n: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, first, back = np.unique(h, return_index=True, return_inverse=True)
-    return h, np.bincount(back, n, minlength=len(h)).astype(np.int64), tail[first]
+    order = np.argsort(h)
+    h = h[order]
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return h[first], np.add.reduceat(n[order], first), tail[order[first]]
 
 
 def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +100,10 @@ def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Network:
-    """Parameters; ``gates``: what each symbol adds to the reset, update and candidate gates."""
+    """Parameters; ``gates``: what each symbol adds to the reset, update and candidate gates; ``back``: what the state adds.
+
+    The three gates are apart, so that each one's values of many texts lie side by side.
+    """
 
     gates: np.ndarray
     back: np.ndarray
@@ -105,67 +117,131 @@ class Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(HIDDEN)).astype(np.float32)
         n = CLASSES * MEMBERS + TAILS
-        return Network(draw(n, 3 * HIDDEN), draw(HIDDEN, 3 * HIDDEN), draw(HIDDEN, CLASSES + TAILS) * 0.1, np.zeros(CLASSES + TAILS, np.float32), draw(CLASSES, HIDDEN, MEMBERS) * 0.1, np.zeros((CLASSES, MEMBERS), np.float32))
+        apart = lambda x: np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2))
+        return Network(apart(draw(n, 3 * HIDDEN)), apart(draw(HIDDEN, 3 * HIDDEN)), draw(HIDDEN, CLASSES + TAILS) * 0.1, np.zeros(CLASSES + TAILS, np.float32), draw(CLASSES, HIDDEN, MEMBERS) * 0.1, np.zeros((CLASSES, MEMBERS), np.float32))
 
     def parameters(self) -> list[np.ndarray]:
         return [self.gates, self.back, self.classes, self.class_bias, self.members, self.member_bias]
 
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, tuple]:
-        x, a = self.gates.take(symbol, axis=0), state @ self.back
-        k = HIDDEN
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.advance(state, self.gates.take(symbol, axis=1))
+
+    def advance(self, state: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state, and what the state gives the candidate; ``x``, what symbols add to the gates, becomes the gates."""
+        a = state @ self.back
         # In place: 1 / (1 + exp(-x)), tanh, and n + z * (state - n).
-        rz = x[:, : 2 * k] + a[:, : 2 * k]
+        rz, n = x[:2], x[2]
+        rz += a[:2]
         np.exp(np.negative(rz, out=rz), out=rz)
         rz += 1
         np.reciprocal(rz, out=rz)
-        r, z = rz[:, :k], rz[:, k:]
-        n = r * a[:, 2 * k :]
-        n += x[:, 2 * k :]
+        n += rz[0] * a[2]
         np.tanh(n, out=n)
         new = state - n
-        new *= z
+        new *= rz[1]
         new += n
-        return new, (r, z, n, a[:, 2 * k :])
+        return new, a[2]
 
     def log_probability(self, state: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm; of a tail symbol, that of its class."""
-        kind = np.where(target < CLASSES * MEMBERS, target // MEMBERS, target - CLASSES * MEMBERS + CLASSES)
+        kind = _kinds(target)
         out = _log_share(state, self.classes, self.class_bias, kind)
-        for c, at in _by_class(kind):
+        order, ends = _by_class(kind)
+        for c in np.flatnonzero(np.diff(ends)):
+            at = order[ends[c] : ends[c + 1]]
             out[at] += _log_share(state.take(at, axis=0), self.members[c], self.member_bias[c], target[at] % MEMBERS)
         return out
 
 
-def _scores(state: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logits whose exponentials can be summed up."""
+def _kinds(target: np.ndarray) -> np.ndarray:
+    """Class of each symbol; those of the tail come after the others."""
+    return np.where(target < CLASSES * MEMBERS, target // MEMBERS, target - CLASSES * MEMBERS + CLASSES)
+
+
+def _by_class(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by class, those of the tail last; and where each class of symbols begins and the last one ends."""
+    order = np.argsort(kind, kind="stable")
+    return order, np.searchsorted(kind[order], np.arange(CLASSES + 1))
+
+
+def _unsafe(weight: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether logits must be shifted before their exponentials are summed up: no state is beyond 1."""
+    return not float((np.abs(weight).sum(axis=-2) + np.abs(bias)).max()) < SAFE
+
+
+def _logits(state: np.ndarray, weight: np.ndarray, bias: np.ndarray, shift: bool) -> np.ndarray:
     x = state @ weight
     x += bias
-    # No state is beyond 1, so weights this small need no shift.
-    if not float((np.abs(weight).sum(axis=0) + np.abs(bias)).max()) < SAFE:
-        x -= x.max(axis=1, keepdims=True)
+    if shift:
+        x -= x.max(axis=-1, keepdims=True)
     return x
 
 
 def _log_share(state: np.ndarray, weight: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Logarithm of the softmax of one column of each row."""
-    x = _scores(state, weight, bias)
-    picked = x[np.arange(len(at)), at]
-    return picked - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+    out, shift, ones = np.empty(len(at), state.dtype), _unsafe(weight, bias), np.ones(len(bias), state.dtype)
+    for lo in range(0, len(at), NEAR):
+        here = at[lo : lo + NEAR]
+        x = _logits(state[lo : lo + NEAR], weight, bias, shift)
+        picked = x[np.arange(len(here)), here]
+        out[lo : lo + NEAR] = picked - np.log(np.exp(x, out=x) @ ones)
+    return out
 
 
-def _softmax(state: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    x = _scores(state, weight, bias)
+def _softmax(state: np.ndarray, weight: np.ndarray, bias: np.ndarray, shift: bool | None = None) -> np.ndarray:
+    x = _logits(state, weight, bias, _unsafe(weight, bias) if shift is None else shift)
     np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    x *= (1 / (x @ np.ones(x.shape[-1], x.dtype)))[..., None]
     return x
 
 
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c] : ends[c + 1]]
+def _class_gradients(net: Network, state: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of minus the sum of the classes' log probabilities, by weight, bias and state."""
+    weight, bias, by_state, shift = np.zeros_like(net.classes), np.zeros_like(net.class_bias), np.empty_like(state), _unsafe(net.classes, net.class_bias)
+    for lo in range(0, len(kind), NEAR):
+        own, at = state[lo : lo + NEAR], kind[lo : lo + NEAR]
+        p = _softmax(own, net.classes, net.class_bias, shift)
+        p.reshape(-1)[np.arange(len(at)) * p.shape[1] + at] -= 1
+        weight += (p.T @ own).T
+        bias += np.ones(len(at), p.dtype) @ p
+        np.matmul(p, net.classes.T, out=by_state[lo : lo + NEAR])
+    return weight, bias, by_state
+
+
+def _member_gradients(net: Network, state: np.ndarray, kind: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of minus the sum of the log probabilities within classes of symbols: by weight, bias and state, and which states."""
+    weight, bias = np.zeros_like(net.members), np.zeros_like(net.member_bias)
+    order, ends = _by_class(kind)
+    known, sizes = order[: ends[-1]], np.diff(ends)
+    # The rows of a class fill blocks of equal size, which are worked on together.
+    blocks = -(-sizes // BLOCK)
+    owner, first = np.repeat(np.arange(CLASSES), blocks), np.cumsum(blocks) - blocks
+    place = np.arange(len(known)) + np.repeat(first * BLOCK - ends[:-1], sizes)
+    own = np.zeros((len(owner) * BLOCK, HIDDEN), np.float32)
+    own[place] = state.take(known, axis=0)
+    own = own.reshape(-1, BLOCK, HIDDEN)
+    p = _softmax(own, net.members[owner], net.member_bias[owner][:, None], _unsafe(net.members, net.member_bias))
+    flat = p.reshape(-1, MEMBERS)
+    flat[place, member[known]] -= 1
+    # What stands for no row.
+    rest = np.ones(len(flat), bool)
+    rest[place] = False
+    flat[rest] = 0
+    used = np.flatnonzero(blocks)
+    if len(used):
+        weight[used] = np.add.reduceat(own.transpose(0, 2, 1) @ p, first[used], axis=0)
+        bias[used] = np.add.reduceat(np.ones(BLOCK, p.dtype) @ p, first[used], axis=0)
+    by_state = p @ net.members.transpose(0, 2, 1)[owner]
+    return weight, bias, by_state.reshape(-1, HIDDEN)[place], known
+
+
+def _sums(x: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct symbols, and the sums of their rows in each of ``x``."""
+    order = np.argsort(symbol, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(symbol[order]) > 0)))
+    # Two numbers are added at a time, as one complex number.
+    pairs = x.take(order, axis=1).view(np.complex64)
+    return symbol[order[first]], np.add.reduceat(pairs, first, axis=1).view(np.float32)
 
 
 def train(streams: np.ndarray, start: int, epochs: int = EPOCHS, rate: float = RATE, net: Network | None = None, before_rows: np.ndarray | None = None) -> Network:
@@ -180,72 +256,90 @@ def train(streams: np.ndarray, start: int, epochs: int = EPOCHS, rate: float = R
     for _ in range(epochs):
         state, last = np.zeros((rows, k), np.float32), np.full(rows, start, np.int16) if before_rows is None else before_rows
         for lo in range(0, streams.shape[1], STEPS):
-            window = streams[:, lo : lo + STEPS]
-            kept, states = [], []
-            for t in range(window.shape[1]):
-                # A text starts anew.
-                before = np.where((last == start)[:, None], np.float32(0), state)
-                state, inner = net.step(before, last)
-                kept.append((before, last, inner))
-                states.append(state)
-                last = np.where(window[:, t] >= 0, window[:, t], start)
-            flat, target = np.concatenate(states), window.T.reshape(-1)
+            target = np.ascontiguousarray(streams[:, lo : lo + STEPS].T)
+            follow = np.where(target >= 0, target, start)
+            symbols, last = np.concatenate((last[None], follow[:-1])), follow[-1]
+            # A text starts anew.
+            fresh = [np.flatnonzero(s == start) for s in symbols]
+            gates = net.gates.take(symbols, axis=1)
+            before, inner, states = (np.empty((len(target), rows, k), np.float32) for _ in range(3))
+            for t in range(len(target)):
+                before[t] = state
+                before[t, fresh[t]] = 0
+                state, inner[t] = net.advance(before[t], gates[:, t])
+                states[t] = state
             real = np.flatnonzero(target >= 0)
             if not len(real):
                 continue
-            grads = [np.zeros_like(p) for p in net.parameters()]
-            dflat = np.zeros_like(flat)
-            h, y = flat[real], target[real]
-            kind = np.where(y < CLASSES * MEMBERS, y // MEMBERS, y - CLASSES * MEMBERS + CLASSES)
-            p = _softmax(h, net.classes, net.class_bias)
-            p[np.arange(len(y)), kind] -= 1
-            p /= len(real)
-            grads[2] += h.T @ p
-            grads[3] += p.sum(axis=0)
-            dh = p @ net.classes.T
-            for c, at in _by_class(kind):
-                own = h.take(at, axis=0)
-                p = _softmax(own, net.members[c], net.member_bias[c])
-                p[np.arange(len(at)), y[at] % MEMBERS] -= 1
-                p /= len(real)
-                grads[4][c] += own.T @ p
-                grads[5][c] += p.sum(axis=0)
-                dh[at] += p @ net.members[c].T
-            dflat[real] = dh
-            carried = np.zeros((rows, k), np.float32)
-            # What each step adds to the gates and to the state's part of them.
-            inputs = np.empty((len(flat), 3 * k), np.float32)
-            inner = np.empty_like(inputs)
-            for t in range(window.shape[1] - 1, -1, -1):
-                before, symbol, (r, z, n, a) = kept[t]
-                here = slice(t * rows, (t + 1) * rows)
-                d, x, da = dflat[here] + carried, inputs[here], inner[here]
-                keep = d * z
-                dn = (d - keep) * (1 - n * n)
-                x[:, :k] = dn * a * r * (1 - r)
-                x[:, k : 2 * k] = keep * (before - n) * (1 - z)
-                x[:, 2 * k :] = dn
-                da[:] = x
-                da[:, 2 * k :] *= r
-                carried = np.where((symbol == start)[:, None], np.float32(0), keep + da @ net.back.T)
-            grads[1] += np.concatenate([x[0] for x in kept]).T @ inner
-            symbols = np.concatenate([x[1] for x in kept])
-            order = np.argsort(symbols, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(symbols[order]) > 0)))
-            grads[0][symbols[order[first]]] = np.add.reduceat(inputs[order], first)
+            whole = len(real) == target.size
+            h, y = states.reshape(-1, k), target.reshape(-1)
+            if not whole:
+                h, y = h.take(real, axis=0), y[real]
+            kind = _kinds(y)
+            by_classes, by_class_bias, dh = _class_gradients(net, h, kind)
+            by_members, by_member_bias, more, known = _member_gradients(net, h, kind, y % MEMBERS)
+            dh[known] += more
+            by_state = dh.reshape(states.shape) if whole else np.zeros_like(states)
+            if not whole:
+                by_state.reshape(-1, k)[real] = dh
+            # What a change of the state changes before the gates' curves: as factors, for all steps at once.
+            r, z, n = gates
+            by_gates = np.empty_like(gates)
+            curve = np.multiply(n, n)
+            np.subtract(1, curve, out=curve)
+            np.subtract(before, n, out=by_gates[1])
+            by_gates[1] *= z
+            rest = np.subtract(1, z)
+            by_gates[1] *= rest
+            curve *= rest
+            np.multiply(curve, r, out=by_gates[2])
+            np.subtract(1, r, out=rest)
+            rest *= inner
+            np.multiply(by_gates[2], rest, out=by_gates[0])
+            carried, forth = np.zeros((rows, k), np.float32), np.ascontiguousarray(net.back.transpose(0, 2, 1))
+            for t in range(len(target) - 1, -1, -1):
+                d, x = by_state[t], by_gates[:, t]
+                d += carried
+                x *= d
+                carried = d * z[t]
+                for part in x @ forth:
+                    carried += part
+                carried[fresh[t]] = 0
+            by_back = before.reshape(-1, k).T @ by_gates.reshape(3, -1, k)
+            # The state before adds to the candidate through the reset gate, a symbol beside it.
+            np.multiply(by_state, curve, out=by_gates[2])
+            by_symbol = np.zeros_like(net.gates)
+            found, sums = _sums(by_gates.reshape(3, -1, k), symbols.reshape(-1))
+            by_symbol[:, found] = sums
             turn += 1
-            scale = min(1.0, 1.0 / max(1e-9, float(np.sqrt(sum((g * g).sum() for g in grads)))))
+            grads = [by_symbol, by_back, by_classes, by_class_bias, by_members, by_member_bias]
+            # Of the mean, at most of length 1.
+            size = float(np.sqrt(sum(np.vdot(g, g) for g in grads))) / len(real)
+            scale = min(1.0, 1.0 / max(1e-9, size)) / len(real)
             lr = rate * (1 - 0.9 * turn / steps) * np.sqrt(1 - 0.99**turn) / (1 - 0.9**turn)
             for q, g, m, v in zip(net.parameters(), grads, *moments, strict=True):
                 g *= scale
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                q -= float(lr) * m / (np.sqrt(v) + 1e-6)
+                m *= 0.9
+                m += 0.1 * g
+                g *= g
+                g *= 0.01
+                v *= 0.99
+                v += g
+                np.sqrt(v, out=g)
+                g += 1e-6
+                np.divide(m, g, out=g)
+                g *= float(lr)
+                q -= g
     return net
 
 
+def _range(h: np.ndarray) -> np.ndarray:
+    return (h >> (64 - RANGES)) + (1 << (RANGES - 1))
+
+
 @dataclass
 class Model:
+    #: hashes in ascending order
     head: np.ndarray
     count: np.ndarray
     symbol: np.ndarray
@@ -262,21 +356,38 @@ class Model:
     def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash, place in the head or -1, symbol, document, order) of each word and end, by document."""
         w = words(texts, SOLID)
-        h, first, back = np.unique(hashes(w).view(np.int64), return_index=True, return_inverse=True)
-        tail = tail_class(Words(w.data, w.start[first], w.end[first], w.doc[first], w.docs, w.offset))
-        at, sym = self._known(h, tail)
-        n = w.counts()
-        doc = np.concatenate((w.doc, np.arange(len(texts))))
-        order = np.argsort(doc, kind="stable")  # a text's end comes after its words
-        end_at, end_sym = self._known(np.array([END]), np.array([0]))
-        joined = lambda x, y: np.concatenate((x[back], np.full(len(texts), y)))[order]
-        return joined(h, END), joined(at, end_at[0]), joined(sym, end_sym[0]), doc[order], n + 1
-
-    def _known(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.head, h), max(len(self.head) - 1, 0))
-        found = self.head[at] == h if len(self.head) else np.zeros(len(h), bool)
-        sym = np.where(found, self.symbol[at] if len(self.head) else -1, -1)
-        return np.where(found, at, -1), np.where(sym >= 0, sym, CLASSES * MEMBERS + tail)
+        h = hashes(w).view(np.int64)
+        at = self._places(h)
+        sym = np.where(at >= 0, self.symbol[at], -1) if len(self.head) else at.copy()
+        out = np.flatnonzero(sym < 0)
+        sym[out] = CLASSES * MEMBERS + tail_class(Words(w.data, w.start[out], w.end[out], w.doc[out], w.docs, w.offset))
+        # A text's end comes after its words.
+        n = w.counts() + 1
+        own, end = np.arange(len(h)) + w.doc, np.cumsum(n) - 1
+        end_at = int(self._places(np.array([END]))[0])
+
+        def joined(x: np.ndarray, last: int) -> np.ndarray:
+            all_of = np.empty(len(x) + len(n), np.int64)
+            all_of[own], all_of[end] = x, last
+            return all_of
+
+        end_sym = int(self.symbol[end_at]) if end_at >= 0 else -1
+        return joined(h, END), joined(at, end_at), joined(sym, end_sym if end_sym >= 0 else CLASSES * MEMBERS), np.repeat(np.arange(len(n)), n), n
+
+    @cached_property
+    def _firsts(self) -> np.ndarray:
+        """Place in the head of the first hash of each range of hashes; the ranges are those of the leading bits."""
+        return np.concatenate(([0], np.cumsum(np.bincount(_range(self.head), minlength=1 << RANGES))))[:-1].astype(np.int32)
+
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash in the head, or -1: looked for from the first hash of its range on."""
+        head = np.append(self.head, np.iinfo(np.int64).max)
+        at = self._firsts[_range(h)].astype(np.int64)
+        before = np.flatnonzero(head[at] < h)
+        while len(before):
+            at[before] += 1
+            before = before[head[at[before]] < h[before]]
+        return np.where((at < len(self.head)) & (head[at] == h), at, -1)
 
     def recurrent(self, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Natural log probability of each text's symbols; texts of like length run side by side, longest first."""
@@ -288,14 +399,14 @@ class Model:
         return out
 
     def _run(self, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(length))
+        total, longest = np.zeros(len(length)), int(length[0]) if len(length) else 0
+        lives = np.searchsorted(-length, -np.arange(longest), "left").tolist()
         state, last = np.zeros((len(length), HIDDEN), np.float32), np.full(len(length), self.start)
-        for lo in range(0, int(length[0]) if len(length) else 0, _RUN):
+        for lo in range(0, longest, _RUN):
             states, targets, whose, many = [], [], [], 0
-            for t in range(lo, min(lo + _RUN, int(length[0]))):
-                live = int(np.searchsorted(-length, -t, "left"))
-                state, last = state[:live], last[:live]
-                state, _ = self.network.step(state, last)
+            for t in range(lo, min(lo + _RUN, longest)):
+                live = lives[t]
+                state, _ = self.network.step(state[:live], last[:live])
                 last = symbols[begin[:live] + t]
                 states.append(state)
                 targets.append(last)

@@ -236,3 +236,51 @@ def test_texts_run_in_groups_and_large_weights_are_shifted(monkeypatch):
     weight, bias = np.full((lm.HIDDEN, 2), 50, np.float32), np.array([0, 1], np.float32)
     state = np.ones((3, lm.HIDDEN), np.float32)
     assert np.allclose(lm._softmax(state, weight, bias), [[1 / (1 + np.e), np.e / (1 + np.e)]] * 3, atol=1e-5)
+
+
+def test_all_classes_of_symbols_are_trained_together(monkeypatch):
+    rng, calls, softmax = np.random.default_rng(6), [], lm._softmax
+    monkeypatch.setattr(lm, "_softmax", lambda *x: (calls.append(x[0].shape), softmax(*x))[1])
+    streams = rng.integers(0, lm.CLASSES * lm.MEMBERS + lm.TAILS, (32, lm.STEPS)).astype(np.int16)
+    lm.train(streams, 0, epochs=1)
+    # One window: a call for the classes, and one for the members of all of them.
+    assert len(calls) == 2
+
+
+def test_gradients_of_classes_and_members_are_those_of_each_row(monkeypatch):
+    monkeypatch.setattr(lm, "NEAR", 7)
+    monkeypatch.setattr(lm, "BLOCK", 4)
+    rng, net = np.random.default_rng(7), lm.Network.fresh()
+    state = rng.uniform(-1, 1, (60, lm.HIDDEN)).astype(np.float32)
+    y = np.concatenate((rng.integers(0, 100, 40), [lm.CLASSES * lm.MEMBERS - 1], lm.CLASSES * lm.MEMBERS + np.arange(19)))
+    kind = lm._kinds(y)
+    want = [np.zeros_like(p) for p in (net.classes, net.class_bias, net.members, net.member_bias, state)]
+    for i, (h, c, m) in enumerate(zip(state, kind, y % lm.MEMBERS, strict=True)):
+        p = lm._softmax(h[None], net.classes, net.class_bias)[0] - np.eye(lm.CLASSES + lm.TAILS)[c]
+        want[0] += np.outer(h, p)
+        want[1] += p
+        want[4][i] += net.classes @ p
+        if c < lm.CLASSES:
+            p = lm._softmax(h[None], net.members[c], net.member_bias[c])[0] - np.eye(lm.MEMBERS)[m]
+            want[2][c] += np.outer(h, p)
+            want[3][c] += p
+            want[4][i] += net.members[c] @ p
+    weight, bias, by_state = lm._class_gradients(net, state, kind)
+    members, member_bias, more, known = lm._member_gradients(net, state, kind, y % lm.MEMBERS)
+    by_state[known] += more
+    for got, w in zip((weight, bias, members, member_bias, by_state), want, strict=True):
+        assert np.allclose(got, w, atol=1e-5)
+    only_tail = lm._member_gradients(net, state[41:], kind[41:], y[41:] % lm.MEMBERS)
+    assert not only_tail[0].any() and not only_tail[1].any() and len(only_tail[2]) == len(only_tail[3]) == 0
+
+
+def test_hashes_are_found_by_their_range(monkeypatch):
+    rng = np.random.default_rng(8)
+    ends = np.array([np.iinfo(np.int64).min, np.iinfo(np.int64).max, lm.END, -1, 0])
+    for bits, many in ((20, 3000), (3, 3000), (20, 0), (1, 1)):
+        monkeypatch.setattr(lm, "RANGES", bits)
+        head = np.unique(np.concatenate((rng.integers(-(2**62), 2**62, many), ends[2 : 2 + many])))
+        model = lm.Model(head, np.ones(len(head), np.int64), np.full(len(head), -1), 0.0, np.zeros(lm.TAILS))
+        asked = np.concatenate((head, head + 1, rng.integers(-(2**62), 2**62, 500), ends))
+        place = {h: i for i, h in enumerate(head.tolist())}
+        assert model._places(asked).tolist() == [place.get(h, -1) for h in asked.tolist()]
