@@ -152,3 +152,18 @@ def test_exports_store_the_lines_asked_for(spark, tmp_path):
     # Two headers a commit delete lines, and the split has a row of its own.
     assert stored.count() == 2 * 9 + 1
     assert sorted((r.full_hash, r.path, r.old_start, r.old_count) for r in out.collect()) == [(f"{k:040x}", f"f{k}", k, 2) for k in range(9)]
+
+
+def test_detected_renames_read_every_document(spark):
+    """Documents of any length are files of the commits, as in the SQL."""
+    from types import SimpleNamespace
+
+    from changerisk.plans import q_graph as qg
+    from changerisk.plans.catalog import ORACLES
+
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in ((1, 3), (2, 2000), (61, 900), (63, 5), (60, 3000))]
+    t = SimpleNamespace(spark=spark, documents=spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r.path for r in qg.contents(t).collect()} == {"old/1.txt", "old/2.txt", "old/61.txt", "old/60.txt", "new/1.txt", "new/2.txt", "new/61.txt", "new/63.txt"}
+    # 1 and 61 stand in one commit and keep four fifths of their text; 2 keeps too little, 60 and 63 are on one side only.
+    assert sorted((r.full_hash, r.mutual_best) for r in qg.g5_renames(t).collect()) == [("k1", 2)]
+    assert "length(text) <" not in ORACLES["g5_detected_renames"]
