@@ -167,3 +167,42 @@ def test_detected_renames_read_every_document(spark):
     # 1 and 61 stand in one commit and keep four fifths of their text; 2 keeps too little, 60 and 63 are on one side only.
     assert sorted((r.full_hash, r.mutual_best) for r in qg.g5_renames(t).collect()) == [("k1", 2)]
     assert "length(text) <" not in ORACLES["g5_detected_renames"]
+
+
+@pytest.mark.parametrize("most", [25, 128])
+def test_short_and_long_histories_with_merges_have_the_same_origins(spark, monkeypatch, most):
+    """A repository is one row or followed chain by chain; repo "b" is exported out of order."""
+    from test_graph import first_writer, merged_history
+
+    nodes, edges, hunks, asked, want = [], [], [], [], {}
+    for repo, seed, n in (("a", 5, 30), ("b", 6, 20), ("c", 7, 20)):
+        parents, texts, found = merged_history(seed, n)
+        nodes += [(repo, f"{i}", -i if repo == "b" else i) for i in parents]
+        edges += [(repo, f"{i}", f"{p}", o) for i, ps in parents.items() for o, p in enumerate(ps)]
+        hunks += [(repo, name, f"{i}", o, *h) for (i, o), rows in found.items() for h in rows for name in ("f", "g")]
+        asked += [(repo, name, f"{i}", i, 1, len(text)) for i, text in texts.items() if text for name in ("f", "g")]
+        want |= {(repo, name, i, k): str(first_writer(parents, found, i, k)) for i, text in texts.items() for k in range(1, len(text) + 1) for name in ("f", "g")}
+    # A first and a side parent outside the export: lines end at the one, the other takes none.
+    nodes.append(("d", "x", 1))
+    edges += [("d", "x", "gone", 0), ("d", "x", "lost", 1)]
+    hunks.append(("d", "f", "x", 0, 1, 1, 2, 1))
+    asked.append(("d", "f", "x", 0, 1, 3))
+    want["d", "f", 0, 2] = "x"
+    frames = [spark.createDataFrame(rows, ddl) for rows, ddl in (
+        (hunks, "repo string, lineage string, full_hash string, parent_ord int, old_start long, old_count long, new_start long, new_count long"),
+        (nodes, "repo string, full_hash string, seq long"), (edges, "repo string, child string, parent string, parent_ord int"),
+        (asked, "repo string, lineage string, full_hash string, i long, start_line long, end_line long"))]
+    stored = []
+    monkeypatch.setattr(pv, "SHORT_REVISIONS", most)
+    monkeypatch.setattr(pv, "materialize", lambda df: stored.append(1) or materialize(df))
+    lines = {}
+    for r in pv.provenance_across_merges(*frames, ["i"]).collect():
+        for k in range(r.start_line, r.end_line + 1):
+            assert (r.repo, r.lineage, r.i, k) not in lines
+            lines[r.repo, r.lineage, r.i, k] = r.origin_sha
+    assert lines == want
+    short = [rows.where("repo in ('a', 'c', 'd')") for rows in frames]
+    stored.clear()
+    assert pv.provenance_across_merges(*short, ["i"]).count() > 0
+    # Short histories need no rounds: three small tables are stored.
+    assert most < 30 or len(stored) == 3
