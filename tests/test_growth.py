@@ -206,3 +206,42 @@ def test_short_and_long_histories_with_merges_have_the_same_origins(spark, monke
     assert pv.provenance_across_merges(*short, ["i"]).count() > 0
     # Short histories need no rounds: three small tables are stored.
     assert most < 30 or len(stored) == 3
+
+
+def test_detected_renames_search_once_and_rank_as_the_sql(spark, monkeypatch):
+    """Equal texts in one commit: both files of a pair must rank it first, and the texts are searched once."""
+    from types import SimpleNamespace
+
+    from changerisk.operators import renames as rn
+    from changerisk.plans import q_graph as qg
+
+    rows = [("r", "k", f"old/{i}", "D", "x\ny z") for i in (1, 2)] + [("r", "k", f"new/{i}", "A", "x\ny z") for i in (2, 3)]
+    rows += [("r", "k", "old/7", "D", "b\na"), ("r", "k", "new/8", "A", "a\nb"), ("r", "k", "new/9", "A", "b\na")]
+    table = spark.createDataFrame(rows, "repo string, full_hash string, path string, status string, content string")
+    stored, kept = [], rn.materialize
+    monkeypatch.setattr(rn, "materialize", lambda df: stored.append(df.columns) or kept(df))
+    monkeypatch.setattr(qg, "contents", lambda t, *sql: table)
+    # old/1 prefers new/2, which prefers old/2; old/7 prefers new/8, the first of two with all its lines.
+    assert [(r.mutual_best, r.shares) for r in qg.g5_renames(SimpleNamespace()).collect()] == [(2, 2.0)]
+    assert sum("content" in c for c in stored) == 1
+    best = rn.mutual_best(rn.rename_candidates(table))
+    assert {(r.old_path, r.path) for r in best.collect()} == {("old/2", "new/2"), ("old/7", "new/8")}
+
+
+def test_rename_search_keeps_pairs_of_unlike_sizes(spark):
+    """Every pair of at least the share is found, however the common lines lie in the order of rarity."""
+    import random
+
+    from test_graph import common_share
+
+    from changerisk.operators import renames as rn
+
+    rnd = random.Random(4)
+    words = [f"w{i}" * rnd.randint(1, 6) for i in range(60)]
+    text = lambda: "\n".join(words[min(int(rnd.expovariate(0.07)), 59)] for _ in range(rnd.randint(2, 40)))
+    rows = [("r", f"k{i % 2}", f"{s}/{i}", s, text()) for s in "DA" for i in range(60)]
+    found = rn.rename_candidates(spark.createDataFrame(rows, "repo string, full_hash string, path string, status string, content string"))
+    got = {(r.full_hash, r.old_path, r.path): r.share for r in found.collect()}
+    want = {(o[1], o[2], a[2]): common_share(o[4], a[4]) for o in rows for a in rows if o[1] == a[1] and (o[3], a[3]) == ("D", "A")}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
