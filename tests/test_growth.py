@@ -245,3 +245,18 @@ def test_rename_search_keeps_pairs_of_unlike_sizes(spark):
     want = {(o[1], o[2], a[2]): common_share(o[4], a[4]) for o in rows for a in rows if o[1] == a[1] and (o[3], a[3]) == ("D", "A")}
     want = {k: v for k, v in want.items() if v >= 0.5}
     assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_labels_from_hunks_number_their_items_once(spark, monkeypatch):
+    """Commits, changes and hunks come out of one stored numbering; hunks have their paths without a join."""
+    from changerisk.plans import q_graph as qg
+
+    seen = []
+    monkeypatch.setattr(qg.lb, "trace_fixes_in_history", lambda *rows: seen.extend(rows) or (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        qg.e1(ad.Tables(spark, SMALL))
+    assert len(seen) == 3
+    for rows in seen:
+        assert "Window" not in plan(rows) and "Join" not in plan(rows) and not [f for f in rows.inputFiles() if "lineitem" in f]
+    keys = ["repo", "full_hash", "path"]
+    assert seen[2].select(keys).exceptAll(seen[1].select(keys)).isEmpty() and seen[2].count() == seen[1].count() > 0
